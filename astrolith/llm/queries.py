@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, tokens
 
 QUERIES = {
+    "op1_token_binary": tokens.op1,
     "op8_simhash_near_dedup": simhash.op8,
 }
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash, tokens
+from . import quality, simhash, tokens
 
 QUERIES = {
     "op1_token_binary": tokens.op1,
     "op8_simhash_near_dedup": simhash.op8,
+    "op9_quality_qda": quality.op9,
 }
 
 #: Equivalent SQL, where SQL can express the operator.

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, simhash, tokens
+from . import mixing, quality, simhash, tokens
 
 QUERIES = {
     "op1_token_binary": tokens.op1,
+    "op2_pareto_mixing": mixing.op2,
     "op8_simhash_near_dedup": simhash.op8,
     "op9_quality_qda": quality.op9,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash, tokens
+from . import ann, mixing, quality, simhash, tokens
 
 QUERIES = {
     "op1_token_binary": tokens.op1,
     "op2_pareto_mixing": mixing.op2,
+    "op3_projected_neighbours": ann.op3,
     "op8_simhash_near_dedup": simhash.op8,
     "op9_quality_qda": quality.op9,
 }

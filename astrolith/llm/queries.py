@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, quality, simhash, tokens
+from . import ann, mixing, quality, simhash, tokens, urlrules
 
 QUERIES = {
     "op1_token_binary": tokens.op1,
     "op2_pareto_mixing": mixing.op2,
     "op3_projected_neighbours": ann.op3,
+    "op6_url_rules": urlrules.op6,
     "op8_simhash_near_dedup": simhash.op8,
     "op9_quality_qda": quality.op9,
 }
 
 #: Equivalent SQL, where SQL can express the operator.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_rules": urlrules.OP6_SQL,
+}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, quality, simhash, tokens, urlrules
+from . import ann, mixing, quality, simhash, tokens, urlrules, warc
 
 QUERIES = {
     "op1_token_binary": tokens.op1,
     "op2_pareto_mixing": mixing.op2,
     "op3_projected_neighbours": ann.op3,
+    "op4_warc_archive": warc.op4,
     "op6_url_rules": urlrules.op6,
     "op8_simhash_near_dedup": simhash.op8,
     "op9_quality_qda": quality.op9,
@@ -15,5 +16,6 @@ QUERIES = {
 
 #: Equivalent SQL, where SQL can express the operator.
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc_archive": warc.OP4_SQL,
     "op6_url_rules": urlrules.OP6_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, quality, simhash, tokens, urlrules, warc
+from . import ann, decontam, mixing, quality, simhash, tokens, urlrules, warc
 
 QUERIES = {
     "op1_token_binary": tokens.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_url_rules": urlrules.op6,
     "op8_simhash_near_dedup": simhash.op8,
     "op9_quality_qda": quality.op9,
+    "op10_cgk_decontamination": decontam.op10,
 }
 
 #: Equivalent SQL, where SQL can express the operator.

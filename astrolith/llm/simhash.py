@@ -1,8 +1,9 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
 A fingerprint is the bitwise majority over the 64-bit hashes of a text's word shingles.  Two
-fingerprints that differ in at most k bits, cut into k + 2 blocks, agree on at least two whole
-blocks; so every close pair meets in a bucket keyed by one of the (k + 2 choose 2) pairs of blocks.
+fingerprints that differ in at most k bits, cut into k + a blocks, agree on at least a whole blocks;
+so every close pair meets in a bucket keyed by one of the (k + a choose a) choices of a blocks.  a is
+2, or more where that many fingerprints ask for longer keys; the links found are the same for any a.
 Inside a bucket the Hamming distance is verified.  A bucket does not give all its pairs: it gives a
 spanning forest of its links, which has the same components.  Buckets above ``chunk`` rows are dealt
 in chunks, and each pair of chunks is verified on its own, so no task holds a large bucket.
@@ -11,6 +12,7 @@ in chunks, and each pair of chunks is verified on its own, so no task holds a la
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +61,18 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 5, seed: i
     return docs.select(key, text).mapInArrow(batches, f"`{key}` {kind}, fp bigint")
 
 
-def block_keys(fp: Column, distance: int) -> list[Column]:
-    """For each pair of blocks, the bits of fp inside it."""
-    n = distance + 2
+def agreeing(count: int, distance: int) -> int:
+    """How many blocks a key has, so that a bucket of random fingerprints would have 16 rows at most."""
+    return next((a for a in range(2, 5) if BITS * a / (distance + a) >= math.log2(max(2, count)) - 4), 4)
+
+
+def block_keys(fp: Column, distance: int, agree: int = 2) -> list[Column]:
+    """For each choice of ``agree`` blocks, the bits of fp inside them."""
+    n = distance + agree
     ends = [BITS * i // n for i in range(n + 1)]
     masks = [((1 << ends[i + 1]) - 1) ^ ((1 << ends[i]) - 1) for i in range(n)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [fp.bitwiseAND(F.lit(signed(x | y))) for x, y in itertools.combinations(masks, 2)]
+    return [fp.bitwiseAND(F.lit(signed(sum(own)))) for own in itertools.combinations(masks, agree)]
 
 
 def links(fps: DataFrame, distance: int = 4, chunk: int = 1024) -> DataFrame:
@@ -75,7 +82,7 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 1024) -> DataFrame:
     some bucket; what is left out are only pairs that other links of the same bucket join already.
     """
     spark = fps.sparkSession
-    keys = block_keys(F.col("fp"), distance)
+    keys = block_keys(F.col("fp"), distance, agreeing(fps.count(), distance))
     rows = fps.select("fp", F.posexplode(F.array(*keys)).alias("t", "bits"))
     sizes = rows.groupBy("t", "bits").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = written(sizes, "buckets")

@@ -2,25 +2,65 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from astrolith.llm import simhash
+from astrolith.llm import decontam, mixing, quality, simhash, tokens
+from astrolith.llm.common import written
+
+#: A document stays if its quality score reaches this.
+LEAST_QUALITY = 0.3
+#: Fingerprints of five-word shingles that differ in so many of 64 bits (a similarity of 0.9) are near copies.
+DISTANCE = 6
+#: The weights of the sources by code point, in turn, and the most copies of a source.
+WEIGHTS, CAP = (1, 2, 3), 3.0
+TOKENIZER, END_ID = "byte_bpe_50k.json", 2
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labelled ones of docs, scores too low go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    known = labels.filter("quality in (0, 1)").select("doc_id").distinct()
+    labelled = docs.select("doc_id", "text").join(known, "doc_id", "left_semi")
+    model = quality.learn(written(quality.statistics_of(labelled, "doc_id", "text"), "statistics"), labels, train=~quality.held_out(F.col("doc_id")))
+    return quality.keep_good(docs, model, least=LEAST_QUALITY)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.near_dedup(docs)
+    """Of each group of near copies the document with the least id stays."""
+    return simhash.near_dedup(docs, distance=DISTANCE, shingle=5)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, up to edits of a fifth of its words, go."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once, or up to three times."""
+    return mixing.mix(docs, list(WEIGHTS), cap=CAP)
 
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files' documents: doc_id, start, n_tokens and ids_crc32 of each."""
+    return tokens.encode_corpus(docs, public_tokenizers.path(TOKENIZER), END_ID)
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("source_mixing", mix_sources),
+    ("token_binary", token_files),
+]
+
+#: Classifier, fingerprints and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over the whole documents table, each stage written and read again."""
-    from astrolith.llm.common import written
-
+    """STAGES over the whole documents table; each stage is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -29,10 +29,13 @@ import numpy as np
 
 MAGIC, VERSION, BLOCK, PERCENTILE = b"PFOR", 1, 256, 0.98
 HEADER = 11
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
 def bit_lengths(x: np.ndarray) -> np.ndarray:
     """How many bits each value needs; 0 for 0."""
+    if x.size and x.max() < 1 << 16:
+        return _BITS[x]
     return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
 
 
@@ -57,10 +60,15 @@ def pack(ids: np.ndarray, doc_ids: list, lengths: np.ndarray, partition: int = 0
     packed = np.zeros(int(sizes.sum()), np.uint8)
     for w in np.unique(widths).tolist():
         own = np.flatnonzero(widths == w)
-        rows = full[own]
+        planes = np.empty((len(own), w, block // 8), np.uint8)
+        lanes = full[own].astype("<u4").view(np.uint8).reshape(len(own), block, 4)
         for k in range(w):
-            plane = np.packbits((rows >> np.uint32(k)).astype(np.uint8) & 1, axis=1)
-            packed[(starts[own].astype(np.int64) + k * (block // 8))[:, None] + np.arange(block // 8)] = plane
+            if k % 8 == 0:
+                lane = np.ascontiguousarray(lanes[:, :, k // 8])
+            plane = np.packbits(lane & np.uint8(1 << k % 8), axis=1)
+            planes[:, k] = plane
+        for row, start in zip(planes.reshape(len(own), -1), starts[own].tolist(), strict=True):
+            packed[start : start + len(row)] = row
     parts = [
         np.array([-1 if x is None else x for x in doc_ids], "<i8"),
         np.array([x is None for x in doc_ids], np.uint8),
@@ -104,10 +112,16 @@ def segments(data: bytes):
         full = np.zeros((blocks, block), np.uint32)
         for w in np.unique(widths).tolist():
             own = np.flatnonzero(widths == w)
-            rows = np.zeros((len(own), block), np.uint32)
+            taken = [packed[x : x + w * (block // 8)] for x in starts[own].tolist()]
+            planes = np.concatenate(taken).reshape(len(own), w, block // 8)
+            lanes = np.zeros((len(own), block, 4), np.uint8)
             for k in range(w):
-                plane = packed[(starts[own].astype(np.int64) + k * (block // 8))[:, None] + np.arange(block // 8)]
-                rows |= np.unpackbits(plane, axis=1).astype(np.uint32) << np.uint32(k)
+                if k % 8 == 0:
+                    lane = np.zeros((len(own), block), np.uint8)
+                lane |= np.unpackbits(planes[:, k], axis=1) << np.uint8(k % 8)
+                if k % 8 == 7 or k == w - 1:
+                    lanes[:, :, k // 8] = lane
+            rows = lanes.reshape(len(own), 4 * block).view("<u4")
             full[own] = rows
         full[np.repeat(np.arange(blocks), counts), position] = values
         full += least[:, None]

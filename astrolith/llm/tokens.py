@@ -20,18 +20,21 @@ from .common import scratch_path, task_count, written
 #: A segment is closed once it holds so many tokens, and a file once it holds so many segments.
 SEGMENT_TOKENS, FILE_SEGMENTS = 1 << 20, 4
 #: So many distinct chunks of text are remembered by a Python worker at most.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 
 
 class Encoder:
-    """A byte-level BPE of the tokenizers library that encodes each distinct chunk of text once.
+    """A byte-level BPE of the tokenizers library that encodes each distinct piece of text once.
 
-    The pre-tokenizer of a byte-level BPE never joins a character to a blank after it, so a text may
-    be cut before each blank: the ids of the pieces, one after the other, are the text's ids.  That
-    fails only where white space stands on both sides of the cut; such texts are encoded whole.
+    The pre-tokenizer of a byte-level BPE never joins a visible character to a blank after it, nor a
+    letter to punctuation after it.  So a text may be cut before each blank, full stop and comma and
+    around each line feed: the ids of the pieces, one after the other, are the text's ids.  That
+    fails where white space meets white space or punctuation follows anything but a letter or a
+    digit; such texts are cut at fewer places or encoded whole.
     """
 
     def __init__(self, tokenizer_json: str):
+        import json
         import os
         import re
 
@@ -40,66 +43,80 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.np, self.tokenizer = np, Tokenizer.from_str(tokenizer_json)
-        own = __import__("json").loads(tokenizer_json)
+        own = json.loads(tokenizer_json)
         pre = own.get("pre_tokenizer") or {}
         #: Cutting is only right for this kind.
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not own.get("normalizer") and not own.get("post_processor")
         self.wide = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
-        self.unsafe = re.compile("[\\s᠎​﻿] (?:[\\s᠎​﻿]|\\Z)").search
-        self.blanks = frozenset(filter(str.isspace, map(chr, range(1 << 16)))) | set("᠎​﻿")
-        self.known: dict[str, bytes] = {}
+        self.rough = re.compile("[.,](?<![A-Za-z0-9\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f][.,])").search
+        self.blanks = frozenset(filter(str.isspace, map(chr, range(1 << 16)))) | set("\u180e\u200b\ufeff")
+        # A byte-level vocabulary writes a blank as U+0120 and a line feed as U+010A.
+        count = self.tokenizer.get_vocab_size()
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(count)]
+        self.opens = np.array([x.startswith("\u0120") for x in names])
+        self.closes = np.array([x == "\u010a" for x in names])
+        #: By piece; None for a piece beside which a cut may be wrong.
+        self.known: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [self.np.array(e.ids, self.wide).tobytes() for e in found]
 
+    def pieces(self, text: str) -> list[str] | None:
+        """The text cut where that is right, or None if it isn't anywhere; learn() may find more."""
+        if not self.cuts or not text or "\0" in text:
+            return None
+        text = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        return (text if self.rough(text) else text.replace(".", "\0.").replace(",", "\0,")).split("\0")
+
     def learn(self, new: list[str]) -> None:
-        """Encode ' ' + chunk for new chunks, many in one text with a line feed or tab between them.
+        """Encode new pieces, many in one text.
 
-        Between two visible characters, the second after a blank, either is a token of its own.
+        Those that begin with a blank follow each other as they are: their first tokens are the only
+        ones that begin with a blank.  Others have a line feed after each, which is a token then.
         """
-        np = self.np
-        rest = []
+        blanks, spaced, plain = self.blanks, [], []
         for x in new:
-            if not x or x[0] in self.blanks or x[-1] in self.blanks:
-                rest.append(x)
-        plain = list(set(new).difference(rest))
-        for mark in "\n\t":
-            part, plain = [x for x in plain if mark not in x], [x for x in plain if mark in x]
-            cut = int(self.tokenizer.encode(mark, add_special_tokens=False).ids[0])
-            for a in range(0, len(part), 2000):
-                own = part[a : a + 2000]
-                found = self.whole(["".join(f" {x}{mark}" for x in own)])[0]
-                ids = np.frombuffer(found, self.wide)
-                at = np.flatnonzero(ids == cut).tolist()
-                if len(at) != len(own):
-                    raise ValueError("the tokenizer joins a mark to its surroundings")
-                size = self.wide.itemsize
-                begins = [0, *((i + 1) * size for i in at)]
-                self.known.update((x, found[i : j - size]) for x, i, j in zip(own, begins, begins[1:], strict=False))
-        rest += plain
-        self.known.update(zip(rest, self.whole([" " + x for x in rest]), strict=True))
+            if not x or x[-1] in blanks or x[0] in blanks and (x[0] != " " or x[1] in blanks):
+                self.known[x] = None
+            else:
+                (spaced if x[0] == " " else plain).append(x)
+        self.known["\n"] = self.whole(["\n"])[0]
+        self.split(spaced, "", self.opens, 0)
+        self.split(plain, "\n", self.closes, 1)
+
+    def split(self, pieces: list[str], mark: str, flags, after: int) -> None:
+        """Encode pieces, a mark after each, and cut the ids before or after the flagged ones."""
+        np, size = self.np, self.wide.itemsize
+        groups = [pieces[a : a + 1000] for a in range(0, len(pieces), 1000)]
+        for own, found in zip(groups, self.whole([mark.join([*g, ""]) for g in groups]), strict=True):
+            ids = np.frombuffer(found, self.wide)
+            at = (size * np.flatnonzero(flags[ids])).tolist()
+            if len(at) != len(own):
+                raise ValueError("the tokenizer joins pieces that it should not")
+            begins = [0, *(i + size for i in at)] if after else [*at, len(found)]
+            self.known.update((x, found[i : j - after * size]) for x, i, j in zip(own, begins, begins[1:], strict=False))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of type ``wide``."""
-        out, cut = [None] * len(texts), []
-        if self.cuts:
-            cut = [i for i, t in enumerate(texts) if t and t[0] != " " and not self.unsafe(t)]
-        rest = sorted(set(range(len(texts))) - set(cut))
+        out, cut = [b""] * len(texts), [self.pieces(t) for t in texts]
+        if 2 * len(self.known) > REMEMBERED:  # what is met again comes back from the older half
+            self.known, self.old = {}, self.known
+        new = set().union(*(x for x in cut if x is not None)) - self.known.keys()
+        for x in new & self.old.keys():
+            self.known[x] = self.old[x]
+        new -= self.known.keys()
+        if new:
+            self.learn(list(new))
+        get, rest = self.known.__getitem__, []
+        for i, x in enumerate(cut):
+            try:
+                out[i] = b"".join(map(get, x))
+            except TypeError:  # not cut, or None among the pieces
+                rest.append(i)
         for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
             out[i] = ids
-        for a in range(0, len(cut), 256):
-            part = cut[a : a + 256]
-            split = [texts[i].split(" ") for i in part]
-            heads = self.whole([s.pop(0) for s in split])
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = set().union(*split) - self.known.keys()
-            if new:
-                self.learn(list(new))
-            get = self.known.__getitem__
-            for i, head, s in zip(part, heads, split, strict=True):
-                out[i] = head + b"".join(map(get, s))
         return out
 
 

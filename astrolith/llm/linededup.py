@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_BYTES, ROW_BYTES, written
 
 WINDOW = 3
 
@@ -58,11 +58,11 @@ def _order() -> Column:
 
 def covered(docs: DataFrame, key: str, text: str, width: int = WINDOW) -> DataFrame:
     """(id, tie, spans) for each document that has later occurrences: merged (at, until) of lines."""
-    # Twice: what is counted first is not kept, as the windows of a corpus are as large as its text.
-    rows = windows(docs, key, text, width)
+    # 32 bytes for each window, written so that the texts are split and hashed once.
+    rows = written(windows(docs, key, text, width), "windows")
     repeated = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(_order()).alias("first")).filter("n > 1").drop("n")
     repeated = written(repeated, "repeated-windows")
-    later = rows.join(repeated, ["a", "b"]).filter(_order() > F.col("first"))
+    later = rows.join(repeated.hint("merge"), ["a", "b"]).filter(_order() > F.col("first"))
     return written(later.groupBy("id", "tie").agg(F.collect_set(F.struct("at", "until")).alias("spans")), "covered")
 
 
@@ -72,6 +72,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     tie = F.when(F.col(key).isNull(), F.md5(F.col(text).cast("binary"))).otherwise("")
     rows = docs.withColumn("_tie", F.coalesce(tie, F.lit("")))
     found = spans.select(F.col("id").alias("_id"), F.col("tie").alias("_of"), "spans")
+    # Spans are sent to the texts, not texts to the spans, as long as all of them are counted to be small.
+    size = spans.agg(F.sum(F.size("spans") * 16 + ROW_BYTES)).first()[0] or 0
+    found = F.broadcast(found) if size <= BROADCAST_BYTES else found.hint("merge")
     rows = rows.join(found, rows[key].eqNullSafe(found["_id"]) & (rows["_tie"] == found["_of"]), "left")
     # Covered lines merged: sorted spans, a line is out if it lies in one of them.
     marks = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["until"]))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STRING = r"^ *'((?:[^']|'')*)'"
-_COMMENT = r"^ *(?:'(?:[^']|'')*'|[^/']*)/ ?(.*)$"
+_COMMENT = r"^ *(?:'(?:[^']|'')*'|[^/']*) */ ?(.*)$"
 
 
 def name(card: Column) -> Column:

@@ -72,6 +72,56 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def lean(batches):
+    """A function for mapInArrow that leaves little behind in the worker, which Spark uses again.
+
+    Caches that another stage left are dropped before it, and freed memory goes back after it.
+    """
+
+    def run(frames):
+        import ctypes
+        import gc
+        import sys
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        kept, stage = sys.modules.get("_astrolith_kept"), TaskContext.get().stageId()
+        if kept is not None and kept.stage != stage:
+            del sys.modules["_astrolith_kept"], kept
+            gc.collect()
+        try:
+            yield from batches(frames)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
+def kept(name: str, make):
+    """What make() gives, kept in the worker from task to task of a stage."""
+    import sys
+    import types
+
+    from pyspark import TaskContext
+
+    own = sys.modules.setdefault("_astrolith_kept", types.ModuleType("_astrolith_kept"))
+    context = TaskContext.get()
+    own.stage = context.stageId() if context else None
+    if name not in own.__dict__:
+        own.__dict__[name] = make()
+    return own.__dict__[name]
+
+
+def slices(column, rows: int = 512):
+    """The values of an Arrow column as lists, so many at a time."""
+    for a in range(0, len(column), rows):
+        yield column[a : a + rows].to_pylist()
+
+
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node that an edge (a, b) touches; root is its component's least node.
 

@@ -29,8 +29,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Items in a block; anchors of an item; walks; steps in a key; words that are worked on at a time.
-BLOCK_ITEMS, ANCHORS, WALKS, SAMPLED, BATCH_WORDS = 20_000, 4, 16, 3, 1 << 21
+BLOCK_ITEMS, ANCHORS, WALKS, SAMPLED, BATCH_WORDS = 20_000, 4, 16, 3, 1 << 20
 #: The least repetitions, and the most that are ever needed for the default similarity and recall.
 LEAST, MOST = 16, 1024
 
@@ -175,7 +177,7 @@ class Index:
             key = (key ^ (key >> np.uint64(29))) * m + symbols[:, j].astype(np.uint64)
         return key
 
-    def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+    def find(self, texts) -> list[tuple[int, int, int, int, int]]:
         """(text's index, item's index, distance, first word, word after the last) of what is found.
 
         An item is given once for a text: the place of least distance, the first of these.
@@ -183,6 +185,7 @@ class Index:
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
         held, begins, size, first = [], [0], 0, 0
         for t, text in enumerate(texts):
+            text = text.as_py() if hasattr(text, "as_py") else text
             ws = words(text)
             held.append(np.fromiter(map(self.vocabulary.get, ws, itertools.repeat(0)), np.int64, len(ws)))
             size += len(ws)
@@ -251,14 +254,14 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
 
             index = Index(block, similarity, count)
             for batch in frames:
-                rows = index.find(batch.column(1).to_pylist()) if block else []
+                rows = index.find(batch.column(1)) if block else []
                 t, k, d, a, b = (np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else [[]] * 5))
                 ids = [index.items[x][0] for x in k.tolist()]
                 size = np.array([len(index.items[x][1]) for x in k.tolist()], float)
                 cols = [batch.column(0).take(pa.array(t)), pa.array(ids, pa.int64()), pa.array(d.astype(np.int32)), pa.array(1 - d / np.maximum(size, 1)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-        found = docs.select(key, text).mapInArrow(batches, kinds)
+        found = docs.select(key, text).mapInArrow(lean(batches), kinds)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -275,10 +278,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
             for batch in frames:
                 clean = np.ones(batch.num_rows, bool)
                 if block:
-                    clean[[t for t, *_ in index.find(batch.column(at).to_pylist())]] = False
+                    clean[[t for t, *_ in index.find(batch.column(at))]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(batches, docs.schema)
+        docs = docs.mapInArrow(lean(batches), docs.schema)
     return docs
 
 

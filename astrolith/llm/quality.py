@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, slices, written
 
 #: The transformed statistics, in the order of ``statistics``.
 NAMES = ("size", "lower", "upper", "marks", "digits", "repeats", "distinct", "common", "length", "spread", "other")
@@ -70,12 +70,12 @@ def statistics_of(docs: DataFrame, key: str, text: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in frames:
-            x = statistics(batch.column(1).to_pylist())
+            x = np.concatenate([statistics(t) for t in slices(batch.column(1))] or [statistics([])])
             ends = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()))], [key, "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(batches, f"`{key}` {kind}, x array<double>")
+    return docs.select(key, text).mapInArrow(lean(batches), f"`{key}` {kind}, x array<double>")
 
 
 @dataclasses.dataclass
@@ -133,7 +133,7 @@ def moments_of(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray
             if sums[c][0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(sums.shape[1], c, np.int32)), pa.array(np.arange(sums.shape[1], dtype=np.int32)), pa.array(sums[c])], ["label", "i", "v"])
 
-    added = rows.mapInArrow(batches, "label int, i int, v double").groupBy("label", "i").agg(F.sum("v").alias("v")).collect()
+    added = rows.mapInArrow(lean(batches), "label int, i int, v double").groupBy("label", "i").agg(F.sum("v").alias("v")).collect()
     out = {}
     for c in {r["label"] for r in added}:
         v = np.array([x for _, x in sorted((r["i"], r["v"]) for r in added if r["label"] == c)])
@@ -165,7 +165,7 @@ def scored(stats: DataFrame, model: Model, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], [key, "score"])
 
     kind = stats.schema[key].dataType.simpleString()
-    return stats.select(key, "x").mapInArrow(batches, f"`{key}` {kind}, score double")
+    return stats.select(key, "x").mapInArrow(lean(batches), f"`{key}` {kind}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
@@ -176,10 +176,10 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float =
         import pyarrow as pa
 
         for batch in frames:
-            score = model.score(statistics(batch.column(at).to_pylist()))
+            score = model.score(np.concatenate([statistics(t) for t in slices(batch.column(at))] or [statistics([])]))
             yield batch.filter(pa.array(score >= least))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(lean(batches), docs.schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

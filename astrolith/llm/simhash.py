@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, task_count, written
+from .common import connected, lean, slices, task_count, written
 
 BITS = 64
 
@@ -54,11 +54,11 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 5, seed: i
             return int(np.packbits(2 * ones > n).view(">i8")[0])
 
         for batch in frames:
-            fps = [fingerprint(t) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(t) for texts in slices(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [key, "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(batches, f"`{key}` {kind}, fp bigint")
+    return docs.select(key, text).mapInArrow(lean(batches), f"`{key}` {kind}, fp bigint")
 
 
 def agreeing(count: int, distance: int) -> int:
@@ -86,7 +86,7 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 1024) -> DataFrame:
     rows = fps.select("fp", F.posexplode(F.array(*keys)).alias("t", "bits"))
     sizes = rows.groupBy("t", "bits").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = written(sizes, "buckets")
-    rows = rows.join(sizes, ["t", "bits"])
+    rows = rows.join(sizes.hint("merge"), ["t", "bits"])
     # Bucket rows meet as chunk pairs (i, j), i <= j: a row goes to the pairs that its chunk is in.
     dealt = F.pmod(F.xxhash64("fp", F.lit("chunk")), F.ceil(F.col("n") / chunk)).cast("int")
     rows = rows.withColumn("c", dealt).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
@@ -144,7 +144,7 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 1024) -> DataFrame:
         both = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    return rows.mapInArrow(batches, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(lean(batches), "a bigint, b bigint").distinct()
 
 
 def classes(docs: DataFrame, key: str, text: str, distance: int = 4, shingle: int = 5, chunk: int = 1024) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pfor
-from .common import scratch_path, task_count, written
+from .common import kept, lean, scratch_path, slices, task_count, written
 
 #: A segment is closed once it holds so many tokens, and a file once it holds so many segments.
 SEGMENT_TOKENS, FILE_SEGMENTS = 1 << 20, 4
@@ -121,16 +121,10 @@ class Encoder:
 
 
 def encoder(tokenizer_json: str) -> Encoder:
-    """The worker's encoder, kept from task to task."""
-    import sys
-    import types
+    """The worker's encoder, kept from task to task of a stage."""
     import zlib
 
-    kept = sys.modules.setdefault("_astrolith_encoders", types.ModuleType("_astrolith_encoders")).__dict__
-    name = f"e{zlib.crc32(tokenizer_json.encode())}"
-    if name not in kept:
-        kept[name] = Encoder(tokenizer_json)
-    return kept[name]
+    return kept(f"encoder_{zlib.crc32(tokenizer_json.encode())}", lambda: Encoder(tokenizer_json))
 
 
 def read_tokenizer(path: str) -> str:
@@ -164,9 +158,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, k
             return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["segment"])
 
         for batch in frames:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a in range(0, len(keys), 512):
-                for k, b in zip(keys[a : a + 512], enc.encode([t or "" for t in texts[a : a + 512].to_pylist()]), strict=True):
+            for keys, texts in zip(slices(batch.column(0)), slices(batch.column(1)), strict=True):
+                for k, b in zip(keys, enc.encode([t or "" for t in texts]), strict=True):
                     ids.append(k)
                     blobs.append(b + end)
                     held += len(b) // enc.wide.itemsize + 1
@@ -175,7 +168,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, k
         if ids:
             yield segment()
 
-    out = rows.mapInArrow(batches, "segment binary").select(F.col("segment").cast("string").alias("value"))
+    out = rows.mapInArrow(lean(batches), "segment binary").select(F.col("segment").cast("string").alias("value"))
     out.write.option("maxRecordsPerFile", FILE_SEGMENTS).option("lineSep", "\n").option("compression", "none").text(path)
 
 
@@ -216,7 +209,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     yield pa.RecordBatch.from_arrays(cols, names)
 
     kinds = "partition int, seq int, place int, doc_id bigint, own_start bigint, n_tokens bigint, ids_crc32 bigint"
-    docs = written(files.mapInArrow(batches, kinds + (", ids array<bigint>" if with_ids else "")), "tokens-read")
+    docs = written(files.mapInArrow(lean(batches), kinds + (", ids array<bigint>" if with_ids else "")), "tokens-read")
     # One row for each written partition: that many rows come to the driver.
     totals = docs.groupBy("partition").agg(F.sum("n_tokens").alias("n")).orderBy("partition").collect()
     before, rows = 0, []

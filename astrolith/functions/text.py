@@ -14,9 +14,9 @@ def field(row: Column, start: int, width: int) -> Column:
 
 
 def field_null(text: Column, null: str | None = None) -> Column:
-    """Whether a field is null: blank, or equal to the null string without trailing blanks."""
-    blank = F.trim(text) == ""
-    return blank | (F.rtrim(text) == F.lit(null.rstrip())) if null is not None else blank
+    """Whether a field is null: blank, or equal to the null string without blanks around both."""
+    inner = F.trim(text)
+    return (inner == "") | (inner == F.lit(null.strip())) if null is not None else inner == ""
 
 
 def parse_integer(text: Column) -> Column:

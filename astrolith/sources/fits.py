@@ -382,12 +382,13 @@ class TableReader(_Reader):
     def texts(self, x: Field, cell: np.ndarray) -> pa.Array:
         """Values of an ASCII field."""
         raw = [b.tobytes().decode("latin-1") for b in cell]
-        null = x.null if isinstance(x.null, str) else None
+        blank = " \0"
+        nulls = {""} | ({x.null.strip(blank)} if isinstance(x.null, str) else set())
         if x.code == "A":
-            return pa.array([None if null is not None and t.rstrip() == null.rstrip() else t.rstrip(" ") for t in raw], pa.string())
+            return pa.array([None if t.strip(blank) in nulls else t.rstrip(blank) for t in raw], pa.string())
         out = []
         for t in raw:
-            if not t.strip() or (null is not None and t.rstrip() == null.rstrip()):
+            if t.strip(blank) in nulls:
                 out.append(None)
             elif x.code == "I":
                 v = ascii_integer(t)

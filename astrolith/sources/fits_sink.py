@@ -44,11 +44,11 @@ def card(name: str, value=None, comment: str | None = None) -> bytes:
             out, rest, first = "", inner, True
             while rest or first:
                 cut = min(67, len(rest))
-                while cut > 1 and rest[:cut].count("'") % 2 and rest[cut - 1] == "'":
+                while rest[:cut].count("'") % 2:  # not between two that stand for one
                     cut -= 1
                 part, rest = rest[:cut], rest[cut:]
-                out += (f"{name:<8}= '" if first else "CONTINUE  '") + part + ("&" if rest else "") + "'" + " " * 80
-                out = out[: -(len(out) % 80)] if len(out) % 80 else out
+                out += (f"{name:<8}= '" if first else "CONTINUE  '") + part + ("&" if rest else "") + "'"
+                out = out.ljust(-(-len(out) // 80) * 80)
                 first = False
             return out.encode("latin-1")
         text = f"'{inner:<8}'"

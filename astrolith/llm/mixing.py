@@ -9,8 +9,8 @@ documents are ranked by [u / (1 - u)] / [p / (1 - p)], u a hash of the document,
 order until the source's remaining words are filled.  The gap that the last document would overshoot
 is filled by two further rounds over the documents after it that fit.
 
-The order is an integer; the rank at which a source is full is found by three rounds of partial sums
-over 18 bits each.  No source is sorted or gathered, however large, and whether a document is in is
+The order is an integer; the rank at which a source is full is found by rounds of partial sums
+over 11 bits each.  No source is sorted or gathered, however large, and whether a document is in is
 then a function of the document and of a few numbers for its source.
 
 Defined cases: a null text has no words; documents of no words take none, whatever their copies; a
@@ -20,13 +20,14 @@ rank and go in together; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import words_of, written
 
-#: The rank has three digits of so many bits.
-DIGIT = 18
+#: The rank has LEVELS digits of so many bits.
+DIGIT = 11
+LEVELS = 5
 #: A source is filled in so many rounds.
 ROUNDS = 3
 #: Half the word count at which a document is favoured by a half.
@@ -120,8 +121,8 @@ def _ranked(rows: DataFrame, known: DataFrame, seed: int) -> DataFrame:
     u = _uniform(F.col("key"), F.col("size"), seed)
     # odds(u) / odds(p), put into (0, 1) by q / (1 + q).
     share = u * (1 - p) / (u * (1 - p) + p * (1 - u))
-    rank = F.floor(share * float(1 << 3 * DIGIT)).cast("bigint")
-    return rows.withColumn("rank", F.when(p > 1e-9, F.least(rank, F.lit((1 << 3 * DIGIT) - 1))))
+    rank = F.floor(share * float(1 << LEVELS * DIGIT)).cast("bigint")
+    return rows.withColumn("rank", F.when(p > 1e-9, F.least(rank, F.lit((1 << LEVELS * DIGIT) - 1))))
 
 
 def _limits(ranked: DataFrame, left: dict, most: dict, rounds: list[dict], nearest: bool) -> dict[str | None, tuple[int, int]]:
@@ -134,7 +135,7 @@ def _limits(ranked: DataFrame, left: dict, most: dict, rounds: list[dict], neare
     state = {s: (0, 0) for s in left}  # prefix of the rank so far, words before it
     last: dict[str | None, tuple[int, int]] = {}
     kinds = "source string, prefix bigint, words bigint, want double, most bigint, rounds array<bigint>"
-    for level in (2, 1, 0):
+    for level in reversed(range(LEVELS)):
         rows = [(s, p, w, float(left[s]), most[s], [y for r in rounds for y in r[s]]) for s, (p, w) in state.items()]
         if not rows:
             break
@@ -142,19 +143,27 @@ def _limits(ranked: DataFrame, left: dict, most: dict, rounds: list[dict], neare
         digits = ranked.join(F.broadcast(frame), ranked["source"].eqNullSafe(frame["source"])).drop(frame["source"])
         digits = digits.filter((F.shiftright("rank", DIGIT * (level + 1)) == F.col("prefix")) & (F.col("size") <= F.col("most")))
         digits = digits.filter(~_chosen(F.col("rounds"), len(rounds)))
-        digits = digits.groupBy("source", "words", "want", F.shiftright("rank", DIGIT * level).alias("digit")).agg(F.sum("size").alias("n"))
-        # A source has 2^18 digits at most here, however many documents it has.
-        run = Window.partitionBy("source").orderBy("digit")
-        digits = digits.withColumn("upto", F.col("words") + F.sum("n").over(run))
-        row = F.struct("digit", "upto", "n")
-        found = digits.groupBy("source").agg(
-            F.min(F.when(F.col("upto") > F.col("want"), row)).alias("over"), F.max(F.when(F.col("upto") <= F.col("want"), row)).alias("under")
-        ).collect()
+        digits = digits.groupBy("source", F.shiftright("rank", DIGIT * level).alias("digit")).agg(F.sum("size").alias("n"))
+        # At most 2^DIGIT rows for each source come to the driver, however many documents it has.
+        sums: dict = {}
+        for r in digits.collect():
+            sums.setdefault(r["source"], []).append((r["digit"], r["n"]))
+        found = []
+        for s, own in sums.items():
+            upto, over, under = state[s][1], None, None
+            for digit, n in sorted(own):
+                upto += n
+                row = {"digit": digit, "upto": upto, "n": n}
+                if upto > left[s]:
+                    over = row
+                    break
+                under = row
+            found.append({"source": s, "over": over, "under": under})
         before, state = state, {}
         for r in found:
             s, over, under = r["source"], r["over"], r["under"]
             if over is None:  # all are in
-                last[s] = ((1 << 3 * DIGIT) - 1 if level else under["digit"], under["upto"])
+                last[s] = ((1 << LEVELS * DIGIT) - 1 if level else under["digit"], under["upto"])
             elif level:
                 state[s] = (over["digit"], over["upto"] - over["n"])
             else:

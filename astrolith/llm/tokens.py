@@ -20,7 +20,7 @@ from .common import kept, lean, scratch_path, slices, task_count, written
 #: A segment is closed once it holds so many tokens, and a file once it holds so many segments.
 SEGMENT_TOKENS, FILE_SEGMENTS = 1 << 20, 4
 #: So many distinct chunks of text are remembered by a Python worker at most.
-REMEMBERED = 700_000
+REMEMBERED = 560_000
 
 
 class Encoder:

@@ -70,20 +70,21 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     """docs with the lines of later occurrences left out of text, and lines_removed: how many."""
     spans = covered(docs, key, text, width)
     tie = F.when(F.col(key).isNull(), F.md5(F.col(text).cast("binary"))).otherwise("")
-    rows = docs.withColumn("_tie", F.coalesce(tie, F.lit("")))
-    found = spans.select(F.col("id").alias("_id"), F.col("tie").alias("_of"), "spans")
+    names = [c for c in docs.columns if c != "lines_removed"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(key).alias("id"), F.coalesce(tie, F.lit("")).alias("tie"), F.col(text).alias("text"))
+    found = spans.select(F.col("id").alias("of"), F.col("tie").alias("of_tie"), "spans")
     # Spans are sent to the texts, not texts to the spans, as long as all of them are counted to be small.
     size = spans.agg(F.sum(F.size("spans") * 16 + ROW_BYTES)).first()[0] or 0
     found = F.broadcast(found) if size <= BROADCAST_BYTES else found.hint("merge")
-    rows = rows.join(found, rows[key].eqNullSafe(found["_id"]) & (rows["_tie"] == found["_of"]), "left")
-    # Covered lines merged: sorted spans, a line is out if it lies in one of them.
+    rows = rows.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie")), "left")
+    # Covered lines merged: a line is out if it lies in one of the spans.
     marks = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["until"]))))
-    lines = _lines(F.col(text))
+    lines = _lines(F.col("text"))
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), marks), lambda i: F.get(lines, i)), "\n")
-    rows = rows.withColumn("_left", F.when(F.col("spans").isNull(), F.col(text)).otherwise(left))
-    full = lambda t: F.size(F.filter(_lines(t), lambda line: F.trim(line) != ""))
-    gone = F.when(F.col("spans").isNull(), 0).otherwise(full(F.col(text)) - full(F.col("_left")))
-    return rows.select(*[F.col("_left").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns], gone.alias("lines_removed"))
+    rows = rows.withColumn("left", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left))
+    full = lambda t: F.size(F.filter(_lines(F.col(t)), lambda line: F.trim(line) != ""))
+    gone = F.when(F.col("spans").isNull(), 0).otherwise(full("text") - full("left"))
+    return rows.select(*[F.col("left").alias(c) if c == text else F.col("row")[c].alias(c) for c in names], gone.alias("lines_removed"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import codecs
+from ..sources.codecs import NULL_CODE, ZERO_CODE
+
 
 def quantize_parameters(pixels: DataFrame, tile: str, value: str) -> DataFrame:
     """(tile, scale, zero, lossless) from the finite values of each tile.
@@ -26,8 +29,6 @@ def quantize_parameters(pixels: DataFrame, tile: str, value: str) -> DataFrame:
 
 def quantize(value: Column, scale: Column, zero: Column, draw: Column | float = 0.5, keep_zero: bool = False) -> Column:
     """The stored integer of a real value; draw is the pixel's random number, one half without dithering."""
-    from ..sources.codecs import NULL_CODE, ZERO_CODE
-
     draw = F.lit(draw) if isinstance(draw, float) else draw
     x = F.round((value - zero) / scale + (draw - 0.5)).cast("int")
     x = F.when(value == 0, F.lit(ZERO_CODE)).otherwise(x) if keep_zero else x
@@ -36,8 +37,6 @@ def quantize(value: Column, scale: Column, zero: Column, draw: Column | float =
 
 def unquantize(stored: Column, scale: Column, zero: Column, draw: Column | float = 0.5, keep_zero: bool = False) -> Column:
     """The real value of a stored integer; null for the code of NaN."""
-    from ..sources.codecs import NULL_CODE, ZERO_CODE
-
     draw = F.lit(draw) if isinstance(draw, float) else draw
     x = (stored - draw + 0.5) * scale + zero
     x = F.when(stored == ZERO_CODE, F.lit(0.0)).otherwise(x) if keep_zero else x
@@ -50,8 +49,6 @@ def encode(tiles: DataFrame, codec: str, kind: np.dtype, block: int = 32) -> Dat
     def batches(frames):
         import pyarrow as pa
 
-        from astrolith.sources import codecs
-
         for batch in frames:
             shapes = batch.column("shape").to_pylist()
             out = [codecs.encode(codec, np.array(v, kind), block, tuple(s) if s else None) for v, s in zip(batch.column("values").to_pylist(), shapes, strict=True)]
@@ -66,8 +63,6 @@ def decode(tiles: DataFrame, codec: str, kind: np.dtype, block: int = 32) -> Dat
     def batches(frames):
         import pyarrow as pa
 
-        from astrolith.sources import codecs
-
         for batch in frames:
             both = zip(batch.column("data").to_pylist(), batch.column("count").to_pylist(), strict=True)
             out = [codecs.decode(codec, x, n, kind, block).astype(np.int64) for x, n in both]

@@ -6,11 +6,12 @@ They work on one tile at a time, with numpy where the format lets whole arrays b
 from __future__ import annotations
 
 import gzip
-import math
+import zlib
 
 import numpy as np
 
 from ..errors import CorruptData, LimitExceeded, UnsupportedCodec
+from . import hcompress
 
 #: Fixed values of the format: bits of a RICE block's code, the code for verbatim values less one, bits of a value.
 RICE = {1: (3, 6, 8), 2: (4, 14, 16), 4: (5, 25, 32)}
@@ -28,8 +29,6 @@ def gzip_encode(data: bytes) -> bytes:
 
 def gzip_decode(data: bytes, size: int) -> bytes:
     """The size bytes that a gzip member holds; anything else is an error, and no more is inflated."""
-    import zlib
-
     if size > MAX_TILE:
         raise LimitExceeded("tile")
     d = zlib.decompressobj(31)
@@ -280,8 +279,6 @@ def unquantize(stored: np.ndarray, scale: float, zero: float, draws: np.ndarray
 
 def encode(codec: str, values: np.ndarray, block: int = 32, shape: tuple[int, ...] | None = None) -> bytes:
     """A tile's bytes; values have their stored type."""
-    from . import hcompress
-
     v = np.asarray(values)
     big = v.astype(v.dtype.newbyteorder(">"))
     if codec == "GZIP_1":
@@ -299,8 +296,6 @@ def encode(codec: str, values: np.ndarray, block: int = 32, shape: tuple[int, ..
 
 def decode(codec: str, data: bytes, count: int, kind: np.dtype, block: int = 32) -> np.ndarray:
     """count values of a stored type from a tile's bytes."""
-    from . import hcompress
-
     kind = np.dtype(kind)
     if count * kind.itemsize > MAX_TILE:
         raise LimitExceeded("tile")

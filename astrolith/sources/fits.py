@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from .. import errors
-from . import codecs, filespec
+from ..functions.text import resolve, wildcard
+from . import codecs, filespec, integrity
+from .fits_sink import FitsWriter
 from .header import LIMITS, Hdu, scan
 from .schema import NUMPY, Field, fields_of, width_of
 
@@ -113,8 +119,6 @@ class FitsSource(DataSource):
         return READERS[plan["mode"]](plan, schema)
 
     def writer(self, schema: T.StructType, overwrite: bool):
-        from .fits_sink import FitsWriter
-
         return FitsWriter(self.options, schema, overwrite)
 
 
@@ -172,9 +176,14 @@ class _Reader(DataSourceReader):
         with open_file(partition.path) as f:
             yield from self.batches(f, self.find(f, self.plan), partition)
 
-    def arrays(self, made: dict[str, pa.Array]) -> pa.RecordBatch:
-        from pyspark.sql.pandas.types import to_arrow_schema
+    def whole(self, f, path: str):
+        """All batches of an open file."""
+        h = self.find(f, self.plan)
+        count = self.count(h)
+        if count:
+            yield from self.batches(f, h, Ranges(path, 0, count - 1))
 
+    def arrays(self, made: dict[str, pa.Array]) -> pa.RecordBatch:
         want = to_arrow_schema(self.out)
         return pa.RecordBatch.from_arrays([made[n].cast(want.field(n).type) if made[n].type != want.field(n).type else made[n] for n in self.out.names], schema=want)
 
@@ -189,9 +198,11 @@ class _Whole(_Reader):
     def infer(cls, plan: dict) -> T.StructType:
         return cls.table
 
-    def rows(self, rows: list[dict]):
-        from pyspark.sql.pandas.types import to_arrow_schema
+    def read(self, partition: Ranges):
+        with open_file(partition.path) as f:
+            yield from self.whole(f, partition.path)
 
+    def rows(self, rows: list[dict]):
         want = to_arrow_schema(self.out)
         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], want.field(n).type) for n in self.out.names], schema=want)
 
@@ -199,38 +210,34 @@ class _Whole(_Reader):
 class HdusReader(_Whole):
     table, unit = HDUS, "hdu"
 
-    def read(self, partition: Ranges):
-        from . import integrity
-
-        with open_file(partition.path) as f:
-            size, out = size_of(f), []
-            check = {"datasum_status", "checksum_status"} & set(self.out.names)
-            for h in scan(f, size):
-                own = {
-                    "path": partition.path, "hdu": h.number, "kind": h.kind, "extname": h.extname, "extver": h.extver, "bitpix": h.bitpix, "naxis": len(h.axes), "axes": h.axes, "pcount": h.pcount,
-                    "gcount": h.gcount, "header_off": h.at, "data_off": h.data_at, "data_bytes": h.data_bytes, "truncated": h.end > size, "tfields": h.header.value("TFIELDS"),
-                }
-                states = integrity.verify(f, h) if check and h.end <= size else (None, None)
-                out.append(own | {"datasum_status": states[0], "checksum_status": states[1]})
+    def whole(self, f, path: str):
+        size, out = size_of(f), []
+        check = {"datasum_status", "checksum_status"} & set(self.out.names)
+        for h in scan(f, size):
+            own = {
+                "path": path, "hdu": h.number, "kind": h.kind, "extname": h.extname, "extver": h.extver, "bitpix": h.bitpix, "naxis": len(h.axes), "axes": h.axes, "pcount": h.pcount,
+                "gcount": h.gcount, "header_off": h.at, "data_off": h.data_at, "data_bytes": h.data_bytes, "truncated": h.end > size, "tfields": h.header.value("TFIELDS"),
+            }
+            states = integrity.verify(f, h) if check and h.end <= size else (None, None)
+            out.append(own | {"datasum_status": states[0], "checksum_status": states[1]})
         yield from self.rows(out)
 
 
 class CardsReader(_Whole):
     table, unit = CARDS, "hdu"
 
-    def read(self, partition: Ranges):
+    def whole(self, f, path: str):
         out = []
-        with open_file(partition.path) as f:
-            for h in scan(f, size_of(f)):
-                for i, c in enumerate(h.header.cards):
-                    v = c.value if c.kind in ("value", "hierarch") else None
-                    kind = {bool: "logical", int: "int", float: "float", complex: "complex", str: "string"}.get(type(v), "undefined") if c.kind in ("value", "hierarch") else None
-                    unit = c.comment[1 : c.comment.index("]")] if c.comment and c.kind != "commentary" and c.comment.startswith("[") and "]" in c.comment else None
-                    out.append({
-                        "path": partition.path, "hdu": h.number, "idx": i, "name": c.name, "kind": c.kind, "raw": c.raw, "value_type": kind, "v_int": v if kind == "int" else None,
-                        "v_float": float(v) if kind in ("int", "float") else None, "v_bool": v if kind == "logical" else None, "v_str": v if kind == "string" else c.value if c.kind == "commentary" else None,
-                        "v_re": v.real if kind == "complex" else None, "v_im": v.imag if kind == "complex" else None, "comment": c.comment, "unit": unit,
-                    })
+        for h in scan(f, size_of(f)):
+            for i, c in enumerate(h.header.cards):
+                v = c.value if c.kind in ("value", "hierarch") else None
+                kind = {bool: "logical", int: "int", float: "float", complex: "complex", str: "string"}.get(type(v), "undefined") if c.kind in ("value", "hierarch") else None
+                unit = c.comment[1 : c.comment.index("]")] if c.comment and c.kind != "commentary" and c.comment.startswith("[") and "]" in c.comment else None
+                out.append({
+                    "path": path, "hdu": h.number, "idx": i, "name": c.name, "kind": c.kind, "raw": c.raw, "value_type": kind, "v_int": v if kind == "int" else None,
+                    "v_float": float(v) if kind in ("int", "float") else None, "v_bool": v if kind == "logical" else None, "v_str": v if kind == "string" else c.value if c.kind == "commentary" else None,
+                    "v_re": v.real if kind == "complex" else None, "v_im": v.imag if kind == "complex" else None, "comment": c.comment, "unit": unit,
+                })
         yield from self.rows(out)
 
 
@@ -249,8 +256,6 @@ def decode_values(raw: np.ndarray, field: Field, plain: bool) -> pa.Array:
     mask = native == field.null if isinstance(field.null, int) and code in "BIJK" else None
     if field.unsigned:
         if field.unsigned == "u64":
-            from decimal import Decimal
-
             off = [None if mask is not None and mask[i] else Decimal(int(x) + (1 << 63)) for i, x in enumerate(native.tolist())]
             return pa.array(off, pa.decimal128(20, 0))
         kind = {"u16": "i4", "u32": "i8", "i8": "i1"}[field.unsigned]
@@ -291,9 +296,6 @@ class TableReader(_Reader):
 
     @classmethod
     def columns(cls, h: Hdu, plan: dict) -> T.StructType:
-        from ..functions.text import resolve, wildcard
-        import re
-
         if h.kind not in ("binary_table", "ascii_table"):
             raise errors.WrongHduType(h.kind)
         fields = fields_of(h.header)
@@ -399,8 +401,6 @@ class TableReader(_Reader):
 
 
 def ascii_integer(text: str) -> int:
-    import re
-
     t = text.strip()
     if not re.fullmatch(r"[+-]?\d+", t):
         raise errors.BadValue(text)
@@ -409,8 +409,6 @@ def ascii_integer(text: str) -> int:
 
 def ascii_real(text: str, decimals: int = 0) -> float:
     """A FORTRAN number: an implied point, an exponent by E or D or a bare sign."""
-    import re
-
     m = re.fullmatch(r"([+-]?)(\d*)(?:(\.)(\d*))?(?:[EeDd]([+-]?\d+)|([+-]\d+))?", text.strip())
     if not m or not (m[2] or m[4]):
         raise errors.BadValue(text)

@@ -21,12 +21,15 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from .. import errors
+from ..functions import arrays
 from ..functions.checksum import ALL_ONES, encode_number
-from . import integrity
+from . import codecs, integrity
 from .header import BLOCK, Header, make_hdu
 from .schema import NUMPY
 
@@ -191,8 +194,6 @@ class FitsWriter(DataSourceArrowWriter):
             raise errors.WrongHduType(self.mode)
 
     def write(self, iterator):
-        from pyspark import TaskContext
-
         context = TaskContext.get()
         name = f"{self.parts}/{context.partitionId():06d}-{context.taskAttemptId()}"
         os.makedirs(self.parts, exist_ok=True)
@@ -338,11 +339,6 @@ def put(f, header: Header, at: int, name: str, value: str) -> None:
 
 def write_compressed(pixels, path: str, shape: list[int], codec: str = "RICE_1", tile: list[int] | None = None, bitpix: int | None = None, dither: int | None = None, extname: str | None = None, checksum: bool = False) -> None:
     """pixels (pix, value) as a tile-compressed image: tiles are gathered, coded by tasks, and written as a table."""
-    from pyspark.sql import functions as F
-
-    from ..functions import arrays
-    from . import codecs
-
     kind = pixels.schema["value"].dataType.simpleString()
     bitpix = bitpix or {"smallint": 16, "int": 32, "bigint": 64, "float": -32, "double": -64, "tinyint": 8}[kind]
     if codec in ("RICE_1", "PLIO_1", "HCOMPRESS_1") and (bitpix not in (8, 16, 32) or dither is not None):
@@ -361,8 +357,6 @@ def write_compressed(pixels, path: str, shape: list[int], codec: str = "RICE_1",
     quantize = bitpix < 0 and dither is not None
 
     def batches(frames):
-        from astrolith.sources import codecs as own
-
         for batch in frames:
             out = {"rownum": batch.column("tile"), "COMPRESSED_DATA": [], "GZIP_COMPRESSED_DATA": [], "ZSCALE": [], "ZZERO": []}
             for t, values, size in zip(batch.column("tile").to_pylist(), batch.column("values").to_pylist(), batch.column("shape").to_pylist(), strict=True):
@@ -370,14 +364,14 @@ def write_compressed(pixels, path: str, shape: list[int], codec: str = "RICE_1",
                 if quantize:
                     finite = v[np.isfinite(v)].astype("f8")
                     if not len(finite) or np.isinf(v).any():
-                        plain, data = own.gzip_encode(v.astype(v.dtype.newbyteorder(">")).tobytes()), b""
+                        plain, data = codecs.gzip_encode(v.astype(v.dtype.newbyteorder(">")).tobytes()), b""
                     else:
                         low, high = float(finite.min()), float(finite.max())
                         scale, zero = (1.0, low) if low == high else ((high - low) / 100000.0, (low + high) / 2)
-                        q = own.quantize(v, scale, zero, own.dither(t + 1, len(v), dither))
-                        data = own.encode(codec, q)
+                        q = codecs.quantize(v, scale, zero, codecs.dither(t + 1, len(v), dither))
+                        data = codecs.encode(codec, q)
                 else:
-                    data = own.encode(codec, v, shape=(int(np.prod(size[1:])), size[0]) if codec == "HCOMPRESS_1" else None)
+                    data = codecs.encode(codec, v, shape=(int(np.prod(size[1:])), size[0]) if codec == "HCOMPRESS_1" else None)
                 for k, x in (("COMPRESSED_DATA", data), ("GZIP_COMPRESSED_DATA", plain), ("ZSCALE", scale), ("ZZERO", zero)):
                     out[k].append(x)
             arrays_ = [out["rownum"], pa.array(out["COMPRESSED_DATA"], pa.binary()), pa.array(out["GZIP_COMPRESSED_DATA"], pa.binary()), pa.array(out["ZSCALE"]), pa.array(out["ZZERO"])]

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import BadTdim, BadTform
+from ..errors import BadDimensions, BadTbcol, BadTdim, BadTform
 
 #: Fixed values of the format: bytes of an element, by code.
 WIDTHS = {"L": 1, "X": 1, "B": 1, "I": 2, "J": 4, "K": 8, "A": 1, "E": 4, "D": 8, "C": 8, "M": 16, "P": 8, "Q": 16}
@@ -141,8 +141,6 @@ def width_of(code: str, repeat: int) -> int:
 
 def fields_of(header) -> list[Field]:
     """The fields of a table's header."""
-    from ..errors import BadDimensions, BadTbcol
-
     count, binary = header.integer("TFIELDS"), header.text("XTENSION") in ("BINTABLE", "A3DTABLE")
     out, offset = [], 0
     for i in range(1, count + 1):

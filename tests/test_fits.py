@@ -276,3 +276,25 @@ def test_wcs_of_a_header(session, tmp_path):
     head = [("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 1), ("NAXIS2", 1), ("CTYPE1", "RA---TAN"), ("CTYPE2", "DEC--TAN"), ("CRPIX1", 32.0), ("CRPIX2", 32.0), ("CRVAL1", 150.0), ("CRVAL2", 2.5), ("CDELT1", -6e-4), ("CDELT2", 6e-4)]
     w = api.wcs(write(tmp_path / "w.fits", block(head), padded(b"\0")))
     assert w.crpix == (32.0, 32.0) and w.projection == "TAN" and w.m[0][0] == -6e-4
+
+
+def test_content_and_streams(session, tmp_path, monster):
+    import shutil
+
+    from astrolith.sources import content
+    from astrolith.streaming import arriving
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(2):
+        shutil.copy(monster, folder / f"{k}.fits")
+    rows = content.read(session, str(folder), columns=["STR", "INT32"])
+    assert rows.count() == 6 and rows.columns == ["rownum", "STR", "INT32"]
+    assert content.read(session, str(folder), mode="hdus").filter("kind = 'binary_table'").count() == 2
+    stream = arriving(session, str(folder), rows.schema, columns=["STR", "INT32"])
+    query = stream.groupBy("STR").agg(F.sum("INT32").alias("s")).writeStream.outputMode("complete").format("memory").queryName("arrived").start()
+    query.processAllAvailable()
+    shutil.copy(monster, folder / "2.fits")
+    query.processAllAvailable()
+    query.stop()
+    assert {r["STR"]: r["s"] for r in session.table("arrived").collect()} == {"alpha": -300000, "beta": 0, None: 300000}

@@ -206,3 +206,65 @@ def op2(spark, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", F.col("copies").cast("int").alias("copies")
     )
+
+
+#: The same arithmetic in SQL: water-filling over sources in order of cap by weight, then three rounds
+#: of running sums by rank.
+OP2_SQL = f"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
+), g as (
+  select *, floor((1000 * size)::double / (size + {2 * HALF}))::bigint as favour from d
+), s as (
+  select source, sum(size)::bigint as own, sum(favour * size)::bigint as f, min(favour) as low, max(favour) as high,
+    (1 + (row_number() over (order by source nulls last) - 1) % 3)::double as w from g group by source
+), c as (
+  select *, 3.0::double * own as most, sum(own) over ()::double as total,
+    coalesce(sum(3.0::double * own) over (order by own / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as before,
+    sum(w) over (order by own / w, source nulls last rows between current row and unbounded following) as open_w from s
+), m as (
+  select *, (total - before) * w / open_w > most as capped from c
+), t as (
+  select *, case when capped then most else (total - coalesce(sum(most) filter (where capped) over (), 0)) * w / sum(w) filter (where not capped) over () end as target from m
+), p as (
+  select source, own, target, case when own > 0 then target / own else 0.0::double end as ratio, case when own > 0 then f::double / own else 0.0::double end as mean, low, high from t
+), q as (
+  select *, case when own > 0 and greatest(high - mean, mean - low) > 0
+    then 0.25::double * greatest(0.0::double, least(ratio, 3.0::double - ratio, 1.0::double)) / greatest(high - mean, mean - low) else 0.0::double end as slope from p
+), e as (
+  select g.doc_id, g.source, g.size, q.own, q.target, greatest(0.0::double, q.ratio + q.slope * (g.favour - q.mean)) as expected
+  from g join q on g.source is not distinct from q.source
+), h as (
+  select *, floor(expected + 1e-9::double)::bigint as certain,
+    (('0x' || substr(md5(coalesce(doc_id::varchar, '') || '/' || size || '/7'), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double as u from e
+), r as (
+  select *, greatest(0.0::double, expected - certain) as p from h
+), k as (
+  select *, case when p > 1e-9::double then least(floor(u * (1 - p) / (u * (1 - p) + p * (1 - u)) * {float(1 << LEVELS * DIGIT)!r}::double)::bigint, {(1 << LEVELS * DIGIT) - 1}) end as rank from r
+), b0 as (
+  select source, target - sum(certain * size) as gap from k group by source, target
+), x1 as (
+  select k.source, rank, gap, sum(size) over (partition by k.source order by rank) as upto from k join b0 on k.source is not distinct from b0.source where rank is not null and size > 0
+), l1 as (
+  select b0.source, b0.gap - coalesce(max(upto) filter (where upto <= x1.gap), 0) as gap, coalesce(max(rank) filter (where upto <= x1.gap), -1) as last1
+  from b0 left join x1 on b0.source is not distinct from x1.source group by b0.source, b0.gap
+), x2 as (
+  select k.source, rank, gap, sum(size) over (partition by k.source order by rank) as upto from k join l1 on k.source is not distinct from l1.source
+  where rank > last1 and size > 0 and size <= greatest(0, trunc(gap))
+), l2 as (
+  select l1.source, last1, greatest(0, trunc(l1.gap)) as most2, l1.gap - coalesce(max(upto) filter (where upto <= x2.gap), 0) as gap, coalesce(max(rank) filter (where upto <= x2.gap), -1) as last2
+  from l1 left join x2 on l1.source is not distinct from x2.source group by l1.source, last1, l1.gap
+), x3 as (
+  select k.source, rank, gap, sum(size) over (partition by k.source order by rank) as upto from k join l2 on k.source is not distinct from l2.source
+  where rank > last1 and not (rank <= last2 and size <= most2) and size > 0 and size <= greatest(0, trunc(gap))
+), y3 as (
+  select source, gap, coalesce(max(upto) filter (where upto <= gap), 0) as words, max(rank) filter (where upto <= gap) as under, min(rank) filter (where upto > gap) as over, min(upto) filter (where upto > gap) as over_upto
+  from x3 group by source, gap
+), l3 as (
+  select l2.source, last1, most2, last2, greatest(0, trunc(l2.gap)) as most3,
+    case when over is not null and over_upto - y3.gap < y3.gap - words then over else coalesce(under, -1) end as last3 from l2 left join y3 on l2.source is not distinct from y3.source
+)
+select k.doc_id, k.size, k.own as source_size, k.target, k.size * c.copies as taken, k.source, c.copies::int as copies
+from k join l3 on k.source is not distinct from l3.source,
+  lateral (select k.certain + (coalesce(rank <= last1 or (rank <= last2 and size <= most2) or (rank <= last3 and size <= most3), false))::int as copies) c
+"""

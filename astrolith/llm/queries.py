@@ -19,6 +19,7 @@ QUERIES = {
 
 #: Equivalent SQL, where SQL can express the operator.
 ORACLE_SQL: dict[str, str] = {
+    "op2_pareto_mixing": mixing.OP2_SQL,
     "op4_warc_archive": warc.OP4_SQL,
     "op5_extendible_sharding": sharding.OP5_SQL,
     "op6_url_rules": urlrules.OP6_SQL,

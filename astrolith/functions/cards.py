@@ -121,8 +121,11 @@ def same_hierarch(a: Column, b: Column) -> Column:
 
 def split_long(text: Column, width: int = 67) -> Column:
     """The pieces of a long text for CONTINUE cards: all but the last end in an ampersand."""
-    count = F.greatest(F.lit(1), F.ceil(F.length(text) / width).cast("int"))
-    return F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(F.substr(text, (i - 1) * width + 1, F.lit(width)), F.when(i < count, "&").otherwise("")))
+    # One pass over the text: a piece is the longest run of characters that still fits.
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    pieces = F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces)
+    last = F.size(pieces) - 1
+    return F.transform(pieces, lambda x, i: F.concat(x, F.when(i < last, "&").otherwise("")))
 
 
 def assemble(cards: DataFrame, by: list[str], order: str, base: str, text: str) -> DataFrame:

@@ -44,7 +44,9 @@ def widths(fields: DataFrame, wanted: DataFrame) -> DataFrame:
     """hdu, width, ok: the fields' widths by TFORM, added up, against NAXIS1."""
     from ..sources.schema import tform_columns
 
-    total = fields.groupBy("hdu").agg(F.sum(tform_columns(F.col("tform"))["width"]).alias("width"))
+    # Formats are counted first, so that each is taken apart once for an HDU.
+    counts = fields.groupBy("hdu", "tform").agg(F.count("*").alias("n"))
+    total = counts.groupBy("hdu").agg(F.sum(tform_columns(F.col("tform"))["width"] * F.col("n")).alias("width"))
     return total.join(wanted, "hdu").withColumn("ok", F.col("width") == F.col("naxis1"))
 
 

@@ -124,9 +124,24 @@ def verify(path: str) -> DataFrame:
     if size % BLOCK and not path.lower().endswith(".gz"):
         one = found.sparkSession.createDataFrame([(0, "err", "", "the file is not a whole number of blocks")], found.schema)
         found = found.unionByName(one)
+    with fits.open_file(path) as f:
+        hdus = list(scan(f, fits.size_of(f)))
+    if hdus[-1].end < size and not path.lower().endswith(".gz"):
+        one = found.sparkSession.createDataFrame([(hdus[-1].number + 1, "err", "", "what follows is no HDU")], found.schema)
+        found = found.unionByName(one)
     return found
 
 
+def write_ascii(df: DataFrame, path: str, **options) -> None:
+    """An ASCII table file, or with append=True one more ASCII table."""
+    _write(df, path, "ascii", options)
+
+
+def write_groups(df: DataFrame, path: str, axes: list[int], **options) -> None:
+    """A file of random groups from (params, data), both arrays of doubles."""
+    _write(df, path, "groups", options | {"axes": ",".join(map(str, axes))})
+
+
 def write_table(df: DataFrame, path: str, **options) -> None:
     """A table file, or with append=True one more table."""
     _write(df, path, "table", options)

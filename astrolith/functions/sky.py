@@ -75,6 +75,19 @@ def pole(crval, projection: str, lonpole: float | None, latpole: float | None) -
     return ap, dp, phi
 
 
+def to_cards(w: Celestial, axes: tuple[str, str] = ("RA", "DEC"), alternative: str = "") -> list[tuple[str, object]]:
+    """The keywords that describe a pair of celestial axes, with the matrix as CD."""
+    a = alternative
+    names = axes[::-1] if w.swapped else axes
+    crval = w.crval[::-1] if w.swapped else w.crval
+    out: list[tuple[str, object]] = [(f"WCSAXES{a}", 2)]
+    for i in (1, 2):
+        kind = names[i - 1] + "-" * (8 - len(names[i - 1]) - len(w.projection)) + w.projection
+        out += [(f"CTYPE{i}{a}", kind), (f"CUNIT{i}{a}", "deg"), (f"CRPIX{i}{a}", float(w.crpix[i - 1])), (f"CRVAL{i}{a}", float(crval[i - 1]))]
+    out += [(f"CD{i}_{j}{a}", float(w.m[i - 1][j - 1])) for i in (1, 2) for j in (1, 2)]
+    return out + [(f"{k}{a}", float(v)) for k, v in (("LONPOLE", w.lonpole), ("LATPOLE", w.latpole)) if v is not None]
+
+
 def linear(p1: Column, p2: Column, w: Celestial) -> tuple[Column, Column]:
     """Intermediate world coordinates of a pixel; pixels count from 1."""
     x, y = p1 - F.lit(float(w.crpix[0])), p2 - F.lit(float(w.crpix[1]))

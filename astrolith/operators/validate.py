@@ -75,6 +75,35 @@ def table_rules(catalog: DataFrame, cards: DataFrame) -> DataFrame:
     )
 
 
+def order_rules(catalog: DataFrame, cards: DataFrame) -> DataFrame:
+    """Findings about mandatory keywords that are missing or out of their places."""
+    tables = F.col("kind").isin("binary_table", "ascii_table")
+    first = F.when(F.col("hdu") == 1, "SIMPLE").otherwise("XTENSION")
+    axes = F.when(F.col("naxis") > 0, F.transform(F.sequence(F.lit(1), F.col("naxis")), lambda i: F.concat(F.lit("NAXIS"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    rest = F.when(tables, F.array(F.lit("PCOUNT"), F.lit("GCOUNT"), F.lit("TFIELDS"))).otherwise(F.array().cast("array<string>"))
+    wanted = catalog.select("hdu", F.posexplode(F.concat(F.array(first, F.lit("BITPIX"), F.lit("NAXIS")), axes, rest)).alias("place", "name"))
+    seen = cards.filter("kind = 'value'").groupBy("hdu", "name").agg(F.min("idx").alias("idx"))
+    found = wanted.join(seen, ["hdu", "name"], "left")
+    return _all(
+        _finding(found, F.col("idx").isNull(), "err", F.col("name"), "a mandatory keyword is missing"),
+        _finding(found, F.col("idx") != F.col("place"), "err", F.col("name"), "a mandatory keyword is out of its place"),
+    )
+
+
+def ascii_rules(catalog: DataFrame, cards: DataFrame) -> DataFrame:
+    """Findings about fields of ASCII tables that reach beyond the row or have no format."""
+    tables = catalog.filter("kind = 'ascii_table'").select("hdu", F.get("axes", F.lit(0)).alias("naxis1"))
+    number = lambda name: F.regexp_extract("name", rf"^{name}(\d+)$", 1).try_cast("int")
+    begins = cards.filter(F.col("name").rlike(r"^TBCOL\d+$")).select("hdu", number("TBCOL").alias("field"), F.col("v_int").alias("at"))
+    forms = cards.filter(F.col("name").rlike(r"^TFORM\d+$")).select("hdu", number("TFORM").alias("field"), F.trim("v_str").alias("form"))
+    width = F.regexp_extract("form", r"^[AIFED](\d+)(?:\.\d+)?$", 1).try_cast("bigint")
+    rows = tables.join(forms, "hdu").join(begins, ["hdu", "field"], "left").withColumn("width", width)
+    return _all(
+        _finding(rows, F.col("width").isNull(), "err", F.concat(F.lit("TFORM"), F.col("field")), "no ASCII table format"),
+        _finding(rows, F.col("at").isNull() | (F.col("at") < 1) | (F.col("at") - 1 + F.col("width") > F.col("naxis1")), "err", F.concat(F.lit("TBCOL"), F.col("field")), "the field is not inside the row"),
+    )
+
+
 def verify(catalog: DataFrame, cards: DataFrame) -> DataFrame:
     """All findings over a file's catalog and cards, by HDU."""
     seen = duplicates(cards).select("hdu", "severity", "kw", F.lit("the keyword repeats").alias("msg"))
@@ -83,5 +112,5 @@ def verify(catalog: DataFrame, cards: DataFrame) -> DataFrame:
     sums = _finding(rows, F.col("datasum_status") == "mismatch", "err", "DATASUM", "the data do not add up to DATASUM") if "datasum_status" in rows.columns else None
     whole = _finding(rows, F.col("checksum_status") == "mismatch", "err", "CHECKSUM", "the HDU does not add up to all ones") if "checksum_status" in rows.columns else None
     beyond = _finding(rows, F.col("truncated"), "err", "NAXIS", "the data unit reaches beyond the file") if "truncated" in rows.columns else None
-    found = [image_rules(rows), table_rules(rows, cards), seen, *[x for x in (sums, whole, beyond) if x is not None]]
+    found = [image_rules(rows), table_rules(rows, cards), order_rules(rows, cards), ascii_rules(rows, cards), seen, *[x for x in (sums, whole, beyond) if x is not None]]
     return _all(*found).orderBy("hdu", "kw", "severity")

@@ -29,7 +29,7 @@ from ..functions.text import resolve, wildcard
 from . import codecs, filespec, integrity
 from .fits_sink import FitsWriter
 from .header import LIMITS, Hdu, scan
-from .schema import NUMPY, Field, fields_of, width_of
+from .schema import NUMPY, Field, fields_of, parse_binary, width_of
 
 def struct(text: str) -> T.StructType:
     """A schema of simple names and types; unlike fromDDL it needs no session."""
@@ -298,7 +298,7 @@ class TableReader(_Reader):
     def columns(cls, h: Hdu, plan: dict) -> T.StructType:
         if h.kind not in ("binary_table", "ascii_table"):
             raise errors.WrongHduType(h.kind)
-        fields = fields_of(h.header)
+        fields = cls.fields(h)
         if plan["columns"]:
             names, keep = [f.name for f in fields], []
             for p in plan["columns"]:
@@ -308,14 +308,29 @@ class TableReader(_Reader):
         own = [f.spark_field() if h.kind == "binary_table" else T.StructField(f.name, cls.ascii_type(f)) for f in fields]
         return T.StructType([T.StructField("rownum", T.LongType()), *own])
 
+    @staticmethod
+    def fields(h: Hdu) -> list[Field]:
+        """The fields as they read: of a tile-compressed table, those of the table inside."""
+        fields = fields_of(h.header)
+        if h.header.value("ZTABLE") is True:
+            for i, x in enumerate(fields, 1):
+                x.code, x.repeat, x.element = parse_binary(h.header.text(f"ZFORM{i}") or "")
+                if x.code not in "BIJKED":
+                    raise errors.UnsupportedCodec(f"a compressed column of {x.code}")
+                x.dims = ()
+        return fields
+
     @staticmethod
     def ascii_type(f: Field) -> T.DataType:
         return {"A": T.StringType(), "I": T.LongType()}.get(f.code, T.DoubleType()) if not f.scaled else T.DoubleType()
 
     def count(self, h: Hdu) -> int:
-        return h.axes[1]
+        return h.header.integer("ZNAXIS2") if h.header.value("ZTABLE") is True else h.axes[1]
 
     def batches(self, f, h: Hdu, part: Ranges, step: int = 1 << 16):
+        if h.header.value("ZTABLE") is True:
+            yield from self.tiles(f, h, part)
+            return
         fields = [x for x in fields_of(h.header) if x.name in self.out.names]
         width = h.axes[0]
         for a in range(part.first, part.last + 1, step):
@@ -331,6 +346,38 @@ class TableReader(_Reader):
                 made[x.name] = self.cells(f, h, x, cell, n) if h.kind == "binary_table" else self.texts(x, cell)
             yield self.arrays(made)
 
+    def tiles(self, f, h: Hdu, part: Ranges):
+        """Rows of a tile-compressed table: each of its rows holds a tile of every column."""
+        total = h.header.integer("ZNAXIS2")
+        size = h.header.integer("ZTILELEN", total)
+        if size <= 0 or -(-total // size) != h.axes[1]:
+            raise errors.BadTile("ZTILELEN")
+        places = {x.name: x for x in fields_of(h.header)}
+        codec = {x.name: h.header.text(f"ZCTYP{i}", "GZIP_1") for i, x in enumerate(self.fields(h), 1)}
+        heap_at = h.header.value("THEAP", h.axes[0] * h.axes[1])
+        for t in range(part.first // size, part.last // size + 1):
+            n = min(size, total - t * size)
+            a, b = max(part.first, t * size), min(part.last, t * size + n - 1)
+            f.seek(h.data_at + t * h.axes[0])
+            row = np.frombuffer(f.read(h.axes[0]), np.uint8)
+            made = {"rownum": pa.array(np.arange(a, b + 1))}
+            for x in self.fields(h):
+                if x.name not in self.out.names:
+                    continue
+                if codec[x.name] not in ("GZIP_1", "GZIP_2"):
+                    raise errors.UnsupportedCodec(codec[x.name])
+                at = places[x.name]
+                length, offset = row[at.offset : at.offset + at.width].view(">i4" if at.code == "P" else ">i8").astype(np.int64).tolist()
+                if length < 0 or offset < 0 or (length and offset + length > h.pcount - (heap_at - h.axes[0] * h.axes[1])):
+                    raise errors.BadDescriptor(x.name)
+                kind = np.dtype(NUMPY[x.code])
+                f.seek(h.data_at + heap_at + offset)
+                values = codecs.decode(codec[x.name], f.read(length), n * x.repeat, kind.newbyteorder("=")) if length else np.zeros(n * x.repeat, kind.newbyteorder("="))
+                cell = np.ascontiguousarray(values.astype(kind).reshape(n, x.repeat)[a - t * size : b + 1 - t * size])
+                x.width = kind.itemsize * x.repeat
+                made[x.name] = self.cells(f, h, x, cell.view(np.uint8).reshape(b + 1 - a, -1), b + 1 - a)
+            yield self.arrays(made)
+
     def cells(self, f, h: Hdu, x: Field, cell: np.ndarray, n: int) -> pa.Array:
         plain = self.plan["raw"]
         if x.element:

@@ -4,7 +4,7 @@ Each task encodes its rows into part files beside the target, in a folder that t
 executors share; the driver then lays out header, rows and heap in partition order, adds checksums
 if asked for, and renames the file into place.  A failed job leaves the target as it was.
 
-Options: ``path``, ``mode`` (table or image), ``extname``, ``axes`` (of an image, between commas),
+Options: ``path``, ``mode`` (table, ascii, image or groups), ``extname``, ``axes`` (of an image, between commas),
 ``checksum``, ``widths`` (of texts: name:width between commas; else metadata, else 32), ``header``
 (a JSON list of [keyword, value, comment]), ``append`` (true: one more HDU to an existing file).
 A path that ends in .gz is written as a whole-file gzip.
@@ -164,6 +164,39 @@ def encode_rows(batch: pa.RecordBatch, columns: list[Out], heap) -> bytes:
     return np.concatenate(parts, axis=1).tobytes() if parts else b""
 
 
+def text_column(f: T.StructField, width: int) -> tuple[str, str, int]:
+    """(name, format, width) of an ASCII column."""
+    kind = f.dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        w = width or 20
+        return f.name, f"I{w}", w
+    if kind in ("float", "double"):
+        w = width or 25
+        return f.name, f"E{w}.{max(1, w - 9)}", w
+    if kind == "string":
+        w = width or f.metadata.get("repeat", 32)
+        return f.name, f"A{w}", w
+    raise errors.BadTform(f"{f.name}: {kind}")
+
+
+def encode_texts(batch: pa.RecordBatch, columns) -> bytes:
+    """The rows of an ASCII table: numbers to the right, texts to the left, nulls blank."""
+    fields = []
+    for name, form, w in columns:
+        values = batch.column(name).to_pylist()
+        if form[0] == "A":
+            own = [("" if v is None else v).encode("latin-1", "replace").ljust(w) for v in values]
+        elif form[0] == "I":
+            own = [("" if v is None else str(v)).encode().rjust(w) for v in values]
+        else:
+            digits = int(form.split(".")[1])
+            own = [("" if v is None else f"{v:.{digits}E}").encode().rjust(w) for v in values]
+        if any(len(x) > w for x in own):
+            raise errors.FieldOverflow(name)
+        fields.append(own)
+    return b"".join(b" ".join(row) for row in zip(*fields, strict=True))
+
+
 @dataclasses.dataclass
 class Part(WriterCommitMessage):
     """What a task wrote."""
@@ -185,6 +218,10 @@ class FitsWriter(DataSourceArrowWriter):
         widths = dict(x.split(":") for x in self.options["widths"].split(",")) if "widths" in self.options else {}
         if self.mode == "table":
             self.columns = outs(schema, {k: int(v) for k, v in widths.items()})
+        elif self.mode == "ascii":
+            self.columns = [text_column(f, int(widths.get(f.name, 0))) for f in schema.fields if f.name != "rownum"]
+        elif self.mode == "groups":
+            self.axes = [int(x) for x in self.options["axes"].split(",")]
         elif self.mode == "image":
             self.axes = [int(x) for x in self.options["axes"].split(",")]
             self.kind = schema["value"].dataType.simpleString()
@@ -203,6 +240,13 @@ class FitsWriter(DataSourceArrowWriter):
                 rows += batch.num_rows
                 if self.mode == "table":
                     out.write(encode_rows(batch, self.columns, heap))
+                elif self.mode == "ascii":
+                    out.write(encode_texts(batch, self.columns))
+                elif self.mode == "groups":
+                    for params, data in zip(batch.column("params").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                        if len(data) != int(np.prod(self.axes)):
+                            raise errors.BadDimensions(f"{len(data)} values in a group of {self.axes}")
+                        out.write(np.array([*params, *data], ">f8").tobytes())
                 else:
                     pix = batch.column("pix").to_numpy().astype("<i8")
                     o = Out("value", {8: "B", 16: "I", 32: "J", 64: "K", -32: "E", -64: "D"}[_IMAGE[self.kind]], zero=-128 if self.kind == "tinyint" else 0)
@@ -223,11 +267,15 @@ class FitsWriter(DataSourceArrowWriter):
                         shutil.copyfileobj(old, f)
                     f.write(b"\0" * (-f.tell() % BLOCK))
                 begin = f.tell()
-                if self.mode == "table":
+                if self.mode == "groups":
+                    if begin:
+                        raise errors.WrongHduType("random groups are the first HDU")
+                    self.groups(f, parts)
+                elif self.mode in ("table", "ascii"):
                     if begin == 0:
                         f.write(block([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True)]))
                         begin = f.tell()
-                    self.table(f, parts)
+                    (self.table if self.mode == "table" else self.texts)(f, parts)
                 else:
                     self.image(f, parts, begin == 0)
                 if self.options.get("checksum", "false").lower() == "true":
@@ -281,6 +329,32 @@ class FitsWriter(DataSourceArrowWriter):
                 shutil.copyfileobj(src, f)
         f.write(b"\0" * (-f.tell() % BLOCK))
 
+    def texts(self, f, parts: list[Part]) -> None:
+        """An ASCII table: fields with a blank between them, filled up with blanks."""
+        width, at, rows = sum(w for *_, w in self.columns) + len(self.columns) - 1, 1, sum(p.rows for p in parts)
+        head = [("XTENSION", "TABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", width), ("NAXIS2", rows), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(self.columns))]
+        for i, (name, form, w) in enumerate(self.columns, 1):
+            head += [(f"TTYPE{i}", name), (f"TBCOL{i}", at), (f"TFORM{i}", form)]
+            at += w + 1
+        f.write(block(head + self.extra()))
+        for p in parts:
+            with open(f"{p.name}.rows", "rb") as src:
+                shutil.copyfileobj(src, f)
+        f.write(b" " * (-f.tell() % BLOCK))
+
+    def groups(self, f, parts: list[Part]) -> None:
+        """Random groups of doubles, one after the other."""
+        rows, size, each = sum(p.rows for p in parts), sum(os.path.getsize(f"{p.name}.rows") for p in parts), int(np.prod(self.axes))
+        count = size // 8 // rows - each if rows else 0
+        if rows and size != 8 * rows * (count + each):
+            raise errors.BadDimensions("groups of different sizes")
+        head = [("SIMPLE", True), ("BITPIX", -64), ("NAXIS", len(self.axes) + 1), ("NAXIS1", 0), *[(f"NAXIS{i}", n) for i, n in enumerate(self.axes, 2)], ("EXTEND", True), ("GROUPS", True), ("PCOUNT", count), ("GCOUNT", rows)]
+        f.write(block(head + self.extra()))
+        for p in parts:
+            with open(f"{p.name}.rows", "rb") as src:
+                shutil.copyfileobj(src, f)
+        f.write(b"\0" * (-f.tell() % BLOCK))
+
     def image(self, f, parts: list[Part], primary: bool) -> None:
         bitpix = _IMAGE[self.kind]
         head = [("SIMPLE", True)] if primary else [("XTENSION", "IMAGE")]

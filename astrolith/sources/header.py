@@ -118,6 +118,13 @@ class Header:
                 cards.append(card)
         raise errors.LimitExceeded("header blocks")
 
+    def find(self, pattern: str, most: int = 4096) -> tuple[list[Card], bool]:
+        """The cards whose names fit a pattern (* any run, ? one character, # digits), and whether there were more than ``most``."""
+        own = {"*": ".*", "?": ".", "#": "[0-9]+"}
+        form = re.compile("".join(own.get(c, re.escape(c)) for c in pattern.removeprefix("HIERARCH ")), re.I)
+        found = [c for c in self.cards if form.fullmatch(c.name)]
+        return found[:most], len(found) > most
+
     def value(self, name: str, default=None):
         c = self.first.get(name)
         return default if c is None or c.value is None else c.value

@@ -298,3 +298,66 @@ def test_content_and_streams(session, tmp_path, monster):
     query.processAllAvailable()
     query.stop()
     assert {r["STR"]: r["s"] for r in session.table("arrived").collect()} == {"alpha": -300000, "beta": 0, None: 300000}
+
+
+def test_compressed_table(session, tmp_path):
+    cols = [(">i4", "J", "GZIP_1", np.arange(10)), (">f8", "2D", "GZIP_2", np.arange(20) / 4)]
+    rows, heap = b"", b""
+    for t in range(3):
+        for kind, form, codec, values in cols:
+            per = int(form[:-1] or 1)
+            part = values[t * 4 * per : min(10, t * 4 + 4) * per].astype(kind)
+            data = b"" if t == 1 and form == "J" else codecs.encode(codec, part.astype(part.dtype.newbyteorder("=")))
+            rows += struct.pack(">ii", len(data), len(heap))
+            heap += data
+    head = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 16), ("NAXIS2", 3), ("PCOUNT", len(heap)), ("GCOUNT", 1), ("TFIELDS", 2), ("TTYPE1", "A"), ("TFORM1", "1PB"), ("TTYPE2", "B"), ("TFORM2", "1PB")]
+    head += [("ZTABLE", True), ("ZTILELEN", 4), ("ZNAXIS1", 20), ("ZNAXIS2", 10), ("ZFORM1", "J"), ("ZCTYP1", "GZIP_1"), ("ZFORM2", "2D"), ("ZCTYP2", "GZIP_2")]
+    path = write(tmp_path / "z.fits", PRIMARY, block(head), padded(rows + heap))
+    got = api.table(path).orderBy("rownum").collect()
+    assert [r["A"] for r in got] == [0 if 4 <= i < 8 else i for i in range(10)]
+    assert [r["B"] for r in got] == [[i / 2, i / 2 + 0.25] for i in range(10)]
+    assert [r["A"] for r in api.table(path, rows="3:8", partitionRows=2).orderBy("rownum").collect()] == [3, 0, 0, 0, 0, 8]
+
+
+def test_ascii_and_groups_round_trip(session, tmp_path):
+    path = str(tmp_path / "a.fits")
+    rows = session.createDataFrame([(0, 5, 0.25, "alpha"), (1, None, -3.75, None), (2, -20, 1e-300, "gamma")], "rownum bigint, COUNT int, VAL double, LABEL string").coalesce(1)
+    api.write_ascii(rows, path, widths="COUNT:6,LABEL:8", checksum=True)
+    back = [tuple(r) for r in api.table(path).orderBy("rownum").collect()]
+    assert back == [(0, 5, 0.25, "alpha"), (1, None, -3.75, None), (2, -20, 1e-300, "gamma")]
+    assert api.info(path).filter("hdu = 2 and checksum_status = 'match' and kind = 'ascii_table'").count() == 1
+    assert api.verify(path).filter("severity = 'err'").count() == 0
+    with pytest.raises(Exception, match="FieldOverflow"):
+        api.write_ascii(rows, path, widths="LABEL:3")
+    groups = session.createDataFrame([([1.0, 2.0], [0.5] * 6), ([3.0, 4.0], [1.5] * 6)], "params array<double>, data array<double>").coalesce(1)
+    api.write_groups(groups, path, [3, 2])
+    assert [(r["params"], r["data"]) for r in api.getdata(path).orderBy("group").collect()] == [([1.0, 2.0], [0.5] * 6), ([3.0, 4.0], [1.5] * 6)]
+
+
+def test_findings(session, tmp_path):
+    head = [("XTENSION", "TABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 5), ("NAXIS2", 0), ("GCOUNT", 1), ("PCOUNT", 0), ("TFIELDS", 1), ("TFORM1", "I6"), ("TBCOL1", 1), ("OBJECT", "a"), ("OBJECT", "b")]
+    path = write(tmp_path / "v.fits", PRIMARY, block(head), b"junk".ljust(2880))
+    found = {(r["hdu"], r["severity"], r["kw"]) for r in api.verify(path).collect()}
+    assert found == {(2, "err", "GCOUNT"), (2, "err", "PCOUNT"), (2, "err", "TBCOL1"), (2, "warning", "OBJECT"), (3, "err", "")}
+    head = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 5), ("NAXIS2", 0), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", 2), ("TFORM1", "1J"), ("TFORM2", "2A"), ("TSCAL2", 2.0)]
+    path = write(tmp_path / "b.fits", PRIMARY, block(head))
+    assert {(r["hdu"], r["severity"], r["kw"]) for r in api.verify(path).collect()} == {(2, "err", "NAXIS1"), (2, "warning", "TSCAL2")}
+
+
+def test_header_search_and_status():
+    lines = [card(n, 1) for n in ("NAXIS1", "NAXIS2", "NAXISX")] + [card("ESO TEL ALT", 2)]
+    h = Header([Card.parse(c.decode()) for c in lines])
+    assert [c.name for c in h.find("naxis#")[0]] == ["NAXIS1", "NAXIS2"] and h.find("*", 2)[1]
+    assert h.find("HIERARCH ESO*")[0][0].value == 2
+    assert errors.status(errors.KeywordNotFound("x")) == 202 and errors.status("Overflow") == 412
+
+
+def test_wcs_cards_round_trip(session, tmp_path):
+    from astrolith.functions import sky
+
+    w = sky.Celestial((3.0, 4.0), (10.0, -20.0), sky.matrix((-0.1, 0.1), crota=20.0), "ZEA", 170.0)
+    path = str(tmp_path / "w.fits")
+    head = [("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), *sky.to_cards(w)]
+    write(tmp_path / "w.fits", block(head))
+    got = api.wcs(path)
+    assert (got.crpix, got.crval, got.m, got.projection, got.lonpole) == (w.crpix, w.crval, w.m, "ZEA", 170.0)

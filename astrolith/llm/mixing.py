@@ -143,33 +143,33 @@ def _limits(ranked: DataFrame, left: dict, most: dict, rounds: list[dict], neare
         digits = ranked.join(F.broadcast(frame), ranked["source"].eqNullSafe(frame["source"])).drop(frame["source"])
         digits = digits.filter((F.shiftright("rank", DIGIT * (level + 1)) == F.col("prefix")) & (F.col("size") <= F.col("most")))
         digits = digits.filter(~_chosen(F.col("rounds"), len(rounds)))
-        digits = digits.groupBy("source", F.shiftright("rank", DIGIT * level).alias("digit")).agg(F.sum("size").alias("n"))
+        digits = digits.groupBy("source", F.shiftright("rank", DIGIT * level).alias("digit")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.min("rank").alias("rank"))
         # At most 2^DIGIT rows for each source come to the driver, however many documents it has.
         sums: dict = {}
         for r in digits.collect():
-            sums.setdefault(r["source"], []).append((r["digit"], r["n"]))
+            sums.setdefault(r["source"], []).append((r["digit"], r["n"], r["rows"], r["rank"]))
         found = []
         for s, own in sums.items():
             upto, over, under = state[s][1], None, None
-            for digit, n in sorted(own):
+            for digit, n, rows, rank in sorted(own):
                 upto += n
-                row = {"digit": digit, "upto": upto, "n": n}
+                row = {"digit": digit, "upto": upto, "n": n, "rows": rows, "rank": rank}
                 if upto > left[s]:
                     over = row
                     break
                 under = row
             found.append({"source": s, "over": over, "under": under})
-        before, state = state, {}
+        state = {}
         for r in found:
             s, over, under = r["source"], r["over"], r["under"]
             if over is None:  # all are in
                 last[s] = ((1 << LEVELS * DIGIT) - 1 if level else under["digit"], under["upto"])
-            elif level:
+            elif level and over["rows"] > 1:
                 state[s] = (over["digit"], over["upto"] - over["n"])
-            else:
-                low, words = (under["digit"], under["upto"]) if under else (over["digit"] - 1, before[s][1])
+            else:  # what overshoots has one rank, the others below it are in
+                low, words = over["rank"] - 1, over["upto"] - over["n"]
                 if nearest and over["upto"] - left[s] < left[s] - words:
-                    low, words = over["digit"], over["upto"]
+                    low, words = over["rank"], over["upto"]
                 last[s] = (low, words)
     return last
 

@@ -4,7 +4,9 @@ A fingerprint is the bitwise majority over the 64-bit hashes of a text's word sh
 fingerprints that differ in at most k bits, cut into k + a blocks, agree on at least a whole blocks;
 so every close pair meets in a bucket keyed by one of the (k + a choose a) choices of a blocks.  a is
 2, or more where that many fingerprints ask for longer keys; the links found are the same for any a.
-Inside a bucket the Hamming distance is verified.  A bucket does not give all its pairs: it gives a
+Inside a bucket the Hamming distance is verified; a wider fingerprint of several 64-bit words, of
+which only the first makes keys, is verified over all of them too, which tells short texts apart
+whose first words are close by chance.  A bucket does not give all its pairs: it gives a
 spanning forest of its links, which has the same components.  Buckets above ``chunk`` rows are dealt
 in chunks, and each pair of chunks is verified on its own, so no task holds a large bucket.
 """
@@ -17,13 +19,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, lean, slices, task_count, written
+from .common import connected, lean, slices, task_count, without, written
 
 BITS = 64
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 5, seed: int = 42, lower: bool = True) -> DataFrame:
-    """(key, fp): fp is the signed 64-bit fingerprint of the whole text.
+def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 5, seed: int = 42, lower: bool = True, words: int = 1) -> DataFrame:
+    """(key, fp, more): fp is the signed 64-bit fingerprint of the whole text, more are further words.
+
+    The further words are made alike from hashes that are mixed from the first ones.
 
     A-Z are lower-cased, words are runs of all but ASCII blanks, shingles are ``shingle`` words
     joined by a space, repeats included; a shorter text is one shingle.  No words (or null): 0.
@@ -43,27 +47,31 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 5, seed: i
         def fingerprint(text):
             w = word((text or "").translate(low))
             if not w:
-                return 0
+                return [0] * words
             n = max(1, len(w) - shingle + 1)
-            ones = np.zeros(BITS, np.int64)
+            ones = np.zeros((words, BITS), np.int64)
             for a in range(0, n, spread):  # very long texts: the counts are added up piece by piece
                 part = w[a : a + spread + shingle - 1]
                 grams = map(" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)) if n > 1 or len(w) == shingle else [" ".join(w)]
-                h = np.fromiter((digest(g, seed) for g in grams), ">u8")
-                ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-            return int(np.packbits(2 * ones > n).view(">i8")[0])
+                h = np.fromiter((digest(g, seed) for g in grams), np.uint64)
+                for k in range(words):
+                    ones[k] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+                    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * k + 1)
+                    h ^= h >> np.uint64(29)
+            return np.packbits(2 * ones > n, axis=1).view(">i8").ravel().tolist()
 
         for batch in frames:
             fps = [fingerprint(t) for texts in slices(batch.column(1)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [key, "fp"])
+            first, more = pa.array([x[0] for x in fps], pa.int64()), pa.array([x[1:] for x in fps], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), first, more], [key, "fp", "more"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(lean(batches), f"`{key}` {kind}, fp bigint")
+    return docs.select(key, text).mapInArrow(lean(batches), f"`{key}` {kind}, fp bigint, more array<bigint>")
 
 
 def agreeing(count: int, distance: int) -> int:
-    """How many blocks a key has, so that a bucket of random fingerprints would have 16 rows at most."""
-    return next((a for a in range(2, 5) if BITS * a / (distance + a) >= math.log2(max(2, count)) - 4), 4)
+    """How many blocks a key has, so that a bucket of random fingerprints would have 64 rows at most."""
+    return next((a for a in range(2, 5) if BITS * a / (distance + a) >= math.log2(max(2, count)) - 6), 4)
 
 
 def block_keys(fp: Column, distance: int, agree: int = 2) -> list[Column]:
@@ -75,108 +83,116 @@ def block_keys(fp: Column, distance: int, agree: int = 2) -> list[Column]:
     return [fp.bitwiseAND(F.lit(signed(sum(own)))) for own in itertools.combinations(masks, agree)]
 
 
-def links(fps: DataFrame, distance: int = 4, chunk: int = 1024) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, chunk: int = 1024, words: int = 1, total: int = BITS) -> DataFrame:
     """(a, b) pairs of distinct fingerprints with the same components as all pairs within distance.
 
-    fps: one row for each distinct fingerprint, column fp.  Every pair within distance is found in
+    fps: one row for each distinct fingerprint: node (its number), fp and more.  A pair is within
+    distance if its first words are and if all words together differ in at most ``total`` bits.
+    Every pair within distance is found in
     some bucket; what is left out are only pairs that other links of the same bucket join already.
     """
-    spark = fps.sparkSession
     keys = block_keys(F.col("fp"), distance, agreeing(fps.count(), distance))
-    rows = fps.select("fp", F.posexplode(F.array(*keys)).alias("t", "bits"))
+    extra = [F.get("more", F.lit(k)).alias(f"w{k + 1}") for k in range(words - 1)]
+    own = ["node", "fp", *[f"w{k + 1}" for k in range(words - 1)]]
+    rows = fps.select("node", "fp", *extra, F.posexplode(F.array(*keys)).alias("t", "bits"))
     sizes = rows.groupBy("t", "bits").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = written(sizes, "buckets")
     rows = rows.join(sizes.hint("merge"), ["t", "bits"])
     # Bucket rows meet as chunk pairs (i, j), i <= j: a row goes to the pairs that its chunk is in.
-    dealt = F.pmod(F.xxhash64("fp", F.lit("chunk")), F.ceil(F.col("n") / chunk)).cast("int")
+    dealt = F.pmod(F.xxhash64("node", F.lit("chunk")), F.ceil(F.col("n") / chunk)).cast("int")
     rows = rows.withColumn("c", dealt).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("fp", "t", "bits", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+    rows = rows.select("t", "bits", "c", *own, F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
     group = F.xxhash64("t", "bits", "i", "j")
-    parts = task_count(spark)
-    rows = rows.repartition(parts, group).sortWithinPartitions("t", "bits", "i", "j", "fp")
+    parts = task_count(fps.sparkSession)
+    rows = rows.repartition(parts, group).sortWithinPartitions("t", "bits", "i", "j", "node")
 
     def batches(frames):
         import numpy as np
         import pyarrow as pa
 
-        def forest(fp, c, i, j):
-            """A spanning forest of the links between the chunks i and j, or inside i."""
-            fp = fp.view(np.uint64)
-            left, right = (fp, fp) if i == j else (fp[c == i], fp[c == j])
-            if i == j and len(fp) == 2:
-                return [(fp[0], fp[1])] if int(np.bitwise_count(fp[0] ^ fp[1])) <= distance else []
-            both = fp if i == j else np.concatenate([left, right])
-            off, label, out = 0 if i == j else len(left), np.arange(len(both)), []
-            for x in range(len(left)):
-                near = np.flatnonzero(np.bitwise_count(right ^ left[x]) <= distance) + off
-                new = near[label[near] != label[x]]
+        def forest(x, c, i, j):
+            """A spanning forest of the links between the chunks i and j, or inside i, as pairs of nodes.
+
+            x has a row for the nodes and one for each word.
+            """
+            both = x if i == j else np.concatenate([x[:, c == i], x[:, c == j]], axis=1)
+            left, off = (both.shape[1], 0) if i == j else (int((c == i).sum()), int((c == i).sum()))
+            nodes, first, more = both[0], both[1].view(np.uint64), both[2:].view(np.uint64)
+            label, out = np.arange(len(nodes)), []
+            right = first[off:]
+            for k in range(left):
+                far = np.bitwise_count(right ^ first[k])
+                near = np.flatnonzero(far <= distance)
+                if len(near) > (i == j) and len(more):
+                    all_far = far[near].astype(np.int64)
+                    for w in more:
+                        all_far += np.bitwise_count(w[off:][near] ^ w[k])
+                    near = near[all_far <= total]
+                near += off
+                new = near[label[near] != label[k]]
                 while len(new):  # at most as many steps in all as there are rows
-                    out.append((left[x], both[new[0]]))
-                    label[label == label[new[0]]] = label[x]
-                    new = new[label[new] != label[x]]
+                    out.append((nodes[k], nodes[new[0]]))
+                    label[label == label[new[0]]] = label[k]
+                    new = new[label[new] != label[k]]
             return out
 
         def done(kept):
-            fp = np.concatenate([k[0] for k in kept])
-            found = forest(fp, np.concatenate([k[1] for k in kept]), int(kept[0][2]), int(kept[0][3]))
-            return found
+            return forest(np.concatenate([k[0] for k in kept], axis=1), np.concatenate([k[1] for k in kept]), kept[0][2], kept[0][3])
+
+        def table(pairs):
+            both = np.array(pairs, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         last, kept = None, []
         for batch in frames:
-            out = []
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]  # fp t bits c i j
-            if not len(cols[0]):
+            if not batch.num_rows:
                 continue
-            change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in (cols[1], cols[2], cols[4], cols[5])], axis=0)) + 1
-            for a, b in itertools.pairwise([0, *change.tolist(), len(cols[0])]):
-                at = (cols[1][a], cols[2][a], cols[4][a], cols[5][a])
+            out = []
+            t, bits, c, *x, i, j = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns))
+            x = np.stack(x)
+            change = np.flatnonzero((t[1:] != t[:-1]) | (bits[1:] != bits[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for a, b in itertools.pairwise([0, *change.tolist(), len(t)]):
+                at = (int(t[a]), int(bits[a]), int(i[a]), int(j[a]))
                 if at != last and kept:
                     out += done(kept)
                     kept = []
                 last = at
-                kept.append((cols[0][a:b], cols[3][a:b], cols[4][a], cols[5][a]))
-            yield table(pa, np, out)
+                kept.append((x[:, a:b], c[a:b], at[2], at[3]))
+            yield table(out)
         if kept:
-            yield table(pa, np, done(kept))
-
-    def table(pa, np, pairs):
-        both = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            yield table(done(kept))
 
     return rows.mapInArrow(lean(batches), "a bigint, b bigint").distinct()
 
 
-def classes(docs: DataFrame, key: str, text: str, distance: int = 4, shingle: int = 5, chunk: int = 1024) -> DataFrame:
+def classes(docs: DataFrame, key: str, text: str, distance: int = 4, shingle: int = 5, chunk: int = 1024, words: int = 1, total: int = BITS) -> DataFrame:
     """(key, fp, class): class is the least key that can be reached over links.
 
     Rows with one fingerprint are one class member each, whatever their texts: exact copies meet
     before any join.  A null key stays null and takes part by its text; if a class has only null
-    keys its class is null.
+    keys its class is null.  A fingerprint of several words is numbered by a 64-bit hash of them.
     """
-    spark = docs.sparkSession
-    prints = written(fingerprints(docs, key, text, shingle), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    joined = connected(links(distinct.select("fp"), distance, chunk), "components")
-    known = written(
-        joined.withColumnRenamed("node", "fp").join(distinct, "fp"), "linked"
-    )
+    prints = fingerprints(docs, key, text, shingle, words=words)
+    node = F.col("fp") if words == 1 else F.xxhash64("fp", "more")
+    prints = written(prints.withColumn("node", node), "fingerprints")
+    distinct = written(prints.groupBy("node").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("more").alias("more")), "distinct")
+    joined = connected(links(distinct, distance, chunk, words, total), "components")
+    known = written(joined.join(distinct.select("node", "least"), "node"), "linked")
     roots = known.groupBy("root").agg(F.min("least").alias("class"))
-    linked = known.join(roots, "root").select("fp", "class")
+    linked = known.join(roots, "root").select("node", "class")
     # All other fingerprints stand alone: their least key is their class.
-    alone = distinct.join(known.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("class"))
+    alone = distinct.join(known.select("node"), "node", "left_anti").select("node", F.col("least").alias("class"))
     named = written(linked.unionByName(alone), "classes")
-    return prints.join(named, "fp").select(key, "fp", "class")
+    return prints.join(named, "node").select(key, "fp", "class")
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 5) -> DataFrame:
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 5, words: int = 1, total: int = BITS) -> DataFrame:
     """docs with one document left of each class: the one with the least key.
 
     Rows that share that key (a repeated row) all stay; rows with a null key stay.
     """
-    from .common import without
-
-    gone = classes(docs, key, text, distance, shingle).filter(F.col(key) > F.col("class")).select(key).distinct()
+    gone = classes(docs, key, text, distance, shingle, words=words, total=total).filter(F.col(key) > F.col("class")).select(key).distinct()
     return without(docs, written(gone, "gone"), key)
 
 

@@ -50,83 +50,59 @@ def unshuffle(data: bytes, width: int) -> bytes:
     return np.frombuffer(data, np.uint8).reshape(width, -1).T.tobytes()
 
 
-class _BitWriter:
-    def __init__(self):
-        self.bits: list[str] = []
-
-    def put(self, value: int, count: int) -> None:
-        if count:
-            self.bits.append(format(value & ((1 << count) - 1), f"0{count}b"))
-
-    def bytes(self) -> bytes:
-        text = "".join(self.bits)
-        text += "0" * (-len(text) % 8)
-        return int(text, 2).to_bytes(len(text) // 8, "big") if text else b""
-
-
-class _BitReader:
-    def __init__(self, data: bytes, at: int = 0):
-        self.bits = "".join(map("{:08b}".format, data[at:]))
-        self.at = 0
-
-    def get(self, count: int) -> int:
-        if count == 0:
-            return 0
-        end = self.at + count
-        if end > len(self.bits):
-            raise CorruptData("the bits end early")
-        value = int(self.bits[self.at : end], 2)
-        self.at = end
-        return value
-
-    def zeros(self) -> int:
-        """How many 0 come before the next 1; both are taken."""
-        one = self.bits.find("1", self.at)
-        if one < 0:
-            raise CorruptData("the bits end early")
-        n, self.at = one - self.at, one + 1
-        return n
-
-
 def rice_encode(values: np.ndarray, width: int, block: int = 32) -> bytes:
-    """Differences of neighbours, mapped to 0, -1, 1, -2, ..., in blocks with a common number of low bits."""
+    """Differences of neighbours, mapped to 0, -1, 1, -2, ..., in blocks with a common number of low bits.
+
+    Where each code begins follows from running sums of lengths, so all bits are set at once.
+    """
     if width not in RICE:
         raise UnsupportedCodec(f"RICE_1 of {width} bytes")
     fsbits, fsmax, bbits = RICE[width]
-    mask = (1 << bbits) - 1
-    half = 1 << (bbits - 1)
-    out = _BitWriter()
-    x = [int(v) & mask for v in values.tolist()]
-    if not x:
+    half, mask = 1 << (bbits - 1), (1 << bbits) - 1
+    x = np.asarray(values).ravel().astype(np.int64) & mask
+    n = len(x)
+    if not n:
         return b""
-    out.put(x[0], bbits)
-    last = x[0]
-    for a in range(0, len(x), block):
-        part = x[a : a + block]
-        mapped = []
-        for v in part:
-            diff = ((v - last + half) & mask) - half
-            mapped.append(-2 * diff - 1 if diff < 0 else 2 * diff)
-            last = v
-        total = sum(mapped)
-        mean = max(0, (total - len(part) // 2 - 1)) // len(part)
-        fs = (mean >> 1).bit_length()
-        if total == 0:
-            out.put(0, fsbits)
-        elif fs >= fsmax:
-            out.put(fsmax + 1, fsbits)
-            for v in mapped:
-                out.put(v, bbits)
-        else:
-            out.put(fs + 1, fsbits)
-            for v in mapped:
-                out.put(1, (v >> fs) + 1)
-                out.put(v, fs)
-    return out.bytes()
+    diff = ((np.diff(x, prepend=x[0]) + half) & mask) - half
+    mapped = np.where(diff < 0, -2 * diff - 1, 2 * diff)
+    blocks = -(-n // block)
+    of = np.arange(n) // block
+    sizes, totals = np.bincount(of, minlength=blocks), np.add.reduceat(mapped, np.arange(0, n, block))
+    mean = np.maximum(0, totals - sizes // 2 - 1) // sizes
+    fs = np.frexp((mean >> 1).astype(np.float64))[1].astype(np.int64)
+    empty, plain = totals == 0, (fs >= fsmax) & (totals > 0)
+    code = np.where(empty, 0, np.where(plain, fsmax + 1, fs + 1))
+    high = np.where(plain | empty, 0, fs)[of]
+    top = np.where((plain | empty)[of], 0, mapped >> high)
+    length = np.where(empty[of], 0, np.where(plain[of], bbits, top + 1 + high))
+    # A block's code stands before its values.
+    ends = np.cumsum(length)
+    begin = bbits + ends - length + (of + 1) * fsbits
+    at_code = bbits + np.arange(blocks) * fsbits + np.concatenate([[0], ends[np.arange(block, n, block) - 1]])
+    bits = np.zeros(int(bbits + ends[-1] + blocks * fsbits), np.uint8)
+
+    def put(places, numbers, count):
+        for k in range(count):
+            bits[places + k] = (numbers >> (count - 1 - k)) & 1
+
+    put(np.zeros(1, np.int64), x[:1], bbits)
+    put(at_code, code, fsbits)
+    verbatim = plain[of]
+    put(begin[verbatim], mapped[verbatim], bbits)
+    coded = ~(verbatim | empty[of])
+    bits[(begin + top)[coded]] = 1
+    for f in np.unique(fs[~(plain | empty)]).tolist():
+        own = coded & (high == f)
+        put((begin + top + 1)[own], mapped[own], f)
+    return np.packbits(bits).tobytes()
 
 
 def rice_decode(data: bytes, count: int, width: int, block: int = 32) -> np.ndarray:
-    """count signed values."""
+    """count signed values.
+
+    Only the walk from code to code is a loop: where the next 1 stands is looked up, and low bits,
+    differences and sums are taken for all values at once.
+    """
     if width not in RICE:
         raise UnsupportedCodec(f"RICE_1 of {width} bytes")
     fsbits, fsmax, bbits = RICE[width]
@@ -134,24 +110,54 @@ def rice_decode(data: bytes, count: int, width: int, block: int = 32) -> np.ndar
     kind = {1: np.int8, 2: np.int16, 4: np.int32}[width]
     if not count:
         return np.zeros(0, kind)
-    bits = _BitReader(data)
-    last, out = bits.get(bbits), []
-    while len(out) < count:
-        fs = bits.get(fsbits) - 1
-        for _ in range(min(block, count - len(out))):
-            if fs < 0:
-                v = 0
-            elif fs == fsmax:
-                v = bits.get(bbits)
-            elif fs > fsmax:
-                raise CorruptData("a block's code is out of range")
-            else:
-                v = bits.zeros() << fs
-                v |= bits.get(fs)
-            diff = -((v + 1) >> 1) if v & 1 else v >> 1
-            last = (last + diff) & mask
-            out.append(((last + half) & mask) - half)
-    return np.array(out, np.int64).astype(kind)
+    bits = np.unpackbits(np.frombuffer(data, np.uint8))
+    size = len(bits)
+    ones = np.flatnonzero(bits)
+    following = np.full(size + 1, size, np.int64)
+    following[ones] = ones
+    following = np.minimum.accumulate(following[::-1])[::-1].tolist()
+
+    def numbers(places, n):
+        out = np.zeros(len(places), np.int64)
+        for k in range(n):
+            out = (out << 1) | bits[places + k]
+        return out
+
+    if size < bbits:
+        raise CorruptData("the bits end early")
+    at, first = bbits, int(numbers(np.zeros(1, np.int64), bbits)[0])
+    mapped, low_at, low_bits = np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count, np.int64)
+    for a in range(0, count, block):
+        n = min(block, count - a)
+        if at + fsbits > size:
+            raise CorruptData("the bits end early")
+        fs = int(numbers(np.array([at]), fsbits)[0]) - 1
+        at += fsbits
+        if fs < 0:
+            continue
+        if fs > fsmax:
+            raise CorruptData("a block's code is out of range")
+        if fs == fsmax:
+            low_at[a : a + n], low_bits[a : a + n] = at + bbits * np.arange(n), bbits
+            at += bbits * n
+        else:
+            tops, places = [], []
+            for _ in range(n):
+                one = following[at] if at < size else size
+                if one >= size:
+                    raise CorruptData("the bits end early")
+                tops.append(one - at)
+                places.append(one + 1)
+                at = one + 1 + fs
+            mapped[a : a + n] = np.array(tops, np.int64) << fs
+            low_at[a : a + n], low_bits[a : a + n] = places, fs
+        if at > size:
+            raise CorruptData("the bits end early")
+    for f in np.unique(low_bits).tolist():
+        own = low_bits == f
+        mapped[own] |= numbers(low_at[own], f)
+    diff = np.where(mapped & 1, -((mapped + 1) >> 1), mapped >> 1)
+    return (((first + np.cumsum(diff)) + half & mask) - half).astype(kind)
 
 
 def plio_encode(values: np.ndarray) -> np.ndarray:

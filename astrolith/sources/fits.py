@@ -3,16 +3,21 @@
 The driver walks headers only as far as it needs to and plans partitions by ranges of rows, pixels,
 groups or tiles; each task seeks its own range and decodes it with numpy into Arrow batches.
 
-Options: ``path`` (an extended file name, or several paths between commas), ``mode`` (hdus, cards,
+Options: ``path`` (an extended file name, or several paths, folders or patterns between commas), ``mode`` (hdus, cards,
 table, image, groups, tiles; table by default), ``hdu`` (from 1), ``extname``, ``extver``, ``columns``
 (names or wildcards between commas), ``rows`` (first:last, from 0, inclusive), ``section`` (from 1,
-as in extended names), ``raw`` (true: stored values, no scaling and no nulls), ``partitionRows``.
+as in extended names), ``raw`` (true: stored values, no scaling and no nulls), ``withPath`` (true: a
+column path first), ``partitionRows``.
+
+Of many files only the first is opened on the driver; each is a task of its own then.
 """
 
 from __future__ import annotations
 
+import glob
 import gzip
 import io
+import os
 import re
 from decimal import Decimal
 
@@ -82,8 +87,20 @@ def select(f, hdu: int | None = None, extname: str | None = None, extver: int |
     raise errors.WrongHduType(f"no HDU {hdu or extname or ''}")
 
 
+#: Files beyond this number are not opened on the driver to be split.
+SPLIT_FILES = 64
+
+
+def expand(path: str) -> list[str]:
+    """The files that a path stands for: itself, a folder's, or those that fit a pattern."""
+    plain = path.removeprefix("file://").removeprefix("file:")
+    if os.path.isdir(plain):
+        return sorted(x for x in glob.glob(os.path.join(glob.escape(plain), "*")) if re.search(r"(?i)\.(fits?|fts)(\.gz)?$", x))
+    return sorted(glob.glob(plain)) if set(plain) & set("*?") else [plain]
+
+
 class Ranges(InputPartition):
-    """A range of one file's rows, pixels, groups or tiles."""
+    """A range of one file's rows, pixels, groups or tiles; without an end it is the whole file."""
 
     def __init__(self, path: str, first: int, last: int):
         self.path, self.first, self.last = path, first, last
@@ -102,17 +119,23 @@ class FitsSource(DataSource):
         s = specs[0]
         number = int(o["hdu"]) if "hdu" in o else s.hdu
         section = filespec.parse(f"x[{o['section']}]").section if "section" in o else s.section
+        paths = [x for y in specs for x in expand(y.path)]
+        if not paths:
+            raise errors.NotFound(o["path"])
         mode = o.get("mode", "image" if section else "table")
         if mode not in READERS:
             raise errors.WrongHduType(f"mode {mode}")
         return {
-            "paths": [x.path for x in specs], "mode": mode, "hdu": number, "extname": o.get("extname", s.extname), "extver": int(o["extver"]) if "extver" in o else s.extver,
+            "paths": paths, "with_path": o.get("withPath", "false").lower() == "true", "mode": mode, "hdu": number, "extname": o.get("extname", s.extname), "extver": int(o["extver"]) if "extver" in o else s.extver,
             "section": section, "columns": [c.strip() for c in o["columns"].split(",")] if "columns" in o else None, "rows": o.get("rows"),
             "raw": o.get("raw", "false").lower() == "true", "size": int(o.get("partitionRows", 1 << 20)),
         }
 
     def schema(self) -> T.StructType:
-        return READERS[self._plan()["mode"]].infer(self._plan())
+        plan = self._plan()
+        found = READERS[plan["mode"]].infer(plan)
+        named = plan["with_path"] and "path" not in found.names
+        return T.StructType([T.StructField("path", T.StringType()), *found.fields]) if named else found
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         plan = self._plan()
@@ -156,35 +179,45 @@ class _Reader(DataSourceReader):
             yield x
 
     def partitions(self):
-        out = []
+        if len(self.plan["paths"]) > SPLIT_FILES:
+            return [Ranges(p, 0, None) for p in self.plan["paths"]]
+        out, step = [], self.plan["size"]
         for path in self.plan["paths"]:
             with open_file(path) as f:
-                count = self.count(self.find(f, self.plan))
-            low, high = self.low, count - 1 if self.high is None else min(count - 1, self.high)
-            if self.plan["rows"]:
-                a, _, b = self.plan["rows"].partition(":")
-                if int(b or a) >= count:
-                    raise errors.RowOutOfRange(self.plan["rows"])
-                low, high = max(low, int(a)), min(high, int(b or a))
-            step = self.plan["size"]
+                low, high = self.bounds(self.count(self.find(f, self.plan)))
             out += [Ranges(path, a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
         return out or [Ranges(self.plan["paths"][0], 0, -1)]
 
+    def bounds(self, count: int) -> tuple[int, int]:
+        """The first and the last number to read, of so many."""
+        low, high = self.low, count - 1 if self.high is None else min(count - 1, self.high)
+        if self.plan["rows"]:
+            a, _, b = self.plan["rows"].partition(":")
+            if int(b or a) >= count:
+                raise errors.RowOutOfRange(self.plan["rows"])
+            low, high = max(low, int(a)), min(high, int(b or a))
+        return low, high
+
     def read(self, partition: Ranges):
-        if partition.first > partition.last:
-            return
         with open_file(partition.path) as f:
-            yield from self.batches(f, self.find(f, self.plan), partition)
+            h = self.find(f, self.plan)
+            if partition.last is None:
+                partition = Ranges(partition.path, *self.bounds(self.count(h)))
+            if partition.first <= partition.last:
+                self.here = partition.path
+                yield from self.batches(f, h, partition)
 
     def whole(self, f, path: str):
         """All batches of an open file."""
         h = self.find(f, self.plan)
-        count = self.count(h)
+        count, self.here = self.count(h), path
         if count:
             yield from self.batches(f, h, Ranges(path, 0, count - 1))
 
     def arrays(self, made: dict[str, pa.Array]) -> pa.RecordBatch:
         want = to_arrow_schema(self.out)
+        if "path" in self.out.names and "path" not in made:
+            made["path"] = pa.array([self.here] * len(next(iter(made.values()))), pa.string())
         return pa.RecordBatch.from_arrays([made[n].cast(want.field(n).type) if made[n].type != want.field(n).type else made[n] for n in self.out.names], schema=want)
 
 

@@ -361,3 +361,23 @@ def test_wcs_cards_round_trip(session, tmp_path):
     write(tmp_path / "w.fits", block(head))
     got = api.wcs(path)
     assert (got.crpix, got.crval, got.m, got.projection, got.lonpole) == (w.crpix, w.crval, w.m, "ZEA", 170.0)
+
+
+def test_many_files(session, tmp_path, monster):
+    import shutil
+
+    for k in range(3):
+        shutil.copy(monster, tmp_path / f"part{k}.fits")
+    assert api.table(str(tmp_path), columns="INT32").count() == 12  # the fixture's own file is there too
+    found = api.table(str(tmp_path / "part*.fits"), columns="INT32", withPath="true")
+    assert found.columns == ["path", "rownum", "INT32"] and found.count() == 9
+    assert found.select("path").distinct().count() == 3
+    from astrolith.sources import fits
+
+    before, fits.SPLIT_FILES = fits.SPLIT_FILES, 2
+    try:
+        assert found.filter("rownum >= 2").count() == 3
+    finally:
+        fits.SPLIT_FILES = before
+    with pytest.raises(Exception, match="NotFound"):
+        api.table(str(tmp_path / "none*.fits")).count()

@@ -88,8 +88,8 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 1024, words: int = 1,
 
     fps: one row for each distinct fingerprint: node (its number), fp and more.  A pair is within
     distance if its first words are and if all words together differ in at most ``total`` bits.
-    Every pair within distance is found in
-    some bucket; what is left out are only pairs that other links of the same bucket join already.
+    Every such pair is found in some bucket; what is left out are only pairs that other links of the
+    same bucket join already.
     """
     keys = block_keys(F.col("fp"), distance, agreeing(fps.count(), distance))
     extra = [F.get("more", F.lit(k)).alias(f"w{k + 1}") for k in range(words - 1)]

@@ -200,8 +200,8 @@ class Index:
         if not len(starts):
             return
         padded, hits = np.concatenate([ids, np.zeros(self.steps + 1, np.int64)]), set()
-        for a in range(0, len(starts), 1 << 16):
-            part = starts[a : a + (1 << 16)]
+        for a in range(0, len(starts), 1 << 14):
+            part = starts[a : a + (1 << 14)]
             for w, bits in enumerate(self.bits):
                 symbols = walk(padded, part, bits)
                 for c in self.classes:

@@ -20,7 +20,7 @@ from .common import kept, lean, scratch_path, slices, task_count, written
 #: A segment is closed once it holds so many tokens, and a file once it holds so many segments.
 SEGMENT_TOKENS, FILE_SEGMENTS = 1 << 20, 4
 #: So many distinct chunks of text are remembered by a Python worker at most.
-REMEMBERED = 560_000
+REMEMBERED = 640_000
 
 
 class Encoder:
@@ -103,12 +103,12 @@ class Encoder:
         out, cut = [b""] * len(texts), [self.pieces(t) for t in texts]
         if 2 * len(self.known) > REMEMBERED:  # what is met again comes back from the older half
             self.known, self.old = {}, self.known
-        new = set().union(*(x for x in cut if x is not None)) - self.known.keys()
-        for x in new & self.old.keys():
-            self.known[x] = self.old[x]
-        new -= self.known.keys()
-        if new:
-            self.learn(list(new))
+        # Only the set's own members are looked up, not all that is remembered.
+        new = set().union(*(x for x in cut if x is not None)).difference(self.known)
+        again = [x for x in new if x in self.old]
+        self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        if len(again) < len(new):
+            self.learn(list(new.difference(self.known)))
         get, rest = self.known.__getitem__, []
         for i, x in enumerate(cut):
             try:

@@ -123,9 +123,13 @@ def split_long(text: Column, width: int = 67) -> Column:
     """The pieces of a long text for CONTINUE cards: all but the last end in an ampersand."""
     # One pass over the text: a piece is the longest run of characters that still fits.
     pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
-    pieces = F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces)
-    last = F.size(pieces) - 1
-    return F.transform(pieces, lambda x, i: F.concat(x, F.when(i < last, "&").otherwise("")))
+
+    def marked(p: Column) -> Column:
+        most = F.transform(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), lambda x: F.concat(x, F.lit("&")))
+        return F.when(F.size(p) == 0, F.array(F.lit(""))).otherwise(F.concat(most, F.slice(p, F.greatest(F.size(p), F.lit(1)), F.lit(1))))
+
+    # Bound to a variable, so that the pieces are made once and not again for each of them.
+    return F.transform(F.array(pieces), marked)[0]
 
 
 def assemble(cards: DataFrame, by: list[str], order: str, base: str, text: str) -> DataFrame:

@@ -79,8 +79,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     rows = rows.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie")), "left")
     # Covered lines merged: a line is out if it lies in one of the spans.
     marks = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["until"]))))
-    lines = _lines(F.col("text"))
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), marks), lambda i: F.get(lines, i)), "\n")
+    every = F.sequence(F.lit(0), F.size(_lines(F.col("text"))) - 1)
+    # The lines are bound to a variable: the text is split once and not again for each line.
+    left = F.transform(F.array(_lines(F.col("text"))), lambda own: F.array_join(F.transform(F.array_except(every, marks), lambda i: F.get(own, i)), "\n"))[0]
     rows = rows.withColumn("left", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left))
     full = lambda t: F.size(F.filter(_lines(F.col(t)), lambda line: F.trim(line) != ""))
     gone = F.when(F.col("spans").isNull(), 0).otherwise(full("text") - full("left"))

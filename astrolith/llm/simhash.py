@@ -4,9 +4,9 @@ A fingerprint is the bitwise majority over the 64-bit hashes of a text's word sh
 fingerprints that differ in at most k bits, cut into k + a blocks, agree on at least a whole blocks;
 so every close pair meets in a bucket keyed by one of the (k + a choose a) choices of a blocks.  a is
 2, or more where that many fingerprints ask for longer keys; the links found are the same for any a.
-Inside a bucket the Hamming distance is verified; a wider fingerprint of several 64-bit words, of
-which only the first makes keys, is verified over all of them too, which tells short texts apart
-whose first words are close by chance.  A bucket does not give all its pairs: it gives a
+Inside a bucket the Hamming distance is verified; a wider fingerprint of several 64-bit words is
+verified over all of them too, which tells short texts apart whose first words are close by chance.
+The first ``keyed`` words make keys, so that a pair is found if any of these words is close.  A bucket does not give all its pairs: it gives a
 spanning forest of its links, which has the same components.  Buckets above ``chunk`` rows are dealt
 in chunks, and each pair of chunks is verified on its own, so no task holds a large bucket.
 """
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, lean, slices, task_count, without, written
+from .common import BROADCAST_BYTES, ROW_BYTES, connected, lean, slices, task_count, without, written
 
 BITS = 64
 
@@ -83,21 +83,30 @@ def block_keys(fp: Column, distance: int, agree: int = 2) -> list[Column]:
     return [fp.bitwiseAND(F.lit(signed(sum(own)))) for own in itertools.combinations(masks, agree)]
 
 
-def links(fps: DataFrame, distance: int = 4, chunk: int = 1024, words: int = 1, total: int = BITS) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, chunk: int = 1024, words: int = 1, total: int = BITS, keyed: int = 1) -> DataFrame:
     """(a, b) pairs of distinct fingerprints with the same components as all pairs within distance.
 
     fps: one row for each distinct fingerprint: node (its number), fp and more.  A pair is within
-    distance if its first words are and if all words together differ in at most ``total`` bits.
+    distance if one of its first ``keyed`` words is and if all words together differ in at most
+    ``total`` bits.
     Every such pair is found in some bucket; what is left out are only pairs that other links of the
     same bucket join already.
     """
-    keys = block_keys(F.col("fp"), distance, agreeing(fps.count(), distance))
-    extra = [F.get("more", F.lit(k)).alias(f"w{k + 1}") for k in range(words - 1)]
-    own = ["node", "fp", *[f"w{k + 1}" for k in range(words - 1)]]
-    rows = fps.select("node", "fp", *extra, F.posexplode(F.array(*keys)).alias("t", "bits"))
-    sizes = rows.groupBy("t", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    agree = agreeing(fps.count(), distance)
+    every = [F.col("fp"), *[F.get("more", F.lit(k)) for k in range(words - 1)]]
+    keys = [key for word in every[:keyed] for key in block_keys(word, distance, agree)]
+    rows = fps.select("node", F.array(*every).alias("words"), F.posexplode(F.array(*keys)).alias("t", "bits"))
+    # The word that a key is of comes first: each bucket verifies its own word and then all of them.
+    first = F.floor(F.col("t") / (len(keys) // keyed)).cast("int")
+    turned = [F.get("words", (first + k) % words).alias(f"w{k}") for k in range(words)]
+    own = ["node", *[f"w{k}" for k in range(words)]]
+    rows = rows.select("node", *turned, "t", "bits")
+    # Only buckets above chunk are dealt: they are few, so that rows are shuffled once, to their chunk pairs.
+    sizes = rows.groupBy("t", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > chunk)
     sizes = written(sizes, "buckets")
-    rows = rows.join(sizes.hint("merge"), ["t", "bits"])
+    few = sizes.count() * ROW_BYTES <= BROADCAST_BYTES
+    rows = rows.join(F.broadcast(sizes) if few else sizes.hint("merge"), ["t", "bits"], "left")
+    rows = rows.withColumn("n", F.coalesce("n", F.lit(1)))
     # Bucket rows meet as chunk pairs (i, j), i <= j: a row goes to the pairs that its chunk is in.
     dealt = F.pmod(F.xxhash64("node", F.lit("chunk")), F.ceil(F.col("n") / chunk)).cast("int")
     rows = rows.withColumn("c", dealt).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
@@ -152,7 +161,11 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 1024, words: int = 1,
             t, bits, c, *x, i, j = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns))
             x = np.stack(x)
             change = np.flatnonzero((t[1:] != t[:-1]) | (bits[1:] != bits[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for a, b in itertools.pairwise([0, *change.tolist(), len(t)]):
+            ends = np.concatenate([[0], change, [len(t)]])
+            # A bucket of one row gives nothing, unless it may go on in another batch.
+            many = np.diff(ends) > 1
+            many[[0, -1]] = True
+            for a, b in zip(ends[:-1][many].tolist(), ends[1:][many].tolist(), strict=True):
                 at = (int(t[a]), int(bits[a]), int(i[a]), int(j[a]))
                 if at != last and kept:
                     out += done(kept)
@@ -166,7 +179,7 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 1024, words: int = 1,
     return rows.mapInArrow(lean(batches), "a bigint, b bigint").distinct()
 
 
-def classes(docs: DataFrame, key: str, text: str, distance: int = 4, shingle: int = 5, chunk: int = 1024, words: int = 1, total: int = BITS) -> DataFrame:
+def classes(docs: DataFrame, key: str, text: str, distance: int = 4, shingle: int = 5, chunk: int = 1024, words: int = 1, total: int = BITS, keyed: int = 1) -> DataFrame:
     """(key, fp, class): class is the least key that can be reached over links.
 
     Rows with one fingerprint are one class member each, whatever their texts: exact copies meet
@@ -177,7 +190,7 @@ def classes(docs: DataFrame, key: str, text: str, distance: int = 4, shingle: in
     node = F.col("fp") if words == 1 else F.xxhash64("fp", "more")
     prints = written(prints.withColumn("node", node), "fingerprints")
     distinct = written(prints.groupBy("node").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("more").alias("more")), "distinct")
-    joined = connected(links(distinct, distance, chunk, words, total), "components")
+    joined = connected(links(distinct, distance, chunk, words, total, keyed), "components")
     known = written(joined.join(distinct.select("node", "least"), "node"), "linked")
     roots = known.groupBy("root").agg(F.min("least").alias("class"))
     linked = known.join(roots, "root").select("node", "class")
@@ -187,12 +200,12 @@ def classes(docs: DataFrame, key: str, text: str, distance: int = 4, shingle: in
     return prints.join(named, "node").select(key, "fp", "class")
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 5, words: int = 1, total: int = BITS) -> DataFrame:
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 5, words: int = 1, total: int = BITS, keyed: int = 1) -> DataFrame:
     """docs with one document left of each class: the one with the least key.
 
     Rows that share that key (a repeated row) all stay; rows with a null key stay.
     """
-    gone = classes(docs, key, text, distance, shingle, words=words, total=total).filter(F.col(key) > F.col("class")).select(key).distinct()
+    gone = classes(docs, key, text, distance, shingle, words=words, total=total, keyed=keyed).filter(F.col(key) > F.col("class")).select(key).distinct()
     return without(docs, written(gone, "gone"), key)
 
 

@@ -11,8 +11,8 @@ from astrolith.llm.common import written
 
 #: A document stays if its quality score reaches this.
 LEAST_QUALITY = 0.3
-#: Near copies have fingerprints of five-word shingles that differ in at most DISTANCE of their first 64
-#: bits, by which they are found, and in at most TOTAL of all 192 (a similarity of 0.8).
+#: Near copies have fingerprints of five-word shingles of which any of the WORDS 64-bit words differs in at
+#: most DISTANCE bits, by which they are found, and which differ in at most TOTAL of all 192 (a similarity of 0.8).
 DISTANCE, WORDS, TOTAL = 8, 3, 38
 #: The weights of the sources by code point, in turn, and the most copies of a source.
 WEIGHTS, CAP = (1, 2, 3), 3.0
@@ -30,7 +30,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays."""
-    return simhash.near_dedup(docs, distance=DISTANCE, shingle=5, words=WORDS, total=TOTAL)
+    return simhash.near_dedup(docs, distance=DISTANCE, shingle=5, words=WORDS, total=TOTAL, keyed=WORDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

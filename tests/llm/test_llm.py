@@ -412,6 +412,45 @@ def test_wide_fingerprints(spark):
     assert got == want and len({got[i] for i in range(40)}) < 40
 
 
+def test_any_word_makes_candidates(spark):
+    rng = random.Random(5)
+    base = words(rng, 400).split()
+    rows = [(i, " ".join(w if rng.random() > 0.02 else "zz" for w in base)) for i in range(40)] + [(100 + i, words(rng, 6)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    prints = {r["doc_id"]: [r["fp"], *r["more"]] for r in simhash.fingerprints(df, "doc_id", "text", 5, words=3).collect()}
+    far = {(a, b): [((x ^ y) % (1 << 64)).bit_count() for x, y in zip(prints[a], prints[b], strict=True)] for a, b in itertools.combinations(prints, 2)}
+    near = {p for p, f in far.items() if min(f) <= 8 and sum(f) <= 38}
+    assert any(far[p][0] > 8 for p in near)
+    want = {k: k for k in prints}
+    for _ in range(len(rows)):
+        before = dict(want)
+        for a, b in near:
+            want[a] = want[b] = min(want[a], want[b])
+        if want == before:
+            break
+    for chunk in (16, 1024):
+        got = {r["doc_id"]: r["class"] for r in simhash.classes(df, "doc_id", "text", 8, 5, chunk, words=3, total=38, keyed=3).collect()}
+        assert got == want
+
+
+def test_the_pipeline_finds_copies_that_are_close_in_a_later_word_only(spark):
+    import corpus_pipeline
+
+    rng, rows = random.Random(6), []
+    for i in range(40):
+        base = words(rng, 120, 4000).split()
+        near = list(base)
+        near[rng.randrange(120)], near[rng.randrange(120)] = "zz", "yy"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    prints = {r["doc_id"]: [r["fp"], *r["more"]] for r in simhash.fingerprints(df, "doc_id", "text", 5, words=3).collect()}
+    far = {i: [((x ^ y) % (1 << 64)).bit_count() for x, y in zip(prints[2 * i], prints[2 * i + 1], strict=True)] for i in range(40)}
+    found = {i for i, f in far.items() if min(f) <= corpus_pipeline.DISTANCE and sum(f) <= corpus_pipeline.TOTAL}
+    assert any(far[i][0] > corpus_pipeline.DISTANCE for i in found)
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, FOLDER).collect()}
+    assert not {2 * i + 1 for i in found} & left
+
+
 def test_near_dedup(spark, awkward, empty):
     left = simhash.near_dedup(awkward)
     want = brute_classes([(r["doc_id"], r["text"]) for r in awkward.collect()], 4, 5)

@@ -8,9 +8,14 @@ repetitions, each with its own steps and one of several walks, let a pair at the
 distance share a key with the wanted recall; ``repetitions`` finds how many by simulation.
 
 Windows are as long as the items.  Each item has some anchors, its rarest words in its first half,
-and a window starts at each place of a text where an anchor stands.  Where a window and an item share
-a key, the exact edit distance of the item to the best piece of the text around it is computed; the
-item is found if it is at most (1 - ``similarity``) of the item's words.
+and a window starts at each place of a text where an anchor stands.  Edits may fall on all anchors,
+and the walks of long items drift apart, so an exact rule stands beside the keys: an item with a budget of
+m edits is cut into m + 1 pieces, of which any m edits leave one whole, and each place of a text where a
+piece stands is a candidate too, if enough words around it are the item's.  So nothing is missed.
+
+Where a window and an item share a key, or a piece stands, the exact edit distance of the item to the
+best part of the text around it is computed; the item is found if it is at most (1 - ``similarity``)
+of the item's words.
 
 Documents are read once, and nothing of them is shuffled.  Items are gathered ``BLOCK_ITEMS`` at a time,
 so what is sent to the executors is bounded, and blocks are worked through one after the other.
@@ -33,6 +38,8 @@ from .common import lean
 
 #: Items in a block; anchors of an item; walks; steps in a key; words that are worked on at a time.
 BLOCK_ITEMS, ANCHORS, WALKS, SAMPLED, BATCH_WORDS = 20_000, 4, 16, 3, 1 << 20
+#: The most words of a piece that are looked up.
+PIECE_WORDS = 8
 #: The least repetitions, and the most that are ever needed for the default similarity and recall.
 LEAST, MOST = 16, 1024
 
@@ -102,6 +109,20 @@ def repetitions(similarity: float, recall: float, sampled: int = SAMPLED, n: int
     return count
 
 
+def budget(n: int, similarity: float) -> int:
+    """The most edits with which an item of n words is found."""
+    return int((1 - similarity) * n + 1e-9)
+
+
+def piece_keys(columns, mix: np.uint64):
+    """A number for each row's first word, first two words, and so on; different ones may share it."""
+    key = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        key = (key[: len(column)] + column.astype(np.uint64)) * mix
+        key ^= key >> np.uint64(29)
+        yield key * mix
+
+
 def edit_place(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """(distance, start, end) of the piece of region nearest to item by edits of whole words."""
 
@@ -169,6 +190,27 @@ class Index:
                 keys = self.keys(walks[r % WALKS][own], c, r)
                 order = np.argsort(keys, kind="stable")
                 self.tables[c, r] = (keys[order], own[order])
+        self._cut()
+
+    def _cut(self) -> None:
+        """Tables of the items' pieces by length: keys, (item's index, place) of each, and a filter by high bits."""
+        from collections import defaultdict
+
+        of_length = defaultdict(list)
+        for k, x in enumerate(self.ids):
+            count = budget(len(x), self.similarity) + 1
+            ends = [len(x) * i // count for i in range(count + 1)]
+            for a, b in itertools.pairwise(ends):
+                of_length[min(b - a, PIECE_WORDS)].append((k, a))
+        self.pieces = {}
+        for length, places in sorted(of_length.items()):
+            columns = [np.array([self.ids[k][a + i] for k, a in places], np.int64) for i in range(length)]
+            *_, keys = piece_keys(columns, self.mix[-1])
+            order = np.argsort(keys, kind="stable")
+            width = max(16, (8 * len(places)).bit_length())
+            there = np.zeros(1 << width, bool)
+            there[keys >> np.uint64(64 - width)] = True
+            self.pieces[length] = (keys[order], np.array(places, np.int64)[order], there, np.uint64(64 - width))
 
     def keys(self, symbols: np.ndarray, c: int, r: int) -> np.ndarray:
         """One number for the anchor and the sampled symbols of repetition r; different ones may share it."""
@@ -195,11 +237,44 @@ class Index:
                 held, begins, size, first = [], [0], 0, t + 1
         return [(t, k, *found) for (t, k), found in sorted(out.items())]
 
+    def _whole_pieces(self, ids: np.ndarray, begins: np.ndarray) -> set[tuple[int, int, int]]:
+        """(item's index, text, start) wherever a piece of an item stands and most words around are the item's."""
+        longest, found = max(self.pieces, default=0), []
+        for length, keys in enumerate(piece_keys([ids[i:] for i in range(min(longest, len(ids)))], self.mix[-1]), 1):
+            if length not in self.pieces:
+                continue
+            known, places, there, shift = self.pieces[length]
+            at = np.flatnonzero(there[keys >> shift])
+            low, high = np.searchsorted(known, keys[at]), np.searchsorted(known, keys[at], "right")
+            each = high - low
+            own = places[np.repeat(low, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
+            at = np.repeat(at, each)
+            text = np.searchsorted(begins, at, "right") - 1
+            found.append(np.stack([own[:, 0], text, at - own[:, 1]], axis=1))
+        if not found or not sum(map(len, found)):
+            return set()
+        found, hits = np.concatenate(found), set()
+        found = found[np.lexsort(found.T[::-1])]
+        found = found[np.concatenate([[True], (found[1:] != found[:-1]).any(1)])]
+        among = np.zeros(len(self.vocabulary) + 1, bool)
+        for rows in np.split(found, np.flatnonzero(np.diff(found[:, 0])) + 1):
+            item = self.ids[rows[0, 0]]
+            most = budget(len(item), self.similarity)
+            among[item] = True
+            around = np.arange(-most, len(item) + most)
+            step = max(1, BATCH_WORDS // len(around))
+            for a in range(0, len(rows), step):
+                part = rows[a : a + step]
+                near = part[:, 2:] + around
+                inside = (near >= begins[part[:, 1]][:, None]) & (near < begins[part[:, 1] + 1][:, None])
+                enough = (among[ids[np.clip(near, 0, len(ids) - 1)]] & inside).sum(1) >= len(item) - most
+                hits.update(map(tuple, part[enough].tolist()))
+            among[item] = False
+        return hits
+
     def _search(self, ids: np.ndarray, begins: np.ndarray, first: int, out: dict) -> None:
         starts = np.flatnonzero(self.anchor[ids])
-        if not len(starts):
-            return
-        padded, hits = np.concatenate([ids, np.zeros(self.steps + 1, np.int64)]), set()
+        padded, hits = np.concatenate([ids, np.zeros(self.steps + 1, np.int64)]), self._whole_pieces(ids, begins)
         for a in range(0, len(starts), 1 << 14):
             part = starts[a : a + (1 << 14)]
             for w, bits in enumerate(self.bits):
@@ -213,17 +288,17 @@ class Index:
                             e = int(low[x])
                             while e < len(known) and known[e] == keys[x]:
                                 k, p = self.entries[entries[e]]
-                                hits.add((k, int(part[x]) - p))
+                                # The text that the anchor stands in: the start of the item itself may lie before it.
+                                t = int(np.searchsorted(begins, part[x], "right")) - 1
+                                hits.add((k, t, int(part[x]) - p))
                                 e += 1
-        for k, start in sorted(hits):
-            item = self.ids[k]
-            n, most = len(item), int((1 - self.similarity) * len(item) + 1e-9)
-            # The text that the anchor stands in: the start of the item itself may lie before it.
-            t = int(np.searchsorted(begins, max(start, 0) + n // 2, "right")) - 1
-            for t in {t, int(np.searchsorted(begins, max(start, 0), "right")) - 1}:
-                if not 0 <= t < len(begins) - 1:
-                    continue
-                a, b = max(int(begins[t]), start - most), min(int(begins[t + 1]), start + n + most)
+        for (k, t), near in itertools.groupby(sorted(hits), key=lambda hit: hit[:2]):
+            item, near = self.ids[k], [start for _, _, start in near]
+            n, most = len(item), budget(len(item), self.similarity)
+            # Starts of one occurrence are at most 2 * most apart: such a run is measured at once.
+            cuts = [i for i in range(1, len(near)) if near[i] - near[i - 1] > 2 * most]
+            for i, j in itertools.pairwise([0, *cuts, len(near)]):
+                a, b = max(int(begins[t]), near[i] - most), min(int(begins[t + 1]), near[j - 1] + n + most)
                 if b - a < n - most:
                     continue
                 distance, x, y = edit_place(item, ids[a:b])

@@ -567,6 +567,44 @@ def test_decontamination(spark, awkward, empty):
     assert decontam.decontaminate(awkward, bench).count() == awkward.count()
 
 
+def test_items_whose_rarest_words_are_all_replaced(spark):
+    rng = random.Random(21)
+    items = [(i, [f"q{rng.randrange(300)}" for _ in range(rng.randrange(20, 60))]) for i in range(60)]
+    often, rows = Counter(w for _, ws in items for w in set(ws)), []
+    for i, ws in items:
+        half, own, rare = range((len(ws) + 1) // 2), list(ws), []
+        for p in sorted(half, key=lambda p: (often[ws[p]], -len(ws[p]), p)):
+            if ws[p] not in rare and len(rare) < 4:
+                rare.append(ws[p])
+        gone = [p for p in range(len(ws)) if ws[p] in rare]
+        if len(gone) > int(0.2 * len(ws) + 1e-9):
+            continue
+        for p in gone:
+            own[p] = f"new{p}"
+        rows.append((i, f"{words(rng, 30)} {' '.join(own)} {words(rng, 30)}", len(gone)))
+    assert len(rows) > 30
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.find(docs, bench).collect()}
+    assert got == {(i, i): e for i, _, e in rows}
+    assert decontam.decontaminate(docs, bench).count() == 0
+
+
+def test_found_items_are_those_of_brute_force():
+    rng = random.Random(22)
+    items = [(i, [f"q{rng.randrange(12)}" for _ in range(rng.randrange(1, 24))]) for i in range(60)]
+    texts = []
+    for i in range(300):
+        own = list(items[i % 60][1])
+        for _ in range(rng.randrange(2 + len(own) // 4)):
+            p = rng.randrange(len(own) + 1)
+            own[p : p + rng.randrange(2)] = [f"q{rng.randrange(12)}"] * rng.randrange(2)
+        texts.append(" ".join([*(f"q{rng.randrange(14)}" for _ in range(rng.randrange(12))), *own, *(f"q{rng.randrange(14)}" for _ in range(rng.randrange(12)))]))
+    got = {(t, k): d for t, k, d, _, _ in decontam.Index(items, 0.8, 16).find(texts)}
+    every = {(t, k): brute_edit(ws, decontam.words(x)) for t, x in enumerate(texts) for k, ws in items}
+    assert got == {p: d for p, d in every.items() if d <= int(0.2 * len(items[p[1]][1]) + 1e-9)}
+
+
 # --- the pipeline ------------------------------------------------------------------------------
 
 

@@ -80,7 +80,8 @@ def repetitions(similarity: float, recall: float, sampled: int = SAMPLED, n: int
 
     By simulation with a fixed seed: an edited copy of a random item, in random surroundings, is met
     through each anchor that the edits left; where the walks from it agree in a share e of the
-    steps, a key is shared with chance e ** sampled.
+    steps, a key is shared with chance e ** sampled.  Walks of longer items drift apart more, so that
+    the recall by keys alone is lower for them; there it is the pieces that find the rest.
     """
     rng = np.random.default_rng(5)
     steps = class_steps(size_class(n))

@@ -605,6 +605,20 @@ def test_found_items_are_those_of_brute_force():
     assert got == {p: d for p, d in every.items() if d <= int(0.2 * len(items[p[1]][1]) + 1e-9)}
 
 
+@pytest.mark.parametrize("n", [300, 800])
+def test_long_items(n):
+    rng = random.Random(4)
+    items, texts = [(i, [f"q{rng.randrange(5000)}" for _ in range(n)]) for i in range(40)], []
+    for _, ws in items:
+        own = list(ws)
+        for _ in range(n // 5):
+            p = rng.randrange(len(own))
+            own[p : p + 1] = rng.choice([[], [f"z{rng.randrange(5000)}"], [own[p], "zz"]])
+        texts.append(" ".join(["a"] * 50 + own + ["b"] * 50))
+    found = decontam.Index(items, 0.8, decontam.repetitions(0.8, 0.95)).find(texts)
+    assert [(t, k) for t, k, *_ in found] == [(i, i) for i in range(40)] and all(d <= n // 5 for _, _, d, _, _ in found)
+
+
 # --- the pipeline ------------------------------------------------------------------------------
 
 

@@ -18,6 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BROADCAST_BYTES, ROW_BYTES, connected, lean, slices, task_count, without, written
 
@@ -65,8 +66,13 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 5, seed: i
             first, more = pa.array([x[0] for x in fps], pa.int64()), pa.array([x[1:] for x in fps], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), first, more], [key, "fp", "more"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(lean(batches), f"`{key}` {kind}, fp bigint, more array<bigint>")
+    kinds = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("fp", T.LongType()), T.StructField("more", T.ArrayType(T.LongType()))])
+    return docs.select(key, text).mapInArrow(lean(batches), kinds)
+
+
+def node_of(words: int) -> Column:
+    """A fingerprint's number; one of several words is numbered by a 64-bit hash of them."""
+    return F.col("fp") if words == 1 else F.xxhash64("fp", "more")
 
 
 def agreeing(count: int, distance: int) -> int:
@@ -184,11 +190,15 @@ def classes(docs: DataFrame, key: str, text: str, distance: int = 4, shingle: in
 
     Rows with one fingerprint are one class member each, whatever their texts: exact copies meet
     before any join.  A null key stays null and takes part by its text; if a class has only null
-    keys its class is null.  A fingerprint of several words is numbered by a 64-bit hash of them.
+    keys its class is null.
     """
+    return _classes(docs, key, text, distance, shingle, chunk, words, total, keyed).select(key, "fp", "class")
+
+
+def _classes(docs: DataFrame, key: str, text: str, distance: int, shingle: int, chunk: int, words: int, total: int, keyed: int) -> DataFrame:
+    """(key, fp, node, class), as classes gives them."""
     prints = fingerprints(docs, key, text, shingle, words=words)
-    node = F.col("fp") if words == 1 else F.xxhash64("fp", "more")
-    prints = written(prints.withColumn("node", node), "fingerprints")
+    prints = written(prints.withColumn("node", node_of(words)), "fingerprints")
     distinct = written(prints.groupBy("node").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("more").alias("more")), "distinct")
     joined = connected(links(distinct, distance, chunk, words, total, keyed), "components")
     known = written(joined.join(distinct.select("node", "least"), "node"), "linked")
@@ -197,16 +207,33 @@ def classes(docs: DataFrame, key: str, text: str, distance: int = 4, shingle: in
     # All other fingerprints stand alone: their least key is their class.
     alone = distinct.join(known.select("node"), "node", "left_anti").select("node", F.col("least").alias("class"))
     named = written(linked.unionByName(alone), "classes")
-    return prints.join(named, "node").select(key, "fp", "class")
+    return prints.join(named, "node").select(key, "fp", "node", "class")
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 5, words: int = 1, total: int = BITS, keyed: int = 1) -> DataFrame:
     """docs with one document left of each class: the one with the least key.
 
-    Rows that share that key (a repeated row) all stay; rows with a null key stay.
+    Rows that share that key (a repeated row) all stay; rows with a null key stay.  Where rows of
+    different texts share a key, each goes or stays by its own text's class.
     """
-    gone = classes(docs, key, text, distance, shingle, words=words, total=total, keyed=keyed).filter(F.col(key) > F.col("class")).select(key).distinct()
-    return without(docs, written(gone, "gone"), key)
+    found = _classes(docs, key, text, distance, shingle, 1024, words, total, keyed)
+    found = written(found.select(key, "node", (F.col(key) > F.col("class")).alias("goes")), "found")
+    gone = written(found.filter("goes").select(key).distinct(), "gone")
+    left = without(docs, gone, key)
+    # Keys of rows that go and rows that stay, with what stays of them.
+    stay = written(_among(found.filter(~F.col("goes")).select(key, "node"), gone, [key]).distinct(), "stay")
+    if stay.isEmpty():
+        return left
+    rows = _among(docs, written(stay.select(key).distinct(), "both"), [key])
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("of"))
+    rows = fingerprints(rows, "row", "of", shingle, words=words).select("row", F.col("row")[key].alias(key), node_of(words).alias("node"))
+    return left.unionByName(_among(rows, stay, [key, "node"]).select("row.*"))
+
+
+def _among(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys are in ids (a written table), which is broadcast only if it is small, as in without."""
+    few = ids.count() * ROW_BYTES <= BROADCAST_BYTES
+    return rows.join(F.broadcast(ids) if few else ids.hint("merge"), keys, "left_semi")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -459,6 +459,17 @@ def test_near_dedup(spark, awkward, empty):
     assert simhash.near_dedup(empty).count() == 0
 
 
+def test_a_clean_text_under_the_id_of_a_near_copy_stays(spark):
+    rng = random.Random(9)
+    base, clean = words(rng, 80), words(rng, 80)
+    rows = [(1, base, "a"), (2, base, "b"), (2, clean, "c"), (3, words(rng, 80), "d"), (4, clean, "e"), (4, None, "f"), (None, base, "g")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, fp string").repartition(3)
+    for words_, total in ((1, 64), (3, 38)):
+        left = simhash.near_dedup(df, words=words_, total=total, keyed=words_)
+        assert left.columns == df.columns
+        assert sorted(r["fp"] for r in left.collect()) == ["a", "c", "d", "f", "g"]
+
+
 def test_longer_keys_for_more_rows():
     assert simhash.agreeing(1000, 4) == 2 and simhash.agreeing(10**9, 4) == 3
     assert len(simhash.block_keys(F.lit(0), 4, 3)) == 35

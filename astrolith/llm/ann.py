@@ -9,7 +9,8 @@ the k-th neighbour so far, is so large that a nearer vector would project that f
 below 1 - ``confidence``.  The k nearest over all blocks are merged.
 
 Vectors that are null, zero, of another length than the first, or hold null or non-finite parts take
-no part.  Rows that share an id are candidates each.  With too few candidates all are given.
+no part.  Rows that share an id are candidates each.  A repeated query row asks once; different
+query vectors under one id have a list each.  With too few candidates all are given.
 """
 
 from __future__ import annotations
@@ -145,7 +146,7 @@ def search(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int =
     spark = vectors.sparkSession
     stop = chi_square_quantile(confidence, dims)
     good = lambda df: df.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
-    base, asked = written(good(vectors), "vectors"), written(good(queries), "queries")
+    base, asked = written(good(vectors), "vectors"), written(good(queries).distinct(), "queries")
     n, m = base.count(), asked.count()
     if not n or not m:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -155,18 +156,18 @@ def search(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int =
     parts = min(task_count(spark), -(-n // 4096))
     blocks, shares = max(parts, -(-n // BLOCK_ROWS)), -(-m // QUERY_ROWS)
     every = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-    rows = base.select(F.pmod(F.xxhash64("id", "v"), blocks).cast("int").alias("b"), every(shares, "s"), F.lit(0).alias("kind"), "id", "v")
-    rows = rows.unionByName(asked.select(every(blocks, "b"), F.pmod(F.xxhash64("id", "v"), shares).cast("int").alias("s"), F.lit(1).alias("kind"), "id", "v"))
+    rows = base.select(F.pmod(F.xxhash64("id", "v"), blocks).cast("int").alias("b"), every(shares, "s"), F.lit(0).alias("kind"), "id", F.lit(0).cast("bigint").alias("tag"), "v")
+    rows = rows.unionByName(asked.select(every(blocks, "b"), F.pmod(F.xxhash64("id", "v"), shares).cast("int").alias("s"), F.lit(1).alias("kind"), "id", F.xxhash64("v").alias("tag"), "v"))
 
     def group(table):
         import numpy as np
         import pyarrow as pa
 
         kind = table.column("kind").to_numpy()
-        ids = table.column("id").to_numpy()
+        ids, tags = table.column("id").to_numpy(), table.column("tag").to_numpy()
         vecs = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size)
         own, asks = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(own) and len(asks):
             proj = np.random.default_rng(seed).standard_normal((size, dims))
             tree = Tree(vecs[own] @ proj)
@@ -176,13 +177,14 @@ def search(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int =
                 part = asks[a : a + 1024]
                 q, i, d = search_block(block_ids, block_vecs, tree, proj, ids[part], vecs[part], k, stop)
                 out[0].append(ids[part][q])
-                out[1].append(i)
-                out[2].append(d)
-        return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
+                out[1].append(tags[part][q])
+                out[2].append(i)
+                out[3].append(d)
+        return pa.table({name: np.concatenate(x) for name, x in zip(("query_id", "tag", "vec_id", "score"), out, strict=True)})
 
-    found = rows.groupBy("b", "s").applyInArrow(group, "query_id bigint, vec_id bigint, score double")
+    found = rows.groupBy("b", "s").applyInArrow(group, "query_id bigint, tag bigint, vec_id bigint, score double")
     # Each query has at most k rows from a block; the k nearest of these are kept.
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
+    best = found.groupBy("query_id", "tag").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
     best = best.select("query_id", F.posexplode("best").alias("at", "hit"))
     return best.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
 

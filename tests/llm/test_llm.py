@@ -200,6 +200,17 @@ def test_neighbours(spark):
     assert ann.search(df, df.limit(0), "vec_id", "embedding").count() == 0
 
 
+def test_neighbours_of_repeated_queries(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    other = rng.normal(size=16).tolist()
+    asked = spark.createDataFrame([rows[0], rows[0], rows[1], (1, other)], df.schema)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, asked, "vec_id", "embedding", 10, confidence=0.999999).collect())
+    near = lambda q, v: [(q, n + 1, j) for n, (_, j) in enumerate(sorted((float(np.sqrt(((np.array(v) - w) ** 2).sum())), j) for j, w in rows if j != q)[:10])]
+    assert got == sorted(near(0, rows[0][1]) + near(1, rows[1][1]) + near(1, other))
+
+
 # --- op4 ---------------------------------------------------------------------------------------
 
 PAGES = [(5, "http://a/x", "<p>one</p>"), (2, "http://a/y", "<p>one</p>"), (9, None, "<p>one</p>"), (3, "http://b\r\nWARC-Type: revisit", "two\r\n\r\nWARC/1.1\r\n"), (4, "u", None), (6, "u", ""), (7, "é", "é" * 50_000), (2, "http://a/y", "<p>one</p>"), (None, "n", "<p>one</p>"), (None, "n", "own"), (8, "q", "\x00\n")]

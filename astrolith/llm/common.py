@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,8 +22,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset, as in tests on one
-    machine, a folder of this machine is used instead.
+    It is ``spark.checkpoint.dir`` of the session.  Only on one machine, as in tests, a folder of that
+    machine takes its place; on a cluster it is an error if no shared folder is named.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -30,25 +31,39 @@ def shared_dir(spark: SparkSession) -> str:
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if kept.isDefined():
         return os.path.dirname(kept.get().rstrip("/"))
-    if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "astrolith-shared")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/astrolith-{uuid.uuid4().hex}-{name}"
-    jvm = spark._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    there, system = _at(spark, path)
+    system.deleteOnExit(there)
     return path
 
 
+def _at(spark: SparkSession, path: str):
+    """A path's Hadoop path and file system."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: its lineage is cut there and it is computed once."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        there, system = _at(df.sparkSession, df._scratch)
+        system.delete(there, True)
 
 
 def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -62,9 +77,15 @@ def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(side, key, "left_anti")
 
 
-def task_count(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def task_count(spark: SparkSession, amount: int = 0, each: int = 1) -> int:
+    """The session's number of shuffle partitions, or more if each is to hold so much of the amount at most."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // each))
+
+
+def size_of(df: DataFrame) -> int:
+    """Catalyst's estimate of df's bytes, which for tables in files is their size; 0 where it has none."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else 0
 
 
 def words_of(text: Column) -> Column:
@@ -136,7 +157,10 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     seen = _state(edges)
     while True:
         for step in (_large_star, _small_star):
-            edges = written(step(edges, name), name)
+            before = edges
+            edges, least = step(before, name)
+            edges = written(edges, name)
+            forget(before, least)
         now = _state(edges)
         if now == seen:
             break
@@ -154,17 +178,16 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame, name: str) -> DataFrame:
-    """Each node gives its larger neighbours to the least of its neighbourhood."""
+def _large_star(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Each node gives its larger neighbours to the least of its neighbourhood; and a table to forget."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = written(
-        both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name
-    )
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+    given = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return given.distinct(), least
 
 
-def _small_star(edges: DataFrame, name: str) -> DataFrame:
-    """Each node gives its smaller neighbours, and itself, to the least of them."""
+def _small_star(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Each node gives its smaller neighbours, and itself, to the least of them; and a table to forget."""
     least = written(edges.groupBy("u").agg(F.min("v").alias("m")), name)
     given = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return given.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return given.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least

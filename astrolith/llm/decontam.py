@@ -17,11 +17,14 @@ Where a window and an item share a key, or a piece stands, the exact edit distan
 best part of the text around it is computed; the item is found if it is at most (1 - ``similarity``)
 of the item's words.
 
-Documents are read once, and nothing of them is shuffled.  Items are gathered ``BLOCK_ITEMS`` at a time,
-so what is sent to the executors is bounded, and blocks are worked through one after the other.
+Documents are read once for each ``ROUND_BYTES`` of items, and nothing of them is shuffled.  Items are
+gathered ``BLOCK_ITEMS`` at a time.  A round's blocks are sent compressed; a worker holds one block's
+index at a time, kept from task to task if there is but one block.  A random bit of a walk is a product
+of the step's and the word's random numbers, so that no table of bits is held.
 
 Defined cases: null and empty texts contain nothing; items without words (or null) are never found;
-items of fewer than five words must occur exactly; rows that repeat are treated each.
+items of fewer than five words must occur exactly; rows that repeat are treated each; a similarity so
+low that ``MOST`` keys do not give the recall is an error.
 """
 
 from __future__ import annotations
@@ -34,13 +37,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import kept, lean, written
 
 #: Items in a block; anchors of an item; walks; steps in a key; words that are worked on at a time.
-BLOCK_ITEMS, ANCHORS, WALKS, SAMPLED, BATCH_WORDS = 20_000, 4, 16, 3, 1 << 20
+BLOCK_ITEMS, ANCHORS, WALKS, SAMPLED, BATCH_WORDS = 20_000, 4, 16, 3, 1 << 18
+#: Compressed items that are sent to the executors in a round.
+ROUND_BYTES = 1 << 26
 #: The most words of a piece that are looked up.
 PIECE_WORDS = 8
-#: The least repetitions, and the most that are ever needed for the default similarity and recall.
+#: The least repetitions, and the most that are tried.
 LEAST, MOST = 16, 1024
 
 
@@ -51,20 +56,26 @@ def words(text: str | None) -> list[str]:
     return re.findall(r"\w+", (text or "").lower())
 
 
-def walk(ids: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def walk(ids: np.ndarray, symbols: np.ndarray, starts: np.ndarray, steps: np.ndarray) -> np.ndarray:
     """The CGK walk from each start: a row of symbols per start, a column per step.
 
-    ids ends in padding; bits has a row for each step and a column for each symbol.
+    ids ends in padding; symbols has a random number for each symbol, steps an odd one for each step.
+    The top bit of their product says whether the walk moves on.
     """
-    out = np.empty((len(bits), len(starts)), ids.dtype)
+    out = np.empty((len(steps), len(starts)), ids.dtype)
     at, last = starts.copy(), len(ids) - 1
-    for j, row in enumerate(bits):
+    for j, step in enumerate(steps):
         out[j] = ids[at]
-        at += row[out[j]]
+        at += (symbols[out[j]] * step >> np.uint64(63)).view(np.int64)
         np.minimum(at, last, out=at)
     return out.T
 
 
+def random_numbers(rng: np.random.Generator, *shape: int) -> np.ndarray:
+    """Odd ones of 64 bits."""
+    return rng.integers(0, 1 << 63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def size_class(n: int) -> int:
     """Windows of n words embed as those of their class: 1.5 ** class words, rounded up."""
     return int(math.log(n) / math.log(1.5) + 1e-9) if n > 1 else 0
@@ -85,7 +96,7 @@ def repetitions(similarity: float, recall: float, sampled: int = SAMPLED, n: int
     """
     rng = np.random.default_rng(5)
     steps = class_steps(size_class(n))
-    bits = rng.integers(0, 2, (steps, 4096), dtype=np.int64)
+    symbols, moves = random_numbers(rng, 4096), random_numbers(rng, steps)
     rates = []
     for _ in range(trials):
         a = rng.integers(1, 4096, n).tolist()
@@ -99,14 +110,16 @@ def repetitions(similarity: float, recall: float, sampled: int = SAMPLED, n: int
         place = {i: k for k, (i, _) in enumerate(b)}
         for p in rng.choice(n // 2, ANCHORS, replace=False).tolist():
             if p in place:
-                one = bits[: class_steps(size_class(n - p))]
-                u, v = walk(x, np.array([p]), one)[0], walk(y, np.array([place[p]]), one)[0]
+                one = moves[: class_steps(size_class(n - p))]
+                u, v = walk(x, symbols, np.array([p]), one)[0], walk(y, symbols, np.array([place[p]]), one)[0]
                 rates.append(float((u == v).mean()) ** sampled)
             else:
                 rates.append(0.0)
     chances, count = np.array(rates).reshape(trials, ANCHORS), LEAST
-    while count < MOST and float((1 - np.prod((1 - chances) ** count, axis=1)).mean()) < recall:
+    while float((1 - np.prod((1 - chances) ** count, axis=1)).mean()) < recall:
         count += 8
+        if count > MOST:
+            raise ValueError(f"{MOST} keys do not give a recall of {recall} at a similarity of {similarity}")
     return count
 
 
@@ -170,7 +183,7 @@ class Index:
         rng = np.random.default_rng(self.seed)
         self.classes = sorted({size_class(len(self.ids[k]) - p) for k, p in self.entries})
         self.steps = class_steps(self.classes[-1]) if self.classes else 0
-        self.bits = [rng.integers(0, 2, (self.steps, len(self.vocabulary) + 1), dtype=np.int64) for _ in range(WALKS)]
+        self.symbols, self.moves = random_numbers(rng, len(self.vocabulary) + 1), random_numbers(rng, WALKS, self.steps)
         self.anchor = np.zeros(len(self.vocabulary) + 1, bool)
         self.mix = rng.integers(1, 1 << 62, SAMPLED + 1, dtype=np.uint64) | np.uint64(1)
         self.sampled = {c: [np.sort(rng.choice(class_steps(c), min(SAMPLED, class_steps(c)), replace=False)) for _ in range(self.count)] for c in self.classes}
@@ -180,17 +193,18 @@ class Index:
         flat = np.concatenate([np.concatenate([x, pad]) for x in self.ids]) if self.ids else pad
         begins = np.cumsum([0, *(len(x) + len(pad) for x in self.ids)])
         starts = np.array([begins[k] + p for k, p in self.entries], np.int64)
-        walks = [walk(flat, starts, b) for b in self.bits]
         of_class = defaultdict(list)
         for e, (k, p) in enumerate(self.entries):
             of_class[size_class(len(self.ids[k]) - p)].append(e)
         self.tables = {}
-        for c in self.classes:
-            own = np.array(of_class[c])
-            for r in range(self.count):
-                keys = self.keys(walks[r % WALKS][own], c, r)
-                order = np.argsort(keys, kind="stable")
-                self.tables[c, r] = (keys[order], own[order])
+        for w, moves in enumerate(self.moves):
+            for c in self.classes:
+                own = np.array(of_class[c])
+                symbols = walk(flat, self.symbols, starts[own], moves[: class_steps(c)])
+                for r in range(w, self.count, WALKS):
+                    keys = self.keys(symbols, c, r)
+                    order = np.argsort(keys, kind="stable")
+                    self.tables[c, r] = (keys[order], own[order])
         self._cut()
 
     def _cut(self) -> None:
@@ -274,12 +288,16 @@ class Index:
         return hits
 
     def _search(self, ids: np.ndarray, begins: np.ndarray, first: int, out: dict) -> None:
-        starts = np.flatnonzero(self.anchor[ids])
-        padded, hits = np.concatenate([ids, np.zeros(self.steps + 1, np.int64)]), self._whole_pieces(ids, begins)
+        starts, hits = np.flatnonzero(self.anchor[ids]), self._whole_pieces(ids, begins)
+        # Padding after each text: a walk does not run on into the next one.
+        text = np.searchsorted(begins, np.arange(len(ids)), "right") - 1
+        padded = np.zeros(len(ids) + len(begins) * (self.steps + 1), np.int64)
+        padded[np.arange(len(ids)) + text * (self.steps + 1)] = ids
+        shift = text[starts] * (self.steps + 1)
         for a in range(0, len(starts), 1 << 14):
             part = starts[a : a + (1 << 14)]
-            for w, bits in enumerate(self.bits):
-                symbols = walk(padded, part, bits)
+            for w, moves in enumerate(self.moves):
+                symbols = walk(padded, self.symbols, part + shift[a : a + (1 << 14)], moves)
                 for c in self.classes:
                     for r in range(w, self.count, WALKS):
                         known, entries = self.tables[c, r]
@@ -318,24 +336,61 @@ def _blocks(items: DataFrame, item_key: str, item_text: str):
         yield [x for x in found if x[1]]
 
 
+def _packed(block: list) -> bytes:
+    import json
+    import zlib
+
+    return zlib.compress(json.dumps(block).encode())
+
+
+def _rounds(items: DataFrame, item_key: str, item_text: str):
+    """The packed blocks, ROUND_BYTES of them at a time; one empty round if there are no items."""
+    blocks, size, given = [], 0, False
+    for block in _blocks(items, item_key, item_text):
+        if not block:
+            continue
+        blocks.append(_packed(block))
+        size += len(blocks[-1])
+        if size >= ROUND_BYTES:
+            yield blocks
+            blocks, size, given = [], 0, True
+    if blocks or not given:
+        yield blocks
+
+
+def _indexes(blocks: list[bytes], similarity: float, count: int):
+    """The index of each block in turn; one that is alone is kept in the worker."""
+    import json
+    import zlib
+
+    def index(data):
+        return Index([(i, ws) for i, ws in json.loads(zlib.decompress(data))], similarity, count)
+
+    if len(blocks) == 1:
+        yield kept(f"items_{zlib.crc32(blocks[0])}_{similarity}_{count}", lambda: index(blocks[0]))
+    else:
+        yield from map(index, blocks)
+
+
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
     """(key, item_id, distance, similarity, first_word, end_word): each item found in each row of docs."""
     count, kind, out = repetitions(similarity, recall), docs.schema[key].dataType.simpleString(), None
     names = [key, "item_id", "distance", "similarity", "first_word", "end_word"]
     kinds = f"`{key}` {kind}, item_id bigint, distance int, similarity double, first_word int, end_word int"
-    for block in _blocks(items, item_key, item_text):
+    for blocks in _rounds(items, item_key, item_text):
+        shipped = docs.sparkSession.sparkContext.broadcast(blocks)
 
-        def batches(frames, block=block):
+        def batches(frames, shipped=shipped):
             import pyarrow as pa
 
-            index = Index(block, similarity, count)
             for batch in frames:
-                rows = index.find(batch.column(1)) if block else []
-                t, k, d, a, b = (np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else [[]] * 5))
-                ids = [index.items[x][0] for x in k.tolist()]
-                size = np.array([len(index.items[x][1]) for x in k.tolist()], float)
-                cols = [batch.column(0).take(pa.array(t)), pa.array(ids, pa.int64()), pa.array(d.astype(np.int32)), pa.array(1 - d / np.maximum(size, 1)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                for index in _indexes(shipped.value, similarity, count):
+                    rows = index.find(batch.column(1))
+                    t, k, d, a, b = (np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else [[]] * 5))
+                    ids = [index.items[x][0] for x in k.tolist()]
+                    size = np.array([len(index.items[x][1]) for x in k.tolist()], float)
+                    cols = [batch.column(0).take(pa.array(t)), pa.array(ids, pa.int64()), pa.array(d.astype(np.int32)), pa.array(1 - d / np.maximum(size, 1)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
         found = docs.select(key, text).mapInArrow(lean(batches), kinds)
         out = found if out is None else out.unionByName(found)
@@ -343,21 +398,25 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
-    """The rows of docs, as they are, in which no item is found; nothing is shuffled."""
-    count, at = repetitions(similarity, recall), docs.columns.index(text)
-    for block in _blocks(items, item_key, item_text):
+    """The rows of docs, as they are, in which no item is found; nothing is shuffled.
+
+    Between rounds, of which there is but one for all but the largest sets of items, docs are written.
+    """
+    count, at, first = repetitions(similarity, recall), docs.columns.index(text), True
+    for blocks in _rounds(items, item_key, item_text):
+        shipped = docs.sparkSession.sparkContext.broadcast(blocks)
 
-        def batches(frames, block=block):
+        def batches(frames, shipped=shipped):
             import pyarrow as pa
 
-            index = Index(block, similarity, count)
             for batch in frames:
                 clean = np.ones(batch.num_rows, bool)
-                if block:
+                for index in _indexes(shipped.value, similarity, count):
                     clean[[t for t, *_ in index.find(batch.column(at))]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(lean(batches), docs.schema)
+        docs = (docs if first else written(docs, "decontaminated")).mapInArrow(lean(batches), docs.schema)
+        first = False
     return docs
 
 

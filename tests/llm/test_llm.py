@@ -641,6 +641,38 @@ def test_long_items(n):
     assert [(t, k) for t, k, *_ in found] == [(i, i) for i in range(40)] and all(d <= n // 5 for _, _, d, _, _ in found)
 
 
+def test_memory_of_many_items():
+    import tracemalloc
+
+    rng = random.Random(1)
+    items = [(i, [f"q{rng.randrange(100_000)}" for _ in range(rng.randrange(15, 60))]) for i in range(20_000)]
+    texts = [words(rng, 400, 100_000).replace("w", "q") for _ in range(200)] + [" ".join(items[5][1])]
+    tracemalloc.start()
+    found = decontam.Index(items, 0.8, 16).find(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[:2] for f in found] == [(200, 5)] and most < 160e6
+
+
+def test_several_blocks_and_rounds(spark, monkeypatch):
+    rng = random.Random(2)
+    items = [(i, words(rng, 12, 5000)) for i in range(30)]
+    docs = spark.createDataFrame([(i, f"{words(rng, 9)} {items[i % 30][1] if i % 2 else ''} {words(rng, 9)}") for i in range(60)], "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(map(tuple, decontam.find(docs, bench).collect()))
+    assert len(want) == 30
+    for most in (1 << 26, 1):
+        monkeypatch.setattr(decontam, "BLOCK_ITEMS", 7)
+        monkeypatch.setattr(decontam, "ROUND_BYTES", most)
+        assert sorted(map(tuple, decontam.find(docs, bench).collect())) == want
+        assert decontam.decontaminate(docs, bench).count() == 30
+
+
+def test_a_recall_out_of_reach_is_an_error():
+    with pytest.raises(ValueError, match="do not give a recall"):
+        decontam.repetitions(0.2, 0.99)
+
+
 # --- the pipeline ------------------------------------------------------------------------------
 
 
@@ -680,7 +712,7 @@ def test_pipeline_by_brute_force(spark):
     for _ in range(5):  # chains are short here
         for a, b in itertools.combinations(sorted(prints), 2):
             far = [((x ^ y) % (1 << 64)).bit_count() for x, y in zip(prints[a], prints[b], strict=True)]
-            if far[0] <= corpus_pipeline.DISTANCE and sum(far) <= corpus_pipeline.TOTAL:
+            if min(far) <= corpus_pipeline.DISTANCE and sum(far) <= corpus_pipeline.TOTAL:
                 least[a] = least[b] = min(least[a], least[b])
     assert {r["doc_id"] for r in single.collect()} == {k for k, c in least.items() if k == c}
     clean = common.written(stages["benchmark_decontamination"](spark, single, FOLDER), "t")

@@ -2,8 +2,10 @@
 
 A fingerprint is the bitwise majority over the 64-bit hashes of a text's word shingles.  Two
 fingerprints that differ in at most k bits, cut into k + a blocks, agree on at least a whole blocks;
-so every close pair meets in a bucket keyed by one of the (k + a choose a) choices of a blocks.  a is
-2, or more where that many fingerprints ask for longer keys; the links found are the same for any a.
+so every close pair meets in a bucket keyed by one of the (k + a choose a) choices of a blocks.  With
+the pigeonhole taken twice there are fewer keys of much the same length: of blocks in g groups, k + g *
+(a - 1) + 1 in all, a close pair agrees on a of some group, so only choices inside a group make keys.
+Longer keys are taken for more fingerprints; the links found are the same for any a and g.
 Inside a bucket the Hamming distance is verified; a wider fingerprint of several 64-bit words is
 verified over all of them too, which tells short texts apart whose first words are close by chance.
 The first ``keyed`` words make keys, so that a pair is found if any of these words is close.  A bucket does not give all its pairs: it gives a
@@ -20,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, ROW_BYTES, connected, lean, slices, task_count, without, written
+from .common import BROADCAST_BYTES, ROW_BYTES, connected, forget, lean, slices, task_count, without, written
 
 BITS = 64
+#: Keys may be so many bits shorter if that makes fewer of them; rows that a task of the join has at most.
+SLACK, PART_ROWS = 1.2, 1 << 22
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 5, seed: int = 42, lower: bool = True, words: int = 1) -> DataFrame:
@@ -80,13 +84,30 @@ def agreeing(count: int, distance: int) -> int:
     return next((a for a in range(2, 5) if BITS * a / (distance + a) >= math.log2(max(2, count)) - 6), 4)
 
 
-def block_keys(fp: Column, distance: int, agree: int = 2) -> list[Column]:
-    """For each choice of ``agree`` blocks, the bits of fp inside them."""
-    n = distance + agree
+def block_keys(fp: Column, distance: int, agree: int = 2, groups: int = 1) -> list[Column]:
+    """For each choice of ``agree`` blocks of one group, the bits of fp inside them.
+
+    The blocks are cut into groups, and they are ``distance`` + ``groups`` * (``agree`` - 1) + 1: of those that
+    a close pair agrees on, some group then has ``agree`` at least.
+    """
+    n = distance + groups * (agree - 1) + 1
     ends = [BITS * i // n for i in range(n + 1)]
     masks = [((1 << ends[i + 1]) - 1) ^ ((1 << ends[i]) - 1) for i in range(n)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [fp.bitwiseAND(F.lit(signed(sum(own)))) for own in itertools.combinations(masks, agree)]
+    parts = [masks[n * g // groups : n * (g + 1) // groups] for g in range(groups)]
+    return [fp.bitwiseAND(F.lit(signed(sum(own)))) for part in parts for own in itertools.combinations(part, agree)]
+
+
+def grouping(distance: int, agree: int) -> tuple[int, int]:
+    """(agree, groups) of the fewest keys that are at most SLACK bits shorter than those of ``agree`` in one group."""
+
+    def keys(a, groups):
+        n = distance + groups * (a - 1) + 1
+        return sum(math.comb(n * (g + 1) // groups - n * g // groups, a) for g in range(groups))
+
+    bits = lambda a, groups: BITS * a / (distance + groups * (a - 1) + 1)
+    fit = [(a, groups) for a in range(1, 9) for groups in range(1, 5) if bits(a, groups) >= bits(agree, 1) - SLACK and distance + groups * (a - 1) < BITS]
+    return min(fit, key=lambda x: (keys(*x), x))
 
 
 def links(fps: DataFrame, distance: int = 4, chunk: int = 1024, words: int = 1, total: int = BITS, keyed: int = 1) -> DataFrame:
@@ -98,29 +119,29 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 1024, words: int = 1,
     Every such pair is found in some bucket; what is left out are only pairs that other links of the
     same bucket join already.
     """
-    agree = agreeing(fps.count(), distance)
+    count = fps.count()
+    agree, groups = grouping(distance, agreeing(count, distance))
     every = [F.col("fp"), *[F.get("more", F.lit(k)) for k in range(words - 1)]]
-    keys = [key for word in every[:keyed] for key in block_keys(word, distance, agree)]
+    keys = [key for word in every[:keyed] for key in block_keys(word, distance, agree, groups)]
     rows = fps.select("node", F.array(*every).alias("words"), F.posexplode(F.array(*keys)).alias("t", "bits"))
     # The word that a key is of comes first: each bucket verifies its own word and then all of them.
     first = F.floor(F.col("t") / (len(keys) // keyed)).cast("int")
     turned = [F.get("words", (first + k) % words).alias(f"w{k}") for k in range(words)]
-    own = ["node", *[f"w{k}" for k in range(words)]]
-    rows = rows.select("node", *turned, "t", "bits")
+    own = [*(["node"] if words > 1 else []), *[f"w{k}" for k in range(words)]]
+    # A bucket is a 64-bit hash of its key: rows are as narrow as can be, and all pairs are verified.
+    rows = rows.select("node", *turned, F.xxhash64("t", "bits").alias("slot"))
     # Only buckets above chunk are dealt: they are few, so that rows are shuffled once, to their chunk pairs.
-    sizes = rows.groupBy("t", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > chunk)
+    sizes = rows.groupBy("slot").agg(F.count("*").alias("n")).filter(F.col("n") > chunk)
     sizes = written(sizes, "buckets")
     few = sizes.count() * ROW_BYTES <= BROADCAST_BYTES
-    rows = rows.join(F.broadcast(sizes) if few else sizes.hint("merge"), ["t", "bits"], "left")
-    rows = rows.withColumn("n", F.coalesce("n", F.lit(1)))
-    # Bucket rows meet as chunk pairs (i, j), i <= j: a row goes to the pairs that its chunk is in.
-    dealt = F.pmod(F.xxhash64("node", F.lit("chunk")), F.ceil(F.col("n") / chunk)).cast("int")
-    rows = rows.withColumn("c", dealt).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("t", "bits", "c", *own, F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
-    group = F.xxhash64("t", "bits", "i", "j")
-    parts = task_count(fps.sparkSession)
-    rows = rows.repartition(parts, group).sortWithinPartitions("t", "bits", "i", "j", "node")
+    rows = rows.join(F.broadcast(sizes) if few else sizes.hint("merge"), "slot", "left")
+    # Bucket rows meet as chunk pairs (i, j), i <= j: a row goes to the pairs that its chunk c is in.
+    chunks = F.ceil(F.coalesce("n", F.lit(1)) / chunk).cast("int")
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("node", F.lit("chunk")), chunks).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    rows = rows.select("slot", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", *own)
+    parts = task_count(fps.sparkSession, count * len(keys), PART_ROWS)
+    rows = rows.repartition(parts, "slot", "i", "j").sortWithinPartitions("slot", "i", "j", own[0])
 
     def batches(frames):
         import numpy as np
@@ -129,8 +150,9 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 1024, words: int = 1,
         def forest(x, c, i, j):
             """A spanning forest of the links between the chunks i and j, or inside i, as pairs of nodes.
 
-            x has a row for the nodes and one for each word.
+            x has a row for each word, after one for the nodes if those are not the words themselves.
             """
+            x = x if len(x) > 1 else np.concatenate([x, x])
             both = x if i == j else np.concatenate([x[:, c == i], x[:, c == j]], axis=1)
             left, off = (both.shape[1], 0) if i == j else (int((c == i).sum()), int((c == i).sum()))
             nodes, first, more = both[0], both[1].view(np.uint64), both[2:].view(np.uint64)
@@ -164,20 +186,20 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 1024, words: int = 1,
             if not batch.num_rows:
                 continue
             out = []
-            t, bits, c, *x, i, j = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns))
+            slot, i, j, c, *x = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns))
             x = np.stack(x)
-            change = np.flatnonzero((t[1:] != t[:-1]) | (bits[1:] != bits[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            ends = np.concatenate([[0], change, [len(t)]])
+            change = np.flatnonzero((slot[1:] != slot[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            ends = np.concatenate([[0], change, [len(slot)]])
             # A bucket of one row gives nothing, unless it may go on in another batch.
             many = np.diff(ends) > 1
             many[[0, -1]] = True
             for a, b in zip(ends[:-1][many].tolist(), ends[1:][many].tolist(), strict=True):
-                at = (int(t[a]), int(bits[a]), int(i[a]), int(j[a]))
+                at = (int(slot[a]), int(i[a]), int(j[a]))
                 if at != last and kept:
                     out += done(kept)
                     kept = []
                 last = at
-                kept.append((x[:, a:b], c[a:b], at[2], at[3]))
+                kept.append((x[:, a:b], c[a:b], at[1], at[2]))
             yield table(out)
         if kept:
             yield table(done(kept))
@@ -207,6 +229,7 @@ def _classes(docs: DataFrame, key: str, text: str, distance: int, shingle: int,
     # All other fingerprints stand alone: their least key is their class.
     alone = distinct.join(known.select("node"), "node", "left_anti").select("node", F.col("least").alias("class"))
     named = written(linked.unionByName(alone), "classes")
+    forget(distinct, known)
     return prints.join(named, "node").select(key, "fp", "node", "class")
 
 

@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pfor
-from .common import kept, lean, scratch_path, task_count, written
+from .common import kept, lean, scratch_path, size_of, task_count, written
 
 #: A segment is closed once it holds so many tokens, and a file once it holds so many segments.
 SEGMENT_TOKENS, FILE_SEGMENTS = 1 << 20, 4
 #: Texts are encoded so many bytes at a time, or one by one if they are longer.
 BLOCK_BYTES = 1 << 22
+#: A task encodes so many bytes of table at most, where that is known.
+PART_BYTES = 1 << 26
 #: So many first characters of the text, and its hash, order rows that share an id.
 TIE_CHARS = 32
 #: Once a Python worker knows so many distinct pieces it forgets those that it met in one block only.
@@ -247,7 +249,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, k
     tie = [F.substring(text, 1, TIE_CHARS).alias("p"), F.xxhash64(text).alias("x"), F.monotonically_increasing_id().alias("n")]
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), *tie)
     # Rows that share an id, equal ones too, may go to several partitions, so that no id fills one.
-    rows = rows.repartitionByRange(partitions or task_count(spark), "k", "p", "x", "n").sortWithinPartitions("k", "p", "x").select("k", "t")
+    rows = rows.repartitionByRange(partitions or task_count(spark, size_of(rows), PART_BYTES), "k", "p", "x", "n").sortWithinPartitions("k", "p", "x").select("k", "t")
 
     def batches(frames):
         import numpy as np

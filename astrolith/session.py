@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """A session's settings that the library relies on: UTC, and the fits source with filter pushdown."""
+    """A session's settings that the library relies on: UTC, and the fits source."""
     from .sources.fits import register
 
     spark.conf.set("spark.sql.session.timeZone", "UTC")

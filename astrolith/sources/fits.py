@@ -5,11 +5,13 @@ groups or tiles; each task seeks its own range and decodes it with numpy into Ar
 
 Options: ``path`` (an extended file name, or several paths, folders or patterns between commas), ``mode`` (hdus, cards,
 table, image, groups, tiles; table by default), ``hdu`` (from 1), ``extname``, ``extver``, ``columns``
-(names or wildcards between commas), ``rows`` (first:last, from 0, inclusive), ``section`` (from 1,
-as in extended names), ``raw`` (true: stored values, no scaling and no nulls), ``withPath`` (true: a
-column path first), ``partitionRows``.
+(names or wildcards between commas), ``rows`` (first:last, from 0, inclusive: of rows, pixels, groups
+or tiles), ``section`` (from 1, as in extended names; not together with rows), ``raw`` (true: stored
+values, no scaling and no nulls), ``withPath`` (true: a column path first), ``partitionRows``.
 
-Of many files only the first is opened on the driver; each is a task of its own then.
+``rows`` and ``section`` narrow what is read; other filters are Spark's own, above the scan: a source's
+state outlives a query, so a pushed filter would narrow later queries of the same DataFrame too.
+Of many files only the first and large ones are opened on the driver; others are a task each.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ import gzip
 import io
 import os
 import re
-from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -34,7 +36,7 @@ from ..functions.text import resolve, wildcard
 from . import codecs, filespec, integrity
 from .fits_sink import FitsWriter
 from .header import LIMITS, Hdu, scan
-from .schema import NUMPY, Field, fields_of, parse_binary, width_of
+from .schema import NUMPY, WHOLE_DIGITS, Field, fields_of, parse_binary, whole_or_real, width_of
 
 def struct(text: str) -> T.StructType:
     """A schema of simple names and types; unlike fromDDL it needs no session."""
@@ -87,8 +89,12 @@ def select(f, hdu: int | None = None, extname: str | None = None, extver: int |
     raise errors.WrongHduType(f"no HDU {hdu or extname or ''}")
 
 
-#: Files beyond this number are not opened on the driver to be split.
-SPLIT_FILES = 64
+#: Of more files than this only those of at least SPLIT_BYTES are opened on the driver to be split.
+SPLIT_FILES, SPLIT_BYTES = 64, 1 << 26
+#: The longest piece of a section's line that is read at a time, in pixels of the section.
+LINE_PIXELS = 1 << 20
+#: Bytes between two pieces of a file that are read rather than skipped.
+GAP = 1 << 16
 
 
 def expand(path: str) -> list[str]:
@@ -100,9 +106,9 @@ def expand(path: str) -> list[str]:
 
 
 class Ranges(InputPartition):
-    """A range of one file's rows, pixels, groups or tiles; without an end it is the whole file."""
+    """A range of one file's units; without an end it is the whole file."""
 
-    def __init__(self, path: str, first: int, last: int):
+    def __init__(self, path: str, first: int, last: int | None):
         self.path, self.first, self.last = path, first, last
 
 
@@ -148,11 +154,8 @@ class FitsSource(DataSource):
 class _Reader(DataSourceReader):
     """What all modes share: an HDU of each path and ranges of ``unit`` numbers."""
 
-    unit = "rownum"
-
     def __init__(self, plan: dict, schema: T.StructType):
         self.plan, self.out = plan, schema
-        self.low, self.high = 0, None
 
     @classmethod
     def wanted(cls, h: Hdu) -> bool:
@@ -167,52 +170,51 @@ class _Reader(DataSourceReader):
         with open_file(plan["paths"][0]) as f:
             return cls.columns(cls.find(f, plan), plan)
 
-    def pushFilters(self, filters):
-        """Bounds on the number of the row, pixel, group or tile narrow the ranges that are read; all filters are still applied."""
-        for x in filters:
-            if isinstance(x, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and x.attribute == (self.unit,):
-                if isinstance(x, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    self.low = max(self.low, x.value + isinstance(x, GreaterThan))
-                if isinstance(x, (EqualTo, LessThan, LessThanOrEqual)):
-                    top = x.value - isinstance(x, LessThan)
-                    self.high = top if self.high is None else min(self.high, top)
-            yield x
-
     def partitions(self):
-        if len(self.plan["paths"]) > SPLIT_FILES:
-            return [Ranges(p, 0, None) for p in self.plan["paths"]]
-        out, step = [], self.plan["size"]
+        out, many = [], len(self.plan["paths"]) > SPLIT_FILES
         for path in self.plan["paths"]:
+            # A file of its own task: one that must be inflated as a whole, or one of many that is small.
+            if path.lower().endswith(".gz") or (many and os.path.getsize(path) < SPLIT_BYTES):
+                out.append(Ranges(path, 0, None))
+                continue
             with open_file(path) as f:
-                low, high = self.bounds(self.count(self.find(f, self.plan)))
+                h = self.find(f, self.plan)
+                (low, high), step = self.units(h), self.step(h)
             out += [Ranges(path, a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
         return out or [Ranges(self.plan["paths"][0], 0, -1)]
 
+    def step(self, h: Hdu) -> int:
+        """Units in a partition."""
+        return max(1, self.plan["size"])
+
+    def units(self, h: Hdu) -> tuple[int, int]:
+        """The first and the last unit to read of an HDU."""
+        return self.bounds(self.count(h))
+
     def bounds(self, count: int) -> tuple[int, int]:
         """The first and the last number to read, of so many."""
-        low, high = self.low, count - 1 if self.high is None else min(count - 1, self.high)
-        if self.plan["rows"]:
-            a, _, b = self.plan["rows"].partition(":")
-            if int(b or a) >= count:
-                raise errors.RowOutOfRange(self.plan["rows"])
-            low, high = max(low, int(a)), min(high, int(b or a))
-        return low, high
+        if not self.plan["rows"]:
+            return 0, count - 1
+        a, _, b = self.plan["rows"].partition(":")
+        if int(b or a) >= count:
+            raise errors.RowOutOfRange(self.plan["rows"])
+        return int(a), int(b or a)
 
     def read(self, partition: Ranges):
         with open_file(partition.path) as f:
             h = self.find(f, self.plan)
             if partition.last is None:
-                partition = Ranges(partition.path, *self.bounds(self.count(h)))
+                partition = Ranges(partition.path, *self.units(h))
             if partition.first <= partition.last:
                 self.here = partition.path
                 yield from self.batches(f, h, partition)
 
     def whole(self, f, path: str):
         """All batches of an open file."""
-        h = self.find(f, self.plan)
-        count, self.here = self.count(h), path
-        if count:
-            yield from self.batches(f, h, Ranges(path, 0, count - 1))
+        h, self.here = self.find(f, self.plan), path
+        first, last = self.units(h)
+        if first <= last:
+            yield from self.batches(f, h, Ranges(path, first, last))
 
     def arrays(self, made: dict[str, pa.Array]) -> pa.RecordBatch:
         want = to_arrow_schema(self.out)
@@ -241,7 +243,7 @@ class _Whole(_Reader):
 
 
 class HdusReader(_Whole):
-    table, unit = HDUS, "hdu"
+    table = HDUS
 
     def whole(self, f, path: str):
         size, out = size_of(f), []
@@ -257,7 +259,7 @@ class HdusReader(_Whole):
 
 
 class CardsReader(_Whole):
-    table, unit = CARDS, "hdu"
+    table = CARDS
 
     def whole(self, f, path: str):
         out = []
@@ -289,27 +291,55 @@ def decode_values(raw: np.ndarray, field: Field, plain: bool) -> pa.Array:
     mask = native == field.null if isinstance(field.null, int) and code in "BIJK" else None
     if field.unsigned:
         if field.unsigned == "u64":
-            off = [None if mask is not None and mask[i] else Decimal(int(x) + (1 << 63)) for i, x in enumerate(native.tolist())]
-            return pa.array(off, pa.decimal128(20, 0))
+            return added(native, 1 << 63, mask)
         kind = {"u16": "i4", "u32": "i8", "i8": "i1"}[field.unsigned]
         return pa.array((native.astype("i8") + int(field.zero)).astype(kind), mask=mask)
+    if field.whole_zero is not None:
+        return added(native, field.whole_zero, mask)
     if field.scaled and code in "BIJKED":
         return pa.array(field.zero + field.scale * native.astype("f8"), mask=mask)
     return pa.array(native.astype("i2") if code == "B" else native, mask=mask)
 
 
+def added(native: np.ndarray, zero: int, mask) -> pa.Array:
+    """Whole numbers plus a whole zero point, exactly, as decimals of 128 bits."""
+    low, negative = native.astype(np.int64).view(np.uint64), native < 0
+    z = zero % (1 << 128)
+    both = np.empty((len(native), 2), np.uint64)
+    both[:, 0] = low + np.uint64(z & (1 << 64) - 1)
+    carry = (both[:, 0] < low).astype(np.uint64)
+    both[:, 1] = np.where(negative, np.uint64((1 << 64) - 1), np.uint64(0)) + np.uint64(z >> 64) + carry
+    made = pa.Array.from_buffers(pa.decimal128(WHOLE_DIGITS if zero != 1 << 63 else 20, 0), len(native), [None, pa.py_buffer(both)])
+    return made if mask is None else pc.if_else(pa.array(mask), pa.scalar(None, made.type), made)
+
+
 def text_array(raw: np.ndarray, width: int, plain: bool = False) -> pa.Array:
     """Texts of width bytes each: up to the first NUL, without trailing blanks; null if they begin with NUL."""
     if width == 0:
         return pa.array([""] * len(raw), pa.string())
-    out = []
-    for b in raw.reshape(-1, width):
-        t = b.tobytes()
-        if t[0] == 0 and not plain:
-            out.append(None)
-        else:
-            out.append(t.split(b"\0")[0].decode("latin-1").rstrip(" "))
-    return pa.array(out, pa.string())
+    cells = raw.reshape(-1, width)
+    inside = np.logical_and.accumulate(cells != 0, axis=1)
+    full = inside & (cells != 32)
+    ends = np.where(full.any(axis=1), width - full[:, ::-1].argmax(axis=1), 0)
+    null = None if plain else ~inside[:, 0]
+    return latin(cells[np.arange(width) < ends[:, None]], ends, null)
+
+
+def latin(data: np.ndarray, sizes: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """Texts of so many Latin-1 bytes each, which follow one another in data."""
+    high = data > 127
+    if high.any():
+        # Two bytes for each above 127, as UTF-8 has them.
+        before = np.concatenate([[0], np.cumsum(high)])
+        ends = np.cumsum(sizes)
+        sizes = sizes + before[ends] - before[ends - sizes]
+        wide = np.repeat(data, 1 + high)
+        at = np.flatnonzero(high) + before[:-1][high]
+        wide[at], wide[at + 1] = 0xC0 | data[high] >> 6, 0x80 | data[high] & 0x3F
+        data = wide
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    made = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+    return (pc.if_else(pa.array(null), pa.scalar(None, pa.large_string()), made) if null is not None and null.any() else made).cast(pa.string())
 
 
 def nested(flat: pa.Array, dims: list[int], rows: int) -> pa.Array:
@@ -441,43 +471,79 @@ class TableReader(_Reader):
         heap_at = h.header.value("THEAP", h.axes[0] * h.axes[1])
         heap_size = h.pcount - (heap_at - h.axes[0] * h.axes[1])
         bits = x.element == "X"
-        sizes = np.array([width_of(x.element, int(m)) for m in pairs[:, 0]], np.int64)
+        sizes = -(-pairs[:, 0] // 8) if bits else pairs[:, 0] * width_of(x.element, 1)
         used = pairs[:, 0] > 0
         if (pairs[:, 0] < 0).any() or (pairs[used, 1] < 0).any() or (pairs[used, 1] + sizes[used] > heap_size).any() or (sizes > LIMITS["vla"] * 16).any():
             raise errors.BadDescriptor(x.name)
-        parts = []
-        for (m, at), size in zip(pairs.tolist(), sizes.tolist(), strict=True):
-            if m:
-                f.seek(h.data_at + heap_at + at)
-                parts.append(np.frombuffer(f.read(size), np.uint8))
-        raw = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        raw = gather(f, h.data_at + heap_at, pairs[:, 1], sizes)
         if x.element == "A":
             ends = np.cumsum(sizes)
-            return pa.array([raw[e - s : e].tobytes().split(b"\0")[0].decode("latin-1").rstrip(" ") for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.string())
+            return self.heap_texts(raw, sizes, ends)
         if bits:
-            flat = pa.array(np.concatenate([np.unpackbits(p)[:m] for p, m in zip(parts, pairs[used, 0].tolist(), strict=True)]).astype(bool) if parts else np.zeros(0, bool))
+            spread, starts = np.unpackbits(raw), 8 * (np.cumsum(sizes) - sizes)
+            ends = np.cumsum(pairs[:, 0])
+            flat = pa.array(spread[np.repeat(starts - ends + pairs[:, 0], pairs[:, 0]) + np.arange(pairs[:, 0].sum())].astype(bool))
         else:
             own = Field(x.name, x.element, 1, 0, 0, scale=x.scale, zero=x.zero)  # heap values have no null
             flat = decode_values(raw.view(NUMPY[x.element]), own, self.plan["raw"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pairs[:, 0])]).astype(np.int32)), flat)
 
+    @staticmethod
+    def heap_texts(raw: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts in the heap: each up to its first NUL, without trailing blanks."""
+        owner, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(raw))
+        stop = np.full(len(sizes), len(raw))
+        np.minimum.at(stop, owner[raw == 0], place[raw == 0])
+        stop = np.minimum(stop, ends)
+        last = ends - sizes
+        full = (raw != 32) & (place < stop[owner])
+        np.maximum.at(last, owner[full], place[full] + 1)
+        return latin(raw[place < last[owner]], last - (ends - sizes))
+
     def texts(self, x: Field, cell: np.ndarray) -> pa.Array:
-        """Values of an ASCII field."""
-        raw = [b.tobytes().decode("latin-1") for b in cell]
+        """Values of an ASCII field; Arrow reads what is plainly written, the rest is read one by one."""
         blank = " \0"
-        nulls = {""} | ({x.null.strip(blank)} if isinstance(x.null, str) else set())
+        raw = latin(cell.ravel(), np.full(len(cell), cell.shape[1]))
+        trimmed = pc.utf8_trim(raw, blank)
+        null = pc.equal(trimmed, "")
+        if isinstance(x.null, str):
+            null = pc.or_(null, pc.equal(trimmed, x.null.strip(blank)))
         if x.code == "A":
-            return pa.array([None if t.strip(blank) in nulls else t.rstrip(blank) for t in raw], pa.string())
-        out = []
-        for t in raw:
-            if t.strip(blank) in nulls:
-                out.append(None)
-            elif x.code == "I":
-                v = ascii_integer(t)
-                out.append(x.zero + x.scale * v if x.scaled else v)
-            else:
-                out.append(x.zero + x.scale * ascii_real(t, x.decimals) if x.scaled else ascii_real(t, x.decimals))
-        return pa.array(out, pa.int64() if x.code == "I" and not x.scaled else pa.float64())
+            return pc.if_else(null, pa.scalar(None, pa.string()), pc.utf8_rtrim(raw, blank))
+        whole = x.code == "I"
+        kind = pa.int64() if whole else pa.float64()
+        text = pc.if_else(null, pa.scalar(None, pa.string()), trimmed)
+        plain = pc.match_substring_regex(text, r"^-?\d{1,18}$" if whole else r"^-?(\d+\.\d*|\.\d+)([ED][+-]?\d{1,4})?$")
+        read = pc.cast(pc.replace_substring(pc.if_else(plain, text, pa.scalar(None, pa.string())), "D", "E"), kind)
+        rest = np.flatnonzero(pc.fill_null(pc.invert(plain), False).to_numpy(zero_copy_only=False))
+        if len(rest):
+            values = [ascii_integer(t) if whole else ascii_real(t, x.decimals) for t in text.take(pa.array(rest)).to_pylist()]
+            read = pc.replace_with_mask(read, pa.array(np.isin(np.arange(len(read)), rest)), pa.array(values, kind))
+        if not whole and pc.any(pc.is_inf(read)).as_py():
+            raise errors.NonFinite(x.name)
+        return pc.add(x.zero, pc.multiply(x.scale, read.cast(pa.float64()))) if x.scaled else read
+
+
+def gather(f, at: int, offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of pieces of a file, one after the other; pieces that lie close together are read at once."""
+    own = np.flatnonzero(sizes)
+    order = own[np.argsort(offsets[own], kind="stable")]
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    reach = np.maximum.accumulate((offsets + sizes)[order]) if len(order) else offsets[:0]
+    cuts = np.flatnonzero(offsets[order][1:] > reach[:-1] + GAP) + 1
+    for run in np.split(order, cuts):
+        if not len(run):
+            continue
+        low, high = int(offsets[run[0]]), int((offsets[run] + sizes[run]).max())
+        f.seek(at + low)
+        data = np.frombuffer(f.read(high - low), np.uint8)
+        if len(data) < high - low:
+            raise errors.TruncatedData(f"byte {at + low}")
+        n = sizes[run]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat((ends - sizes)[run], n) + inner] = data[np.repeat(offsets[run] - low, n) + inner]
+    return out
 
 
 def ascii_integer(text: str) -> int:
@@ -505,8 +571,6 @@ _BITPIX = {8: "B", 16: "I", 32: "J", 64: "K", -32: "E", -64: "D"}
 class ImageReader(_Reader):
     """Pixels: pix (from 0, the first axis fastest), their coordinates c1, c2, ... from 0, and value."""
 
-    unit = "pix"
-
     @classmethod
     def wanted(cls, h: Hdu) -> bool:
         return (h.kind in ("primary", "image") and bool(h.axes)) or h.compressed
@@ -515,7 +579,7 @@ class ImageReader(_Reader):
     def field(cls, h: Hdu) -> Field:
         get = h.header.real
         code = _BITPIX[h.header.integer("ZBITPIX") if h.compressed else h.bitpix]
-        return Field("value", code, 1, 0, 0, scale=get("BSCALE", 1.0), zero=get("BZERO", 0.0), null=h.header.value("BLANK"))
+        return Field("value", code, 1, 0, 0, scale=get("BSCALE", 1.0), zero=whole_or_real(h.header, "BZERO"), null=h.header.value("BLANK"))
 
     @classmethod
     def shape(cls, h: Hdu) -> list[int]:
@@ -541,18 +605,52 @@ class ImageReader(_Reader):
             raise errors.LimitExceeded("pixels")
         return n
 
-    def partitions(self):
-        plan = self.plan
-        if plan["section"]:
-            with open_file(plan["paths"][0]) as f:
-                shape = self.shape(self.find(f, plan))
-            low, high, _ = filespec.resolve(plan["section"], shape)
-            steps = np.cumprod([1, *shape[:-1]]).tolist()
-            # Only the range from the section's first pixel to its last is read.
-            self.low = max(self.low, sum(a * s for a, s in zip(low, steps, strict=True)))
-            top = sum(b * s for b, s in zip(high, steps, strict=True))
-            self.high = top if self.high is None else min(self.high, top)
-        return super().partitions()
+    def units(self, h: Hdu) -> tuple[int, int]:
+        """Tiles of a compressed image, lines of a section, pixels else."""
+        shape, section = self.shape(h), self.plan["section"]
+        count = self.count(h)
+        if section and self.plan["rows"]:
+            raise errors.BadSection("rows and a section")
+        if h.compressed:
+            return 0, len(self.tiles(h)) - 1
+        if section:
+            return 0, int(np.prod(self.lines(shape)[0])) - 1
+        return self.bounds(count)
+
+    def step(self, h: Hdu) -> int:
+        size = self.plan["size"]
+        if h.compressed:
+            return max(1, size // max(1, int(np.prod(tiling(h)[1]))))
+        if self.plan["section"]:
+            return max(1, size // self.lines(self.shape(h))[1])
+        return max(1, size)
+
+    def lines(self, shape: list[int]) -> tuple[list[int], int]:
+        """How a section is read: pieces of a line and lines along each other axis, and pixels of a piece."""
+        low, high, step = filespec.resolve(self.plan["section"], shape)
+        counts = [(b - a) // s + 1 for a, b, s in zip(low, high, step, strict=True)]
+        piece = min(counts[0], LINE_PIXELS)
+        return [-(-counts[0] // piece), *counts[1:]], piece
+
+    def tiles(self, h: Hdu) -> np.ndarray:
+        """The numbers of the tiles that may hold pixels of the section or of the rows."""
+        shape, tile, counts = tiling(h)
+        if self.plan["section"]:
+            low, high, _ = filespec.resolve(self.plan["section"], shape)
+        else:
+            first, last = self.bounds(self.count(h))
+            low, high, step = [0] * len(shape), [n - 1 for n in shape], int(np.prod(shape, dtype=object))
+            for i in reversed(range(len(shape))):  # the slowest axis first, as long as first and last share a place
+                step //= shape[i]
+                low[i], high[i] = first // step, last // step
+                if low[i] != high[i]:
+                    break
+                first, last = first % step, last % step
+        found, size = np.zeros(1, np.int64), 1
+        for a, b, t, n in zip(low, high, tile, counts, strict=True):
+            found = (np.arange(a // t, b // t + 1)[:, None] * size + found).ravel()
+            size *= n
+        return found
 
     def batches(self, f, h: Hdu, part: Ranges, step: int = 1 << 18):
         shape, x = self.shape(h), self.field(h)
@@ -560,6 +658,9 @@ class ImageReader(_Reader):
             yield from self.from_tiles(f, h, part, shape, x)
             return
         kind = np.dtype(NUMPY[x.code])
+        if self.plan["section"]:
+            yield from self.from_lines(f, h, part, shape, x, kind, step)
+            return
         for a in range(part.first, part.last + 1, step):
             n = min(step, part.last + 1 - a)
             f.seek(h.data_at + a * kind.itemsize)
@@ -568,6 +669,25 @@ class ImageReader(_Reader):
                 raise errors.TruncatedData(part.path)
             yield self.pixels(np.arange(a, a + n), decode_values(raw, x, self.plan["raw"]), shape)
 
+    def from_lines(self, f, h: Hdu, part: Ranges, shape: list[int], x: Field, kind: np.dtype, step: int):
+        """Pixels of a section: only its lines, or pieces of them, are read."""
+        low, high, stride = filespec.resolve(self.plan["section"], shape)
+        counts, piece = self.lines(shape)
+        many = max(1, step // piece)
+        for a in range(part.first, part.last + 1, many):
+            own = np.arange(a, min(a + many, part.last + 1))
+            first = low[0] + own % counts[0] * piece * stride[0]
+            rest, base, size = own // counts[0], np.zeros(len(own), np.int64), shape[0]
+            for b, s, n, m in zip(low[1:], stride[1:], counts[1:], shape[1:], strict=True):
+                base += (b + rest % n * s) * size
+                rest, size = rest // n, size * m
+            taken = np.minimum(piece, (high[0] - first) // stride[0] + 1)
+            span = (taken - 1) * stride[0] + 1
+            raw = gather(f, h.data_at, (base + first) * kind.itemsize, span * kind.itemsize).view(kind)
+            inner = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
+            values = raw[np.repeat(np.cumsum(span) - span, taken) + inner * stride[0]]
+            yield self.pixels(np.repeat(base + first, taken) + inner * stride[0], decode_values(values, x, self.plan["raw"]), shape)
+
     def pixels(self, pix: np.ndarray, values: pa.Array, shape: list[int]) -> pa.RecordBatch:
         coords, rest = [], pix
         for n in shape:
@@ -588,15 +708,17 @@ class ImageReader(_Reader):
         return self.arrays({k: pa.array(v) for k, v in made.items()} | {"value": values})
 
     def from_tiles(self, f, h: Hdu, part: Ranges, shape, x: Field):
-        """Pixels of the tiles that hold any of the range."""
-        for tile in read_tiles(f, h, 0, h.axes[1] - 1):
+        """Pixels of the tiles of a partition; each tile is decoded by one task, once."""
+        numbers = self.tiles(h)[part.first : part.last + 1]
+        first, last = self.bounds(self.count(h))
+        for tile in read_tiles(f, h, numbers.tolist()):
             values, origin, size = tile["pixels"], tile["origin"], tile["size"]
             index = np.indices(size[::-1]).reshape(len(size), -1)[::-1]  # the first axis fastest
             pix, step = np.zeros(index.shape[1], np.int64), 1
             for c, o, n in zip(index, origin, shape, strict=True):
                 pix += (c + o) * step
                 step *= n
-            keep = (pix >= part.first) & (pix <= part.last)
+            keep = (pix >= first) & (pix <= last)
             if keep.any():
                 own = values[keep]
                 if own.dtype.kind == "f":
@@ -606,22 +728,29 @@ class ImageReader(_Reader):
                 yield self.pixels(pix[keep], v, shape)
 
 
-def read_tiles(f, h: Hdu, first: int, last: int):
-    """Decoded tiles of a compressed image: number, origin, size (first axis first) and pixels, flat."""
-    head = h.header
+def tiling(h: Hdu) -> tuple[list[int], list[int], list[int]]:
+    """The axes of a compressed image, of a tile, and the number of tiles along each axis."""
     shape = ImageReader.shape(h)
-    tile = [head.integer(f"ZTILE{i + 1}", shape[0] if i == 0 else 1) for i in range(len(shape))]
+    tile = [h.header.integer(f"ZTILE{i + 1}", shape[0] if i == 0 else 1) for i in range(len(shape))]
+    if any(t <= 0 for t in tile):
+        raise errors.BadTile(str(tile))
     counts = [-(-n // t) for n, t in zip(shape, tile, strict=True)]
     if int(np.prod(counts)) != h.axes[1]:
         raise errors.BadTile(f"{counts} tiles in {h.axes[1]} rows")
+    return shape, tile, counts
+
+
+def read_tiles(f, h: Hdu, numbers):
+    """Decoded tiles of a compressed image: number, origin, size (first axis first) and pixels, flat."""
+    head = h.header
+    shape, tile, counts = tiling(h)
     fields = {x.name: x for x in fields_of(head)}
     bitpix, codec = head.integer("ZBITPIX"), head.text("ZCMPTYPE")
     params = {head.text(f"ZNAME{i}"): head.value(f"ZVAL{i}") for i in range(1, 10) if head.has(f"ZNAME{i}")}
     method, seed = head.text("ZQUANTIZ"), head.value("ZDITHER0", 1)
     if bitpix < 0 and method not in (None, "NONE", "NO_DITHER", "SUBTRACTIVE_DITHER_1", "SUBTRACTIVE_DITHER_2"):
         raise errors.UnsupportedCodec(str(method))
-    reader = TableReader({"raw": True, "columns": None, "rows": None, "size": 1 << 20, "section": None}, TableReader.columns(h, {"columns": None}))
-    for r in range(first, last + 1):
+    for r in numbers:
         f.seek(h.data_at + r * h.axes[0])
         row = np.frombuffer(f.read(h.axes[0]), np.uint8)
 
@@ -674,8 +803,6 @@ def read_tiles(f, h: Hdu, first: int, last: int):
 class TilesReader(_Reader):
     """A row for each tile of a compressed image: tile, start, shape and its values as doubles."""
 
-    unit = "tile"
-
     @classmethod
     def wanted(cls, h: Hdu) -> bool:
         return h.compressed
@@ -689,16 +816,19 @@ class TilesReader(_Reader):
     def count(self, h: Hdu) -> int:
         return h.axes[1]
 
+    def step(self, h: Hdu) -> int:
+        return max(1, self.plan["size"] // max(1, int(np.prod(tiling(h)[1]))))
+
     def batches(self, f, h: Hdu, part: Ranges):
-        for t in read_tiles(f, h, part.first, part.last):
-            yield self.arrays({"tile": pa.array([t["tile"]]), "start": pa.array([t["origin"]]), "shape": pa.array([t["size"]]), "data": pa.array([t["pixels"].astype("f8").tolist()])})
+        for t in read_tiles(f, h, range(part.first, part.last + 1)):
+            own = t["pixels"].astype("f8")
+            data = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own))
+            yield self.arrays({"tile": pa.array([t["tile"]]), "start": pa.array([t["origin"]]), "shape": pa.array([t["size"]]), "data": data})
 
 
 class GroupsReader(_Reader):
     """A row for each group: group (from 0), params and data, both scaled."""
 
-    unit = "group"
-
     @classmethod
     def wanted(cls, h: Hdu) -> bool:
         return h.kind == "random_groups"
@@ -712,22 +842,31 @@ class GroupsReader(_Reader):
     def count(self, h: Hdu) -> int:
         return h.gcount
 
+    @staticmethod
+    def values_of(h: Hdu) -> int:
+        """Numbers in a group."""
+        return h.pcount + int(np.prod(h.axes[1:], dtype=np.int64))
+
+    def step(self, h: Hdu) -> int:
+        return max(1, self.plan["size"] // max(1, self.values_of(h)))
+
     def batches(self, f, h: Hdu, part: Ranges):
-        kind, head = np.dtype(NUMPY[_BITPIX[h.bitpix]]), h.header
-        size = h.pcount + int(np.prod(h.axes[1:], dtype=np.int64))
+        kind, head, size = np.dtype(NUMPY[_BITPIX[h.bitpix]]), h.header, self.values_of(h)
         scale = np.array([head.real(f"PSCAL{i + 1}", 1.0) for i in range(h.pcount)])
         zero = np.array([head.real(f"PZERO{i + 1}", 0.0) for i in range(h.pcount)])
-        x = ImageReader.field(h)
-        for g in range(part.first, part.last + 1):
-            f.seek(h.data_at + g * size * kind.itemsize)
-            raw = np.frombuffer(f.read(size * kind.itemsize), kind)
-            if len(raw) < size:
+        x, many = ImageReader.field(h), max(1, (1 << 18) // max(1, size))
+        lists = lambda v, mask=None: pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel(), mask=mask))
+        for a in range(part.first, part.last + 1, many):
+            n = min(many, part.last + 1 - a)
+            f.seek(h.data_at + a * size * kind.itemsize)
+            raw = np.frombuffer(f.read(n * size * kind.itemsize), kind)
+            if len(raw) < n * size:
                 raise errors.TruncatedData(part.path)
-            params = zero + scale * raw[: h.pcount].astype("f8")
-            data = x.zero + x.scale * raw[h.pcount :].astype("f8")
-            mask = raw[h.pcount :] == x.null if isinstance(x.null, int) else None
-            data = [None if mask is not None and mask[i] else v for i, v in enumerate(data.tolist())]
-            yield self.arrays({"group": pa.array([g]), "params": pa.array([params.tolist()], pa.list_(pa.float64())), "data": pa.array([data], pa.list_(pa.float64()))})
+            raw = raw.reshape(n, size)
+            stored = raw[:, h.pcount :]
+            mask = (stored == x.null).ravel() if isinstance(x.null, int) and h.bitpix > 0 else None
+            params, data = zero + scale * raw[:, : h.pcount].astype("f8"), float(x.zero) + x.scale * stored.astype("f8")
+            yield self.arrays({"group": pa.array(np.arange(a, a + n)), "params": lists(params), "data": lists(data, mask)})
 
 
 READERS = {"hdus": HdusReader, "cards": CardsReader, "table": TableReader, "image": ImageReader, "tiles": TilesReader, "groups": GroupsReader}
@@ -735,6 +874,5 @@ READERS = {"hdus": HdusReader, "cards": CardsReader, "table": TableReader, "imag
 
 def register(spark: SparkSession) -> SparkSession:
     """Make ``spark.read.format("fits")`` and ``df.write.format("fits")`` work in a session."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FitsSource)
     return spark

@@ -16,6 +16,8 @@ from ..errors import BadDimensions, BadTbcol, BadTdim, BadTform
 WIDTHS = {"L": 1, "X": 1, "B": 1, "I": 2, "J": 4, "K": 8, "A": 1, "E": 4, "D": 8, "C": 8, "M": 16, "P": 8, "Q": 16}
 #: On disk, as numpy types.
 NUMPY = {"L": "u1", "X": "u1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "A": "u1", "E": ">f4", "D": ">f8", "C": ">f4", "M": ">f8", "P": ">i4", "Q": ">i8"}
+#: Whole numbers with a whole zero point read as decimals of so many digits.
+WHOLE_DIGITS = 38
 _BINARY = re.compile(r"^(\d*)([LXBIJKAEDCMPQ])(.*)$")
 _ASCII = re.compile(r"^([AIFED])(\d+)(?:\.(\d+))?$")
 
@@ -65,8 +67,18 @@ class Field:
         own = {("I", float(1 << 15)): "u16", ("J", float(1 << 31)): "u32", ("K", float(1 << 63)): "u64", ("B", -128.0): "i8"}
         return own.get((code, self.zero)) if self.scale == 1.0 else None
 
+    @property
+    def whole_zero(self) -> int | None:
+        """The zero point of 64-bit integers that are moved by a whole number: doubles would round them."""
+        code = self.element or self.code
+        if code == "K" and self.scale == 1.0 and self.zero and float(self.zero).is_integer() and abs(self.zero) < 1e30 and not self.unsigned:
+            return int(self.zero)
+        return None
+
     def element_type(self) -> T.DataType:
         code = self.element or self.code
+        if self.whole_zero is not None:
+            return T.DecimalType(WHOLE_DIGITS, 0)
         if self.unsigned:
             return {"u16": T.IntegerType(), "u32": T.LongType(), "u64": T.DecimalType(20, 0), "i8": T.ByteType()}[self.unsigned]
         if self.scaled and code in "BIJKED":
@@ -139,6 +151,12 @@ def width_of(code: str, repeat: int) -> int:
     return WIDTHS[code] * (repeat if code not in "PQ" else min(repeat, 1))
 
 
+def whole_or_real(header, name: str) -> float:
+    """A zero point: an int as it is written, which may be more exact than a double, else a double."""
+    real, v = header.real(name, 0.0), header.value(name)
+    return v if isinstance(v, int) else real
+
+
 def fields_of(header) -> list[Field]:
     """The fields of a table's header."""
     count, binary = header.integer("TFIELDS"), header.text("XTENSION") in ("BINTABLE", "A3DTABLE")
@@ -146,7 +164,7 @@ def fields_of(header) -> list[Field]:
     for i in range(1, count + 1):
         form = header.text(f"TFORM{i}")
         name = header.text(f"TTYPE{i}") or f"col{i}"
-        extra = {"scale": header.real(f"TSCAL{i}", 1.0), "zero": header.real(f"TZERO{i}", 0.0), "unit": header.text(f"TUNIT{i}"), "display": header.text(f"TDISP{i}")}
+        extra = {"scale": header.real(f"TSCAL{i}", 1.0), "zero": whole_or_real(header, f"TZERO{i}"), "unit": header.text(f"TUNIT{i}"), "display": header.text(f"TDISP{i}")}
         if binary:
             code, repeat, element = parse_binary(form)
             dims = parse_dims(header.text(f"TDIM{i}"), repeat, element is not None)

@@ -381,3 +381,111 @@ def test_many_files(session, tmp_path, monster):
         fits.SPLIT_FILES = before
     with pytest.raises(Exception, match="NotFound"):
         api.table(str(tmp_path / "none*.fits")).count()
+
+
+def test_filters_do_not_stick(session, tmp_path):
+    path = str(tmp_path / "t.fits")
+    api.write_table(session.range(1000).select(F.col("id").alias("rownum"), F.col("id").cast("int").alias("v")), path)
+    d = api.table(path, partitionRows=100)
+    assert (d.count(), d.filter("rownum < 5").count(), d.count()) == (1000, 5, 1000)
+    assert d.filter("rownum < 5").union(d.filter("rownum >= 995")).count() == 10
+    low, high = d.filter("rownum < 5").alias("a"), d.filter("rownum >= 995").alias("b")
+    assert low.join(high, F.col("a.rownum") + 995 == F.col("b.rownum")).count() == 5
+
+
+@pytest.mark.parametrize("bitpix", [8, 16, 32, 64, -32, -64])
+def test_sections_and_filters(session, tmp_path, bitpix):
+    kind = {8: "u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}[bitpix]
+    data = (np.arange(10 * 12 * 3) % 120).reshape(3, 12, 10).astype(kind)
+    path = write(tmp_path / "i.fits", block([("SIMPLE", True), ("BITPIX", bitpix), ("NAXIS", 3), ("NAXIS1", 10), ("NAXIS2", 12), ("NAXIS3", 3)]), padded(data.tobytes()))
+    for section, cut in (("3:6,5:8,2", data[1:2, 4:8, 2:6]), ("2:9:3,*,1:3:2", data[::2, :, 1:9:3]), ("*,12,*", data[:, 11:, :]), ("10,1:12:5,3", data[2:, ::5, 9:])):
+        for rows in (1 << 20, 3):
+            d = api.image(f"{path}[{section}]", partitionRows=rows)
+            assert [(r["pix"], r["value"]) for r in d.orderBy("pix").collect()] == list(enumerate(cut.ravel().tolist())), section
+            assert d.filter("pix < 4").count() == min(4, cut.size) and d.count() == cut.size
+            c1, c2 = (sorted({r[c] for r in d.collect()}) for c in ("c1", "c2"))
+            assert len(c1) == cut.shape[2] and len(c2) == cut.shape[1]
+    assert [r["pix"] for r in api.image(path, rows="7:11").orderBy("pix").collect()] == [7, 8, 9, 10, 11]
+    with pytest.raises(Exception, match="BadSection"):
+        api.image(f"{path}[*,*,1]", rows="0:3").count()
+
+
+def test_sections_of_images_of_different_shapes(session, tmp_path):
+    for n in (4, 20):
+        head = block([("SIMPLE", True), ("BITPIX", 16), ("NAXIS", 2), ("NAXIS1", n), ("NAXIS2", n)])
+        write(tmp_path / f"{n:02}.fits", head, padded(np.arange(n * n).astype(">i2").tobytes()))
+    assert api.image(str(tmp_path), section="*,*").count() == 416
+    assert api.image(str(tmp_path), section="2:4,1:4:2", withPath="true").groupBy("path").count().collect()[0]["count"] == 6
+    with pytest.raises(Exception, match="BadDimensions"):
+        api.image(str(tmp_path), section="1:5,1").count()
+
+
+def test_long_lines_are_cut_in_pieces(session, tmp_path, monkeypatch):
+    from astrolith.sources import fits
+
+    monkeypatch.setattr(fits, "LINE_PIXELS", 3)
+    data = np.arange(60).reshape(3, 20).astype(">i2")
+    path = write(tmp_path / "i.fits", block([("SIMPLE", True), ("BITPIX", 16), ("NAXIS", 2), ("NAXIS1", 20), ("NAXIS2", 3)]), padded(data.tobytes()))
+    plan = {"paths": [path], "with_path": False, "mode": "image", "hdu": None, "extname": None, "extver": None, "section": filespec.parse("x[2:19:2,1:3:2]").section, "columns": None, "rows": None, "raw": False, "size": 4}
+    reader = fits.ImageReader(plan, fits.ImageReader.infer(plan))
+    parts = reader.partitions()
+    got = [v for p in parts for b in reader.read(p) for v in b.column("value").to_pylist()]
+    assert len(parts) > 3 and got == data[::2, 1:19:2].ravel().tolist()
+
+
+def test_only_the_tiles_that_are_asked_for_are_decoded(session, tmp_path, monkeypatch):
+    from astrolith.sources import fits
+
+    path = str(tmp_path / "c.fits")
+    pixels = session.range(64 * 64).select(F.col("id").alias("pix"), (F.col("id") % 1000).cast("int").alias("value"))
+    api.write_compressed(pixels, path, [64, 64], "RICE_1", [8, 8])
+    decoded, plain = [], codecs.decode
+    monkeypatch.setattr(codecs, "decode", lambda *a: decoded.append(1) or plain(*a))
+
+    def read(**options):
+        decoded.clear()
+        plan = {"paths": [path], "with_path": False, "mode": "image", "hdu": None, "extname": None, "extver": None, "section": None, "columns": None, "rows": None, "raw": False, "size": 512} | options
+        reader = fits.ImageReader(plan, fits.ImageReader.infer(plan))
+        return sorted((p, v) for part in reader.partitions() for b in reader.read(part) for p, v in zip(b.column("pix").to_pylist(), b.column("value").to_pylist(), strict=True))
+
+    assert read() == [(i, i % 1000) for i in range(4096)] and len(decoded) == 64
+    assert read(rows="100:130") == [(i, i % 1000) for i in range(100, 131)] and len(decoded) <= 8
+    section = filespec.parse("x[1:9:4,20:30]").section
+    assert [v for _, v in read(section=section)] == [(64 * y + x) % 1000 for y in range(19, 30) for x in (0, 4, 8)] and len(decoded) == 4
+
+
+def test_texts_and_whole_zero_points(session, tmp_path):
+    head = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 22), ("NAXIS2", 4), ("PCOUNT", 12), ("GCOUNT", 1), ("TFIELDS", 3)]
+    head += [("TTYPE1", "T"), ("TFORM1", "6A"), ("TTYPE2", "K"), ("TFORM2", "1K"), ("TZERO2", 1), ("TNULL2", -7), ("TTYPE3", "V"), ("TFORM3", "1PA")]
+    texts, heap = [b"ab c  ", b"\xe9t\xe9\0zz", b"\0abcde", b"      "], b"one  \0x\xfc\xfc   "
+    numbers, places = [(1 << 60) + 1, -7, (1 << 63) - 1, -(1 << 63)], [(5, 0), (2, 5), (0, 0), (5, 7)]
+    rows = b"".join(t + struct.pack(">qii", n, *p) for t, n, p in zip(texts, numbers, places, strict=True))
+    path = write(tmp_path / "t.fits", PRIMARY, block(head), padded(rows + heap))
+    got = api.table(path).orderBy("rownum").collect()
+    assert [r["T"] for r in got] == ["ab c", "\u00e9t\u00e9", None, ""]
+    assert [None if r["K"] is None else int(r["K"]) for r in got] == [(1 << 60) + 2, None, 1 << 63, -(1 << 63) + 1]
+    assert [r["V"] for r in got] == ["one", "", "", "\u00fc\u00fc"]
+
+
+def test_ascii_numbers_of_all_forms(session, tmp_path):
+    cells = ["  1.5", " +2.", "  .25", " 314", "1D2", "1.E-3", "5+2", "-7.5d1", "", "***"]
+    head = [("XTENSION", "TABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 16), ("NAXIS2", len(cells)), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", 2)]
+    head += [("TTYPE1", "R"), ("TBCOL1", 1), ("TFORM1", "F8.2"), ("TTYPE2", "I"), ("TBCOL2", 9), ("TFORM2", "I8"), ("TNULL1", "***")]
+    data = "".join(c.ljust(8) + f"{(-1) ** i * i:+8}" for i, c in enumerate(cells)).encode()
+    got = api.table(write(tmp_path / "a.fits", PRIMARY, block(head), padded(data, b" "))).orderBy("rownum").collect()
+    assert [r["R"] for r in got] == [1.5, 2.0, 0.25, 3.14, 1.0, 1e-3, 5.0, -75.0, None, None]
+    assert [r["I"] for r in got] == [(-1) ** i * i for i in range(len(cells))]
+
+
+def test_pieces_of_a_file():
+    import io
+
+    from astrolith.sources.fits import gather
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 300_000).astype(np.uint8)
+    for spread in (300, 299_000):
+        offsets, sizes = rng.integers(0, spread, 200), rng.integers(0, 60, 200)
+        want = np.concatenate([data[100 + a : 100 + a + n] for a, n in zip(offsets.tolist(), sizes.tolist(), strict=True)])
+        assert (gather(io.BytesIO(data.tobytes()), 100, offsets, sizes) == want).all()
+    assert len(gather(io.BytesIO(b""), 0, offsets[:0], sizes[:0])) == 0

@@ -7,7 +7,7 @@ in each round, and only for the buckets that are still too large, so no bucket's
 
 Defined cases: a null text has no bytes; null ids hash as the empty text; a document larger than the
 limit cannot be split: it, and what shares all 60 bits with it (rows that repeat an id), is dealt on
-into pages, numbered from 0, each as full as the limit allows in order of size, with a page of its
+into pages, numbered from 0, each filled up in order of size inside a run of rows, with a page of its
 own for what is too large; an empty table has no shards.
 """
 
@@ -16,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_BYTES, ROW_BYTES, written
 
 #: Bits of the hash, and bits that a round adds.
 BITS, STEP = 60, 12
+#: A task pages about so many pages' bytes of a shard that cannot be split.
+RUN_PAGES = 64
 
 
 def hash_bits(key: Column) -> Column:
@@ -63,42 +65,85 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
     return written(shards, "directory")
 
 
-def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, bytes, shard, depth, page) for each row; shard is the prefix in bits, "" for the whole.
+def _sizes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, h, bytes, n): a row per document, numbered."""
+    rows = docs.select(F.col(key).alias("id"), hash_bits(F.col(key)).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("bytes"))
+    return written(rows.withColumn("n", F.monotonically_increasing_id()), "sizes")
+
+
+def _found(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """rows (with h) with shard, depth and shard_bytes, from one lookup of the prefix of each depth that the directory has.
 
-    A row finds its shard by joining on its prefix at each depth that the directory has: depths are
-    few, and the directory is broadcast only if it is small.
+    Depths are few, and the directory is broadcast only if it is small.
     """
-    sizes = written(docs.select(F.col(key).alias("id"), hash_bits(F.col(key)).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("bytes")), "sizes")
-    shards = directory(sizes, limit)
     depths = sorted(r["depth"] for r in shards.select("depth").distinct().collect())  # 61 at most
-    out = None
-    for d in depths:
-        own = shards.filter(F.col("depth") == d).select(F.col("prefix").alias("p"), F.col("bytes").alias("shard_bytes"))
-        rows = sizes.withColumn("p", F.shiftright("h", BITS - d)).join(own, "p")
-        name = F.lpad(F.bin("p"), d, "0") if d else F.lit("")
-        rows = rows.select("id", "bytes", name.alias("shard"), F.lit(d).alias("depth"), "shard_bytes")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return sizes.select("id", "bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).alias("page")).withColumnRenamed("id", key)
-    fits = out.filter(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0))
-    over = out.filter(F.col("shard_bytes") > limit)
-    if BITS in depths:
-        run = Window.partitionBy("shard").orderBy("bytes", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        # Half the limit for each step of the running sum: two neighbours never exceed it together.
-        paged = over.filter(F.col("bytes") * 2 <= limit).withColumn("page", F.floor((F.sum("bytes").over(run) - F.col("bytes")) * 2 / limit).cast("int"))
-        small = paged.groupBy("shard").agg((F.max("page") + 1).alias("first"))
-        number = Window.partitionBy("shard").orderBy("bytes", "id")
-        wide = over.filter(F.col("bytes") * 2 > limit).join(small, "shard", "left").withColumn("page", F.coalesce("first", F.lit(0)) + F.row_number().over(number) - 1).drop("first")
-        fits = fits.unionByName(paged).unionByName(wide)
-    return fits.select(F.col("id").alias(key), "bytes", "shard", "depth", "page")
+    if not depths:
+        return rows.select("*", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("shard_bytes")).limit(0)
+    few = shards.count() * ROW_BYTES <= BROADCAST_BYTES
+    own = shards.select("depth", "prefix", F.col("bytes").alias("shard_bytes"))
+    rows = rows.withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
+    rows = rows.withColumn("prefix", F.call_function("shiftright", F.col("h"), F.lit(BITS) - F.col("depth")))
+    rows = rows.join(F.broadcast(own) if few else own.hint("merge"), ["depth", "prefix"])
+    name = F.when(F.col("depth") > 0, F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0"))).otherwise("")
+    return rows.withColumn("shard", name).drop("prefix")
+
+
+def _paged(over: DataFrame, limit: int) -> DataFrame:
+    """(n, page) of the rows (n, bytes, shard, shard_bytes) of shards above the limit, which cannot be split.
+
+    A shard's rows are dealt by number into runs of about RUN_PAGES pages, so that no task holds a
+    large shard; running sums fill pages inside a run, and runs are numbered one after the other.
+    """
+    runs = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("shard_bytes") / (limit * RUN_PAGES)))
+    rows = over.select("n", "bytes", "shard", F.pmod(F.xxhash64("n"), runs).alias("run"))
+    small = F.col("bytes") * 2 <= limit
+    by = Window.partitionBy("shard", "run")
+    order = by.orderBy("bytes", "n")
+    before = F.sum(F.when(small, F.col("bytes"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
+    # Half the limit for each step of the running sum: two neighbours never exceed it together.
+    rows = rows.withColumn("page", F.when(small, F.floor(before * 2 / limit)))
+    rows = rows.withColumn("wide", F.sum(F.when(small, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = F.coalesce(F.max("page").over(by) + 1, F.lit(0))
+    rows = rows.withColumn("page", F.coalesce("page", first + F.col("wide") - 1).cast("bigint"))
+    rows = written(rows.select("n", "shard", "run", "page"), "paged")
+    # A row for each run: a shard's runs hold RUN_PAGES pages each, so they are few.
+    ends = rows.groupBy("shard", "run").agg((F.max("page") + 1).alias("pages"))
+    ends = ends.withColumn("base", F.sum("pages").over(Window.partitionBy("shard").orderBy("run")) - F.col("pages"))
+    return rows.join(ends.drop("pages"), ["shard", "run"]).select("n", (F.col("page") + F.col("base")).cast("int").alias("page"))
+
+
+def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, bytes, shard, depth, page) for each row; shard is the prefix in bits, "" for the whole."""
+    sizes = _sizes(docs, key, text)
+    rows = _found(sizes, directory(sizes, limit))
+    over = written(rows.filter(F.col("shard_bytes") > limit), "overfull")
+    out = rows.filter(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0))
+    if not over.isEmpty():
+        out = out.unionByName(over.join(_paged(over, limit), "n").select(*out.columns))
+    return out.select(F.col("id").alias(key), "bytes", "shard", "depth", "page")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
-    """docs as Parquet under path, a folder for each shard (x and its bits) and page."""
-    where = assign(docs, limit, key, text).select(F.col(key).alias("_id"), F.concat(F.lit("x"), "shard").alias("shard"), "page").distinct()
-    rows = docs.join(where, docs[key].eqNullSafe(where["_id"])).drop("_id")
-    rows.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    """docs as Parquet under path, a folder for each shard (x and its bits) and page.
+
+    The folders' columns are ``shard`` and ``page``, with underscores after them if docs has such columns.
+    """
+    folders = []
+    for name in ("shard", "page"):
+        while name in docs.columns:
+            name += "_"
+        folders.append(name)
+    sizes = _sizes(docs, key, text)
+    where = _found(sizes.groupBy("h").agg(F.count("*").alias("n")).drop("n"), directory(sizes, limit))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), hash_bits(F.col(key)).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("bytes"))
+    rows = rows.join(written(where, "where"), "h")
+    fits = rows.filter(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0))
+    # Rows of shards that cannot be split are numbered as they are written, each as often as it is there.
+    over = written(rows.filter(F.col("shard_bytes") > limit).withColumn("n", F.monotonically_increasing_id()), "overfull")
+    if not over.isEmpty():
+        fits = fits.unionByName(over.join(_paged(over, limit), "n").drop("n"))
+    out = fits.select("row.*", F.concat(F.lit("x"), "shard").alias(folders[0]), F.col("page").alias(folders[1]))
+    out.repartition(*folders).write.partitionBy(*folders).parquet(path)
 
 
 #: The limit of a shard in the query.

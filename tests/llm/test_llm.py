@@ -296,6 +296,23 @@ def test_written_shards(spark, awkward, empty):
     assert sharding.assign(empty, 10).count() == 0
 
 
+def test_written_shards_keep_every_row(spark, awkward):
+    rng = random.Random(7)
+    rows = [(None if i % 3 == 0 else i % 5, words(rng, rng.randrange(40)), "s", i) for i in range(900)] + [(1, "y" * 3000, "s", 901), (1, "y" * 3000, "s", 901)]
+    hot = spark.createDataFrame(rows, "doc_id bigint, text string, shard string, page int").repartition(4)
+    for df in (awkward, hot):
+        path = common.scratch_path(spark, "shards")
+        sharding.write_shards(df, path, 1500)
+        back = spark.read.parquet(path)
+        folders = ["shard_", "page_"] if "shard" in df.columns else ["shard", "page"]
+        assert back.columns == [*df.columns, *folders]
+        assert Counter(map(tuple, back.select(*df.columns).collect())) == Counter(map(tuple, df.collect()))
+        sums = back.groupBy(*folders).agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()
+        assert all((r["b"] or 0) <= 1500 or r["n"] == 1 for r in sums)
+    pages = [r["page"] for r in sharding.assign(hot.filter("doc_id is null"), 300).select("page").distinct().collect()]
+    assert len(pages) > 64 and max(pages) == len(pages) - 1
+
+
 # --- op6 ---------------------------------------------------------------------------------------
 
 

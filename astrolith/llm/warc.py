@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, without, written
+from .common import BROADCAST_BYTES, ROW_BYTES, forget, lean, scratch_path, written
 
 END = "\r\n"
+#: Records in a WARC file, which is read as a whole.
+FILE_RECORDS = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -64,19 +66,22 @@ def archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url",
     )
     records = linked.select(header.cast("binary").alias("header"), "digest", again.alias("revisit"), "id")
     records.drop("id").write.option("compression", "zstd").parquet(f"{path}/records")
-    # The payloads that are stored are those of the first rows: the rest is left out by id.
     firsts = written(groups.select("digest"), "repeated-digests")
-    keep = rows.withColumn("digest", F.unhex(F.sha2("payload", 256))).select("digest", "payload")
-    single = without(keep, firsts, "digest")
-    several = keep.join(firsts.hint("merge"), "digest") if firsts.count() else keep.limit(0)
-    small = None
-    if least:
-        # Payloads too small to be revisited may repeat too; they meet here like the others.
-        small = single.filter(F.length("payload") < least).dropDuplicates(["digest"])
-        single = single.filter(F.length("payload") >= least)
-    several = several.groupBy("digest").agg(F.first("payload").alias("payload"))
-    stored = single.unionByName(several)
-    (stored.unionByName(small) if small is not None else stored).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    keep = rows.select(F.unhex(F.sha2("payload", 256)).alias("digest"), "payload")
+    # One of each payload, picked before bytes are shuffled: each task sends one copy at most.
+    pick = lambda df: df.groupBy("digest").agg(F.first("payload").alias("payload"))
+    if firsts.count() * ROW_BYTES <= BROADCAST_BYTES:
+        repeats = pick(keep.join(F.broadcast(firsts), "digest", "left_semi"))
+        single = keep.join(F.broadcast(firsts), "digest", "left_anti")
+        # Payloads too small to be revisited may repeat too.
+        small = [pick(single.filter(F.length("payload") < least))] if least else []
+        stored = single.filter(F.length("payload") >= least) if least else single
+        for more in (repeats, *small):
+            stored = stored.unionByName(more)
+    else:
+        stored = pick(keep)
+    stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    forget(known, groups, firsts)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -93,17 +98,18 @@ def header_field(header: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
-def export(spark: SparkSession, path: str, out: str) -> None:
-    """The archive at path as WARC files in the folder out."""
+def export(spark: SparkSession, path: str, out: str, compression: str = "none") -> None:
+    """The archive at path as WARC files in the folder out, at most FILE_RECORDS records in a file."""
     block = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload"))
     lines = records(spark, path).select(F.concat("header", block).cast("string").alias("value"))
-    lines.write.option("lineSep", END + END).text(out)
+    lines.write.option("lineSep", END + END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", compression).text(out)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """(header, block) of each record in the WARC files under path; a file is read as a whole."""
 
     def batches(frames):
+        import gzip
         import re
 
         import pyarrow as pa
@@ -111,6 +117,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         length = re.compile(rb"\r\ncontent-length: *(\d+)\r\n", re.I)
         for batch in frames:
             for content in batch.column(0).to_pylist():
+                content = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
                 at, heads, blocks = 0, [], []
                 while at < len(content):
                     end = content.index(b"\r\n\r\n", at) + 4
@@ -120,23 +127,36 @@ def load(spark: SparkSession, path: str) -> DataFrame:
                     at = end + n + 4
                 yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), pa.array(blocks, pa.binary())], ["header", "block"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
-    return files.mapInArrow(batches, "header binary, block binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+    return files.mapInArrow(lean(batches), "header binary, block binary")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    """Contract query: page_id, payload_bytes, payload_digest, record_type, refers_to of every page."""
+    """Contract query: page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from WARC files."""
     path = scratch_path(spark, "archive")
     archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
+    export(spark, path, f"{path}/warc", "gzip")
     number = lambda c: F.regexp_extract(c, r"<urn:x-page:(-?\d*)>", 1).try_cast("bigint")
     h = F.col("header")
-    return records(spark, path).select(
+    read = load(spark, f"{path}/warc").select(
         number(header_field(h, "WARC-Record-ID")).alias("page_id"),
-        F.length("payload").cast("bigint").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
         header_field(h, "WARC-Type").alias("record_type"),
         number(header_field(h, "WARC-Refers-To")).alias("refers_to"),
-    )
+        F.regexp_replace(header_field(h, "WARC-Payload-Digest"), "^sha1:", "").alias("named"),
+        F.length("block").cast("bigint").alias("payload_bytes"), base32_sha1(F.col("block")).alias("payload_digest"),
+    )
+    read = written(read, "records-read")
+    # A revisit has the payload of the response that it refers to.
+    told = read.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
+    stored = read.filter("record_type = 'response'")
+    named = F.when(F.col("payload_digest") == F.col("named"), F.col("named")).otherwise(F.raise_error(F.lit("payload does not fit its digest")).cast("string"))
+    own = stored.join(told.select(F.col("refers_to").alias("page_id"), "named").distinct(), ["page_id", "named"], "left_semi")
+    own = written(own.select("page_id", "named", "payload_bytes", "payload_digest").distinct(), "revisited")
+    few = own.count() * ROW_BYTES * 2 <= BROADCAST_BYTES
+    side = own.withColumnRenamed("page_id", "refers_to")
+    told = told.join(F.broadcast(side) if few else side.hint("merge"), ["refers_to", "named"])
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return stored.withColumn("payload_digest", named).select(*names).unionByName(told.select(*names))
 
 
 OP4_SQL = """

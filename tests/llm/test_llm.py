@@ -211,6 +211,36 @@ def test_neighbours_of_repeated_queries(spark):
     assert got == sorted(near(0, rows[0][1]) + near(1, rows[1][1]) + near(1, other))
 
 
+def test_rows_that_share_an_id_find_each_other(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(300)]
+    rows += [(0, rng.normal(size=16).tolist()), (0, rows[0][1]), *[(1000 + i, rows[5][1]) for i in range(400)]]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    got = ann.search_among(df, F.col("vec_id") % 100 == 0, "vec_id", "embedding", 10, confidence=0.999999).collect()
+    want = []
+    for n, (q, v) in enumerate(rows):
+        if q % 100 == 0:
+            near = sorted((float(np.sqrt(((np.array(v) - w) ** 2).sum())), j) for m, (j, w) in enumerate(rows) if m != n)[:10]
+            want += [(q, r + 1, j, round(d, 9)) for r, (d, j) in enumerate(near)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("size", [64, 1 << 14])
+def test_recall_of_neighbours(spark, monkeypatch, size):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", size)
+    table = spark.read.parquet(f"{FOLDER}/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in table.collect()]
+    got = defaultdict(dict)
+    for r in ann.op3(spark, FOLDER).collect():
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    hits = 0
+    for q, v in rows:
+        if q % 100 == 0:
+            near = sorted((float(np.sqrt(((v - w) ** 2).sum())), j) for j, w in rows if j != q)[:10]
+            hits += sum(j in got[q] and abs(got[q][j] - d) < 1e-9 for d, j in near)
+    assert len(got) == sum(q % 100 == 0 for q, _ in rows) and hits >= 0.9 * 10 * len(got)
+
+
 # --- op4 ---------------------------------------------------------------------------------------
 
 PAGES = [(5, "http://a/x", "<p>one</p>"), (2, "http://a/y", "<p>one</p>"), (9, None, "<p>one</p>"), (3, "http://b\r\nWARC-Type: revisit", "two\r\n\r\nWARC/1.1\r\n"), (4, "u", None), (6, "u", ""), (7, "é", "é" * 50_000), (2, "http://a/y", "<p>one</p>"), (None, "n", "<p>one</p>"), (None, "n", "own"), (8, "q", "\x00\n")]

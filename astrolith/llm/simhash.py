@@ -27,6 +27,8 @@ from .common import BROADCAST_BYTES, ROW_BYTES, connected, forget, lean, slices,
 BITS = 64
 #: Keys may be so many bits shorter if that makes fewer of them; rows that a task of the join has at most.
 SLACK, PART_ROWS = 1.2, 1 << 22
+#: Pairs that are compared at once.
+PAIRS = 1 << 18
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 5, seed: int = 42, lower: bool = True, words: int = 1) -> DataFrame:
@@ -156,22 +158,27 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 1024, words: int = 1,
             both = x if i == j else np.concatenate([x[:, c == i], x[:, c == j]], axis=1)
             left, off = (both.shape[1], 0) if i == j else (int((c == i).sum()), int((c == i).sum()))
             nodes, first, more = both[0], both[1].view(np.uint64), both[2:].view(np.uint64)
-            label, out = np.arange(len(nodes)), []
-            right = first[off:]
-            for k in range(left):
-                far = np.bitwise_count(right ^ first[k])
-                near = np.flatnonzero(far <= distance)
-                if len(near) > (i == j) and len(more):
-                    all_far = far[near].astype(np.int64)
+            label, out, right = np.arange(len(nodes)), [], first[off:]
+            step = max(1, PAIRS // max(1, len(right)))
+            for a in range(0, left, step):
+                far = np.bitwise_count(first[a : min(a + step, left), None] ^ right)
+                x, y = np.nonzero(far <= distance)
+                later = np.flatnonzero(y > x + a) if i == j else np.arange(len(x))
+                x, y = x[later], y[later]
+                if len(x) and len(more):
+                    every = far[x, y].astype(np.int64)
                     for w in more:
-                        all_far += np.bitwise_count(w[off:][near] ^ w[k])
-                    near = near[all_far <= total]
-                near += off
-                new = near[label[near] != label[k]]
-                while len(new):  # at most as many steps in all as there are rows
-                    out.append((nodes[k], nodes[new[0]]))
-                    label[label == label[new[0]]] = label[k]
-                    new = new[label[new] != label[k]]
+                        every += np.bitwise_count(w[a + x] ^ w[off + y])
+                    x, y = x[every <= total], y[every <= total]
+                if not len(x):
+                    continue
+                for near in np.split(np.stack([x + a, y + off]), np.flatnonzero(np.diff(x)) + 1, axis=1):
+                    k, near = near[0, 0], near[1]
+                    new = near[label[near] != label[k]]
+                    while len(new):  # at most as many steps in all as there are rows
+                        out.append((nodes[k], nodes[new[0]]))
+                        label[label == label[new[0]]] = label[k]
+                        new = new[label[new] != label[k]]
             return out
 
         def done(kept):

@@ -23,13 +23,13 @@ from .common import kept, lean, scratch_path, size_of, task_count, written
 #: A segment is closed once it holds so many tokens, and a file once it holds so many segments.
 SEGMENT_TOKENS, FILE_SEGMENTS = 1 << 20, 4
 #: Texts are encoded so many bytes at a time, or one by one if they are longer.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 #: A task encodes so many bytes of table at most, where that is known.
 PART_BYTES = 1 << 26
 #: So many first characters of the text, and its hash, order rows that share an id.
 TIE_CHARS = 32
 #: Once a Python worker knows so many distinct pieces it forgets those that it met in one block only.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 class Encoder:

@@ -1,6 +1,7 @@
 """FITS files written by hand, or by this library, and read back."""
 
 import struct
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -489,3 +490,87 @@ def test_pieces_of_a_file():
         want = np.concatenate([data[100 + a : 100 + a + n] for a, n in zip(offsets.tolist(), sizes.tolist(), strict=True)])
         assert (gather(io.BytesIO(data.tobytes()), 100, offsets, sizes) == want).all()
     assert len(gather(io.BytesIO(b""), 0, offsets[:0], sizes[:0])) == 0
+
+
+def test_nulls_come_back(session, tmp_path):
+    kinds = "rownum bigint, b tinyint, s smallint, i int, k bigint, u decimal(20,0), f float, d double, l boolean, t string, z struct<re:double,im:double>"
+    rows = [(0, 5, -7, 1 << 20, -(1 << 62), Decimal(7), 1.5, 2.5, True, "one", (1.0, 2.0)), (1, *[None] * 8, None, (3.0, 4.0)), (2, 127, 32767, -5, 0, Decimal((1 << 64) - 2), -0.5, 0.0, False, "", (0.0, 0.0))]
+    df = session.createDataFrame(rows, kinds).repartitionByRange(2, "rownum")
+    path = str(tmp_path / "n.fits")
+    api.write_table(df, path, checksum=True)
+    back = [tuple(r) for r in api.table(path).orderBy("rownum").collect()]
+    nan = lambda row: tuple(None if x != x else tuple(x) if isinstance(x, tuple) else x for x in row)
+    assert [nan(r) for r in back] == [nan(r) for r in rows]
+    assert api.getval(path, "TNULL2", 2) == -32768 and api.verify(path).filter("severity = 'err'").count() == 0
+    taken = session.createDataFrame([(-32768,), (None,)], "s smallint")
+    with pytest.raises(Exception, match="stands for null"):
+        api.write_table(taken, path)
+    api.write_table(taken, path, nulls="s:99")
+    assert {r["s"] for r in api.table(path).collect()} == {-32768, None}
+    with pytest.raises(Exception, match="null inside an array"):
+        api.write_table(session.sql("select array(1, null) as a"), path)
+    with pytest.raises(Exception, match="no Latin-1"):
+        api.write_table(session.createDataFrame([("\u4e2d\u6587",)], "t string"), path)
+    api.write_table(session.createDataFrame([("caf\u00e9",), (None,), ("",)], "t string").coalesce(1), path)
+    assert [r["t"] for r in api.table(path).orderBy("rownum").collect()] == ["caf\u00e9", None, ""]
+
+
+def test_scaled_columns_and_images(session, tmp_path):
+    path = str(tmp_path / "s.fits")
+    df = session.createDataFrame([(0, 10.5), (1, 11.24), (2, None), (3, -3.76)], "rownum bigint, v double").coalesce(1)
+    api.write_table(df, path, scaled="v:I:0.5:10")
+    assert [r["v"] for r in api.table(path).orderBy("rownum").collect()] == [10.5, 11.0, None, -4.0]
+    assert [r["v"] for r in api.table(path, raw="true").orderBy("rownum").collect()] == [1, 2, -32768, -28]
+    again = str(tmp_path / "again.fits")
+    api.write_table(api.table(path).coalesce(1), again, scaled="keep")
+    assert api.getval(again, "TFORM1", 2) == "1I" and [r["v"] for r in api.table(again).orderBy("rownum").collect()] == [10.5, 11.0, None, -4.0]
+    with pytest.raises(Exception, match="Overflow"):
+        api.write_table(df, path, scaled="v:B:0.001:10")
+    pixels = session.createDataFrame([(i, v) for i, v in enumerate([100.0, 102.0, 200.0, None])], "pix bigint, value double")
+    api.write_image(pixels, path, [4], bitpix=16, bscale=2, bzero=100)
+    assert [r["value"] for r in api.image(path).orderBy("pix").collect()] == [100.0, 102.0, 200.0, None] and api.getval(path, "BLANK") == -32768
+    whole = session.createDataFrame([(0, 7), (1, None)], "pix bigint, value int")
+    api.write_image(whole, path, [2])
+    assert [r["value"] for r in api.image(path).orderBy("pix").collect()] == [7, None]
+    groups = session.createDataFrame([([1.0, 2.5], [4.0, 6.0]), ([3.0, 4.5], [8.0, None])], "params array<double>, data array<double>").coalesce(1)
+    api.write_groups(groups, path, [2], bitpix=16, bscale=2, pscal="1,0.5", pzero="0,2")
+    assert [(r["params"], r["data"]) for r in api.getdata(path).orderBy("group").collect()] == [([1.0, 2.5], [4.0, 6.0]), ([3.0, 4.5], [8.0, None])]
+
+
+def test_large_heaps_have_wide_descriptors(session, tmp_path, monkeypatch):
+    from astrolith.sources import fits_sink
+
+    rows = session.range(40).select(F.col("id").alias("rownum"), F.transform(F.sequence(F.lit(1), F.col("id") % 5 + 1), lambda x: x * F.col("id")).alias("v")).repartitionByRange(3, "rownum").sortWithinPartitions("rownum")
+    want = [r["v"] for r in rows.orderBy("rownum").collect()]
+    for most, form in ((1 << 31, "1PK"), (100, "1QK")):
+        monkeypatch.setattr(fits_sink, "NARROW_HEAP", most)
+        parts = [fits_sink.Out("v", "K", 1, True)]
+        writer = fits_sink.FitsWriter({"path": str(tmp_path / "q.fits")}, rows.schema, True)
+        assert [o.name for o in writer.columns] == [o.name for o in parts]
+        import pyarrow as pa
+
+        made = []
+        for n, batch in enumerate(rows.toArrow().to_batches(max_chunksize=7)):
+            name, seen = f"{tmp_path}/{form}{n}", fits_sink.Seen()
+            with open(f"{name}.rows", "wb") as out, open(f"{name}.heap", "wb") as heap:
+                out.write(fits_sink.encode_rows(pa.RecordBatch.from_arrays(batch.columns, batch.schema.names), writer.columns, heap, seen))
+                made.append(fits_sink.Part(n, name, batch.num_rows, heap.tell(), dict(seen)))
+        writer.commit(made)
+        path = str(tmp_path / "q.fits")
+        assert api.getval(path, "TFORM1", 2) == form
+        assert [r["v"] for r in api.table(path).orderBy("rownum").collect()] == want
+
+
+@pytest.mark.parametrize("method", ["NO_DITHER", "SUBTRACTIVE_DITHER_2"])
+def test_quantizing_methods(session, tmp_path, method):
+    path = str(tmp_path / "q.fits")
+    pixels = session.range(200).select(F.col("id").alias("pix"), F.when(F.col("id") == 7, float("nan")).when(F.col("id") % 10 == 0, 0.0).otherwise(F.sin("id")).cast("float").alias("value"))
+    api.write_compressed(pixels, path, [20, 10], "GZIP_2", dither=None if method == "NO_DITHER" else 5, method=method)
+    both = api.getdata(path).withColumnRenamed("value", "w").join(pixels, "pix").collect()
+    assert all((r["w"] is None or r["w"] != r["w"]) if r["pix"] == 7 else abs(r["w"] - r["value"]) < 3e-5 for r in both)
+    assert method == "NO_DITHER" or all(r["w"] == 0 for r in both if r["pix"] % 10 == 0)
+    whole = session.range(64).select(F.col("id").alias("pix"), F.when(F.col("id") != 9, F.col("id").cast("int")).alias("value"))
+    api.write_compressed(whole, path, [8, 8], "RICE_1", blank=-1)
+    assert [r["value"] for r in api.getdata(path).orderBy("pix").collect()] == [None if i == 9 else i for i in range(64)]
+    with pytest.raises(Exception, match="no blank"):
+        api.write_compressed(whole, path, [8, 8], "RICE_1")

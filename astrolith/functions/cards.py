@@ -136,14 +136,16 @@ def assemble(cards: DataFrame, by: list[str], order: str, base: str, text: str)
     """Texts that CONTINUE cards go on with, put together.
 
     base is true on a card that begins a text.  The next card goes on with it if base is false there
-    and the text so far ends in an ampersand, which is taken off.  by names what cards are grouped
-    by, such as a file's HDU, which also bounds what is gathered.
+    and the text so far ends in an ampersand, which is taken off; else the ampersand is a character
+    of the text, and cards that go on with nothing are left out.  by names what cards are grouped by,
+    such as a file's HDU, which also bounds what is gathered.
     """
     w = Window.partitionBy(*by).orderBy(order)
-    rows = cards.withColumn("_group", F.sum(F.col(base).cast("int")).over(w))
-    rows = rows.withColumn("_more", F.coalesce(~F.lead(base).over(w), F.lit(False)))
+    begins = F.col(base) | ~F.coalesce(F.lag(text).over(w).endswith("&"), F.lit(False))
+    rows = cards.withColumn("_begins", begins)
+    rows = rows.withColumn("_group", F.sum(F.col("_begins").cast("int")).over(w)).withColumn("_more", F.coalesce(~F.lead("_begins").over(w), F.lit(False)))
     piece = F.when(F.col("_more"), F.regexp_replace(text, "&$", "")).otherwise(F.col(text))
-    parts = rows.groupBy(*by, "_group").agg(F.min(order).alias(order), F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), piece.alias("t")))).alias("_parts"))
+    parts = rows.groupBy(*by, "_group").agg(F.min_by(base, order).alias("_own"), F.min(order).alias(order), F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), piece.alias("t")))).alias("_parts")).filter("_own")
     return parts.select(*by, order, F.array_join(F.transform("_parts", lambda p: p["t"]), "").alias(text))
 
 

@@ -43,6 +43,21 @@ def unquantize(stored: Column, scale: Column, zero: Column, draw: Column | float
     return F.when(stored != NULL_CODE, x)
 
 
+def _slices(lists):
+    """The values of each list of an Arrow array, as views of one numpy array."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+
+def _lists(parts: list[np.ndarray]):
+    """An Arrow array of lists of 64-bit integers."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)))
+
+
 def encode(tiles: DataFrame, codec: str, kind: np.dtype, block: int = 32) -> DataFrame:
     """(tile, data) from (tile, values, shape): each tile's bytes; shape may be null."""
 
@@ -51,7 +66,7 @@ def encode(tiles: DataFrame, codec: str, kind: np.dtype, block: int = 32) -> Dat
 
         for batch in frames:
             shapes = batch.column("shape").to_pylist()
-            out = [codecs.encode(codec, np.array(v, kind), block, tuple(s) if s else None) for v, s in zip(batch.column("values").to_pylist(), shapes, strict=True)]
+            out = [codecs.encode(codec, v.astype(kind), block, tuple(s) if s else None) for v, s in zip(_slices(batch.column("values")), shapes, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array(out, pa.binary())], ["tile", "data"])
 
     return tiles.select("tile", "values", "shape").mapInArrow(batches, "tile bigint, data binary")
@@ -65,20 +80,28 @@ def decode(tiles: DataFrame, codec: str, kind: np.dtype, block: int = 32) -> Dat
 
         for batch in frames:
             both = zip(batch.column("data").to_pylist(), batch.column("count").to_pylist(), strict=True)
-            out = [codecs.decode(codec, x, n, kind, block).astype(np.int64) for x, n in both]
-            yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array([list(map(int, o)) for o in out], pa.list_(pa.int64()))], ["tile", "values"])
+            out = [codecs.decode(codec, x, n, kind, block) for x, n in both]
+            yield pa.RecordBatch.from_arrays([batch.column("tile"), _lists(out)], ["tile", "values"])
 
     return tiles.select("tile", "data", "count").mapInArrow(batches, "tile bigint, values array<bigint>")
 
 
 def roundtrip(pixels: DataFrame, order: str, tile: str, value: str, codec: str, kind: np.dtype) -> DataFrame:
-    """pixels after coding and decoding: (order, value); a tile's pixels are taken in order."""
+    """pixels after coding and decoding: (order, value); a tile's pixels are taken in order and shuffled once."""
     rows = pixels.groupBy(F.col(tile).alias("tile")).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("p"))
-    rows = rows.select("tile", F.transform("p", lambda x: x[order]).alias("keys"), F.transform("p", lambda x: x[value]).alias("values"))
-    # Two axes for codecs that need them: rows of as many pixels as divide the tile, ten at most.
-    n = F.size("values")
-    wide = F.array_max(F.filter(F.sequence(F.lit(1), F.lit(10)), lambda k: n % k == 0))
-    coded = encode(rows.select("tile", "values", F.array((n / wide).cast("int"), wide.cast("int")).alias("shape")), codec, kind)
-    back = decode(coded.join(rows.select("tile", F.size("keys").alias("count")), "tile"), codec, kind)
-    both = rows.select("tile", "keys").join(back, "tile")
-    return both.select(F.explode(F.arrays_zip("keys", "values")).alias("x")).select(F.col("x.keys").alias(order), F.col("x.values").alias(value))
+    rows = rows.select(F.transform("p", lambda x: x[order].cast("bigint")).alias("keys"), F.transform("p", lambda x: x[value].cast("bigint")).alias("values"))
+
+    def batches(frames):
+        import pyarrow as pa
+
+        for batch in frames:
+            out = []
+            for v in _slices(batch.column("values")):
+                # Two axes for codecs that need them: rows of as many pixels as divide the tile, ten at most.
+                wide = max(k for k in range(1, 11) if len(v) % k == 0)
+                data = codecs.encode(codec, v.astype(kind), 32, (len(v) // wide, wide))
+                out.append(codecs.decode(codec, data, len(v), kind, 32).astype(np.int64))
+            flat = np.concatenate([np.zeros(0, np.int64), *out])
+            yield pa.RecordBatch.from_arrays([batch.column("keys").flatten(), pa.array(flat)], [order, value])
+
+    return rows.mapInArrow(batches, f"`{order}` bigint, `{value}` bigint")

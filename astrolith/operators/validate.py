@@ -112,5 +112,7 @@ def verify(catalog: DataFrame, cards: DataFrame) -> DataFrame:
     sums = _finding(rows, F.col("datasum_status") == "mismatch", "err", "DATASUM", "the data do not add up to DATASUM") if "datasum_status" in rows.columns else None
     whole = _finding(rows, F.col("checksum_status") == "mismatch", "err", "CHECKSUM", "the HDU does not add up to all ones") if "checksum_status" in rows.columns else None
     beyond = _finding(rows, F.col("truncated"), "err", "NAXIS", "the data unit reaches beyond the file") if "truncated" in rows.columns else None
-    found = [image_rules(rows), table_rules(rows, cards), order_rules(rows, cards), ascii_rules(rows, cards), seen, *[x for x in (sums, whole, beyond) if x is not None]]
+    odd = [_finding(rows, F.col(c) == "unreadable", "warning", k, f"{k} cannot be read") for c, k in (("datasum_status", "DATASUM"), ("checksum_status", "CHECKSUM")) if c in rows.columns]
+    cut = [_finding(rows.join(cards.filter("name in ('DATASUM', 'CHECKSUM')").select("hdu").distinct(), "hdu", "left_semi"), F.col("truncated"), "warning", "DATASUM", "the sums of a truncated data unit cannot be checked")] if beyond is not None else []
+    found = [image_rules(rows), table_rules(rows, cards), order_rules(rows, cards), ascii_rules(rows, cards), seen, *[x for x in (sums, whole, beyond) if x is not None], *odd, *cut]
     return _all(*found).orderBy("hdu", "kw", "severity")

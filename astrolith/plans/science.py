@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import arrays, display, sky, times
 from ..operators import tiles as tile_ops
 from ..operators import work
+from ..sources import codecs
 from .registry import query, table
 
 CRPIX, CRVAL, CDELT = (256.0, 256.0), (150.0, 2.5), (-6e-4, 6e-4)
@@ -229,12 +231,8 @@ select n, seed from s where n % 100 = 0
 """)
 def dither_sequence(spark, d):
     """Every hundredth seed of the format's random sequence."""
-    seeds, seed = [], 1
-    for n in range(1, 10_001):
-        seed = seed * 16807 % 2147483647
-        if n % 100 == 0:
-            seeds.append((n, seed))
-    return spark.createDataFrame(seeds, "n int, seed bigint")
+    seeds = codecs.random_seeds().tolist()
+    return spark.createDataFrame([(n, seeds[n - 1]) for n in range(100, len(seeds) + 1, 100)], "n int, seed bigint")
 
 
 def _codec(codec, key, column, of, kind, sql_kind, divisor):
@@ -258,20 +256,24 @@ select k as plane, string_agg(substr(lpad(printf('%x', n_nationkey * 1000003), 8
 from nation, (select unnest(range(0, 4))::int as k) group by k
 """)
 def byte_shuffle(spark, d):
-    raw = F.lower(F.lpad(F.hex(F.col("n_nationkey") * 1000003), 8, "0"))
-    rows = table(spark, d, "nation").select("n_nationkey", F.posexplode(F.array(*[F.substring(raw, 1 + 2 * k, 2) for k in range(4)])).alias("plane", "b"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "b"))), lambda x: x["b"]), "")
-    return rows.groupBy("plane").agg(joined.alias("bytes"))
+    rows = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 1000003).cast("int").alias("v"))
+    tile = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "v"))), lambda x: x["v"]).alias("v"))
+
+    def planes(frames):
+        for batch in frames:
+            for v in batch.column(0):
+                data = codecs.shuffle(np.array(v.as_py(), ">i4").tobytes(), 4)
+                n = len(data) // 4
+                yield pa.RecordBatch.from_arrays([pa.array(range(4), pa.int32()), pa.array([data[k * n : k * n + n].hex() for k in range(4)])], ["plane", "bytes"])
+
+    return tile.mapInArrow(planes, "plane int, bytes string")
 
 
 @query("select l_returnflag, sum(l_partkey)::bigint as total, count(*)::bigint as n from lineitem group by 1")
 def iterator_sum(spark, d):
     def add(batch):
-        flags, keys = batch.column("l_returnflag"), batch.column("l_partkey").to_numpy()
-        codes = flags.dictionary_encode()
-        sums = np.bincount(codes.indices.to_numpy(), weights=keys, minlength=len(codes.dictionary)).astype(np.int64)
-        counts = np.bincount(codes.indices.to_numpy(), minlength=len(codes.dictionary)).astype(np.int64)
-        return {"l_returnflag": codes.dictionary, "total": sums, "n": counts}
+        found = pa.Table.from_batches([batch]).group_by("l_returnflag").aggregate([("l_partkey", "sum"), ("l_partkey", "count")])
+        return {"l_returnflag": found["l_returnflag"].combine_chunks(), "total": found["l_partkey_sum"].combine_chunks(), "n": found["l_partkey_count"].combine_chunks()}
 
     rows = work.run(table(spark, d, "lineitem").select("l_returnflag", "l_partkey"), add, "l_returnflag string, total bigint, n bigint")
     return rows.groupBy("l_returnflag").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -113,13 +113,12 @@ def cast_overflow_class(spark, d):
 
 
 @query("""
-select o_orderkey, o_orderkey * 90071992547409 + 1 as value,
-  (o_orderkey * 90071992547409 + 1)::double::hugeint = (o_orderkey * 90071992547409 + 1)::hugeint as exact from orders where o_orderkey < 90000
+select o_orderkey, o_orderkey % 90000 * 90071992547409 + 1 as value,
+  (o_orderkey % 90000 * 90071992547409 + 1)::double::hugeint = (o_orderkey % 90000 * 90071992547409 + 1)::hugeint as exact from orders
 """)
 def cast_precision_loss_class(spark, d):
-    x = F.col("o_orderkey") * F.lit(90071992547409) + 1
-    rows = table(spark, d, "orders").filter("o_orderkey < 90000")
-    return rows.select("o_orderkey", x.alias("value"), convert.exact_as_double(x).alias("exact"))
+    x = F.col("o_orderkey") % F.lit(90000) * F.lit(90071992547409) + 1
+    return table(spark, d, "orders").select("o_orderkey", x.alias("value"), convert.exact_as_double(x).alias("exact"))
 
 
 @query("select s_suppkey, s_suppkey::bigint as id, round(s_acctbal, 2) as flux, s_name as note from supplier")
@@ -221,21 +220,26 @@ def vla_heap_offsets(spark, d):
 
 
 @query("""
-select conv_id, turn, (sum(n) over (partition by conv_id order by turn) - n)::bigint as new_offset
-from (select conv_id, turn, len(string_split(text, ' ')) as n from conversations where turn % 3 <> 1)
+select conv_id, turn, case when turn % 3 <> 1 then (sum(n) over (partition by conv_id order by turn) - n)::bigint end as new_offset
+from (select conv_id, turn, case when turn % 3 <> 1 then len(string_split(text, ' ')) else 0 end as n from conversations)
 """)
 def heap_compact(spark, d):
-    rows = table(spark, d, "conversations").filter("turn % 3 <> 1").select("conv_id", "turn", F.size(F.split("text", " ")).cast("bigint").alias("n"))
-    return edits.compact(rows, "n", "turn", ["conv_id"]).select("conv_id", "turn", F.col("new_offset"))
+    """Every third cell is freed: it has no place any more, and those after it move up."""
+    live = F.col("turn") % 3 != 1
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(live, F.size(F.split("text", " "))).otherwise(0).cast("bigint").alias("n"))
+    return edits.compact(rows, "n", "turn", ["conv_id"]).select("conv_id", "turn", F.when(live, F.col("new_offset")).alias("new_offset"))
 
 
 @query("""
 select v as row_no, k as axis1, embedding[k + 1]::double as value, ((v - 2) // 5) * 16 + (k - 1) // 4 as out_index
-from (select vec_id as v, embedding, unnest(range(0, 64)) as k from embeddings) where v between 2 and 400 and (v - 2) % 5 = 0 and k between 1 and 62 and (k - 1) % 4 = 0
+from (select vec_id as v, embedding, unnest(range(0, 64)) as k from embeddings) where v >= 2 and (v - 2) % 5 = 0 and k between 1 and 62 and (k - 1) % 4 = 0
 """)
 def image_section_strided(spark, d):
-    low, high, step = [1, 2], [62, 400], [4, 5]
-    rows = table(spark, d, "embeddings").filter(arrays.in_section([F.col("vec_id")], low[1:], high[1:], step[1:]))
+    """A section whose second axis is open-ended: it goes on to the image's last row."""
+    rows = table(spark, d, "embeddings")
+    last = rows.agg(F.max("vec_id")).first()[0]
+    low, high, step = [1, 2], [62, max(2, last or 0)], [4, 5]
+    rows = rows.filter(arrays.in_section([F.col("vec_id")], low[1:], high[1:], step[1:]))
     rows = rows.select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "value"))
     coords = [F.col("k").cast("bigint"), F.col("vec_id")]
     rows = rows.filter(arrays.in_section(coords, low, high, step))

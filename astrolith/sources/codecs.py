@@ -227,19 +227,24 @@ def plio_decode(words: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-_RANDOM: np.ndarray | None = None
+_SEEDS: np.ndarray | None = None
 
 
-def random_sequence() -> np.ndarray:
-    """The format's 10,000 numbers in [0, 1): a Park-Miller generator from seed 1."""
-    global _RANDOM
-    if _RANDOM is None:
-        out, seed = np.empty(RANDOM_COUNT, np.float32), 1
+def random_seeds() -> np.ndarray:
+    """The seeds of the format's 10,000 random numbers: a Park-Miller generator from seed 1."""
+    global _SEEDS
+    if _SEEDS is None:
+        out, seed = np.empty(RANDOM_COUNT, np.int64), 1
         for i in range(RANDOM_COUNT):
             seed = seed * RANDOM_A % RANDOM_M
-            out[i] = seed / RANDOM_M
-        _RANDOM = out
-    return _RANDOM
+            out[i] = seed
+        _SEEDS = out
+    return _SEEDS
+
+
+def random_sequence() -> np.ndarray:
+    """The format's 10,000 numbers in [0, 1)."""
+    return (random_seeds() / RANDOM_M).astype(np.float32)
 
 
 def dither(tile: int, count: int, zdither: int = 1) -> np.ndarray:

@@ -135,8 +135,6 @@ class Header:
     def integer(self, name: str, default: int | None = None) -> int:
         v = self.value(name, default)
         if isinstance(v, bool) or not isinstance(v, int):
-            if isinstance(v, float) and v == int(v):
-                return int(v)
             raise errors.MissingRequiredKeyword(name) if v is None else errors.WrongValueType(name)
         return v
 
@@ -226,7 +224,10 @@ def make_hdu(number_: int, header: Header, at: int, data_at: int) -> Hdu:
 
 
 def scan(f, size: int, upto: int | None = None):
-    """The HDUs of a file, one after the other; what follows the last one and is none is left alone."""
+    """The HDUs of a file, one after the other.
+
+    What follows the last one and has no header is left alone; a header with other errors is an error.
+    """
     at, n = 0, 0
     while at < size and (upto is None or n < upto):
         n += 1
@@ -234,8 +235,13 @@ def scan(f, size: int, upto: int | None = None):
             raise errors.LimitExceeded("HDUs")
         try:
             header, data_at = Header.read(f, at)
+        except (errors.HeaderError, errors.ValueFormatError):
+            if n == 1:
+                raise
+            return
+        try:
             hdu = make_hdu(n, header, at, data_at)
-        except (errors.HeaderError, errors.ValueFormatError, errors.BadExtension):
+        except (errors.MissingRequiredKeyword, errors.BadExtension):
             if n == 1:
                 raise
             return

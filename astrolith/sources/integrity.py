@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..functions.checksum import ALL_ONES, decode_text
+from ..functions.checksum import ALL_ONES
 
 PIECE = 2880 * 1024
 
@@ -37,11 +37,14 @@ def sum_range(f, first: int, last: int) -> int:
 
 
 def verify(f, hdu) -> tuple[str, str]:
-    """match, mismatch or not_present, for DATASUM and for CHECKSUM."""
+    """match, mismatch, not_present or unreadable, for DATASUM and for CHECKSUM."""
     data = sum_range(f, hdu.data_at, hdu.end)
-    want, code = hdu.header.text("DATASUM"), hdu.header.text("CHECKSUM")
-    one = "not_present" if want is None or not want.strip().isdigit() else "match" if int(want) == data else "mismatch"
-    if code is None or len(code) != 16 or decode_text(code) == 0 and set(code) <= {"0", " "}:
+    want, code = hdu.header.value("DATASUM"), hdu.header.value("CHECKSUM")
+    known = isinstance(want, str) and want.strip().isdigit() and int(want) <= ALL_ONES
+    one = "not_present" if want is None or want == "" else "unreadable" if not known else "match" if int(want) == data else "mismatch"
+    if code is None or code == "" or isinstance(code, str) and set(code) <= {"0", " "}:
         return one, "not_present"
+    if not isinstance(code, str) or len(code.rstrip()) != 16:
+        return one, "unreadable"
     whole = add(sum_range(f, hdu.at, hdu.data_at), data)
     return one, "match" if whole in (0, ALL_ONES) else "mismatch"

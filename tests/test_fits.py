@@ -574,3 +574,127 @@ def test_quantizing_methods(session, tmp_path, method):
     assert [r["value"] for r in api.getdata(path).orderBy("pix").collect()] == [None if i == 9 else i for i in range(64)]
     with pytest.raises(Exception, match="no blank"):
         api.write_compressed(whole, path, [8, 8], "RICE_1")
+
+
+def states(path, hdu=1):
+    r = api.info(path).filter(f"hdu = {hdu}").first()
+    return r["datasum_status"], r["checksum_status"]
+
+
+def test_edits_keep_checksums_and_whole_texts(session, tmp_path):
+    path = str(tmp_path / "e.fits")
+    pixels = session.range(12).select(F.col("id").alias("pix"), F.col("id").cast("smallint").alias("value"))
+    api.write_image(pixels, path, [4, 3], checksum=True)
+    api.edit_header(path, 1, update={"LONG": "x" * 150, "OBSERVER": ("Ann", "who")}, reserve=2)
+    assert states(path) == ("match", "match") and api.getval(path, "LONG") == "x" * 150
+    api.edit_header(path, 1, update={"LONG": "short", "NEW": 5}, insert=[(5, "HISTORY", "made by hand"), (99, "LAST", 1, "note")])
+    names = [c.name for c in api.getheader(path).cards]
+    assert "CONTINUE" not in names and api.getval(path, "LONG") == "short" and names.index("HISTORY") == 5
+    assert names.index("NEW") > names.index("OBSERVER") and names.count("") == 1  # one blank card is filled
+    assert states(path) == ("match", "match")
+    with pytest.raises(errors.BadKeyword):
+        api.edit_header(path, 1, delete=["BITPIX"])
+    with pytest.raises(errors.BadKeyword):
+        api.edit_header(path, 1, insert=[(1, "A", 1)])
+    api.reshape_image(path, 1, 8, [5, 2, 3])
+    got = [r["value"] for r in api.image(path).orderBy("pix").collect()]
+    assert got == [b for i in range(12) for b in (0, i)] + [0] * 6 and states(path) == ("match", "match")
+    api.reshape_image(path, 1, 16, [3])
+    assert [r["value"] for r in api.image(path).orderBy("pix").collect()] == [0, 1, 2]
+
+
+def test_checksums_of_an_existing_file(session, tmp_path, monster):
+    assert states(monster, 2) == ("not_present", "not_present")
+    api.update_checksums(monster, 2)
+    assert states(monster, 2) == ("match", "match") and states(monster) == ("not_present", "not_present")
+    api.update_checksums(monster)
+    assert states(monster) == states(monster, 2) == ("match", "match")
+    with open(monster, "r+b") as f:
+        f.seek(-2880, 2)
+        f.write(b"\x07")
+    assert states(monster, 2)[0] == "mismatch"
+    api.update_checksums(monster)
+    assert states(monster, 2) == ("match", "match") and api.table(monster).count() == 3
+
+
+def test_pixels_and_sections_are_put_in_place(session, tmp_path):
+    path = str(tmp_path / "p.fits")
+    pixels = session.range(12).select(F.col("id").alias("pix"), F.lit(0).cast("smallint").alias("value"))
+    api.write_image(pixels, path, [4, 3], checksum=True)
+    api.write_image(pixels.withColumn("value", F.lit(9.0)), path, [4, 3], append=True, bitpix=16, bscale=2, bzero=1)
+    api.write_section(session.createDataFrame([(i, 10 + i) for i in range(4)], "pix bigint, value int"), path, "1:3:2,1:3:2")
+    want = [10, 0, 11, 0, 0, 0, 0, 0, 12, 0, 13, 0]
+    assert [r["value"] for r in api.image(path, hdu=1).orderBy("pix").collect()] == want and states(path) == ("match", "match")
+    api.write_pixels(session.createDataFrame([(5, 41.0)], "pix bigint, value double"), path, 2)
+    assert [r["value"] for r in api.image(path, hdu=2).orderBy("pix").collect()] == [9.0] * 5 + [41.0] + [9.0] * 6
+    with pytest.raises(Exception, match="BadDimensions"):
+        api.write_section(session.createDataFrame([(4, 1)], "pix bigint, value int"), path, "1:3:2,1:3:2")
+    with pytest.raises(Exception, match="Overflow"):
+        api.write_pixels(session.createDataFrame([(5, 1 << 20)], "pix bigint, value int"), path)
+    seen = api.for_each_image(path, lambda first, values: [first] * len(values), group=5, hdu=1)
+    assert {r["value"] for r in seen.collect()} <= {0, 5, 10}
+    import pyarrow.compute as pc
+
+    api.for_each_image(path, lambda first, values: pc.add(values, 1), hdu=1, write_back=True)
+    assert [r["value"] for r in api.image(path, hdu=1).orderBy("pix").collect()] == [x + 1 for x in want] and states(path) == ("match", "match")
+
+
+def test_places_among_hdus(session, tmp_path, monster):
+    hdus = api.Hdus(monster)
+    assert len(hdus) == 2 and hdus.current.kind == "primary" and hdus.move(1).extname == "MONSTER" and hdus.number == 2
+    with pytest.raises(errors.WrongHduType):
+        hdus.move(1)
+    assert hdus.select(1).number == 1
+
+
+def test_findings_about_headers_and_sums(session, tmp_path):
+    path = write(tmp_path / "x.fits", b"SIMPLE  =                    T".ljust(2880))
+    assert [(r["hdu"], r["kw"]) for r in api.verify(path).collect()] == [(1, "END")]
+    path = write(tmp_path / "y.fits", PRIMARY, b"XTENSION= 'IMAGE   '".ljust(2880))
+    assert ("END", "err") in {(r["kw"], r["severity"]) for r in api.verify(path).collect()}
+    path = write(tmp_path / "z.fits", block([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("DATASUM", "many"), ("CHECKSUM", "short")]))
+    assert {(r["kw"], r["severity"]) for r in api.verify(path).collect()} == {("DATASUM", "warning"), ("CHECKSUM", "warning")}
+    path = write(tmp_path / "c.fits", block([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 1), ("NAXIS1", 9000), ("DATASUM", "1")]), b"\0" * 2880)
+    assert ("DATASUM", "warning") in {(r["kw"], r["severity"]) for r in api.verify(path).collect()}
+    bad = write(tmp_path / "w.fits", PRIMARY, block([("XTENSION", "IMAGE"), ("BITPIX", 7), ("NAXIS", 0)]))
+    with pytest.raises(errors.BadBitpix), open_file(bad) as f:
+        list(scan(f, size_of(f)))
+
+
+def test_append_after_special_records(session, tmp_path):
+    path = write(tmp_path / "s.fits", PRIMARY, b"special records".ljust(2880))
+    with pytest.raises(Exception, match="special records"):
+        api.write_image(session.range(4).select(F.col("id").alias("pix"), F.col("id").cast("int").alias("value")), path, [4], append=True)
+
+
+def test_roles_and_sentinels(session):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from astrolith.operators import work
+
+    df = session.createDataFrame([(1, None, 2.0), (2, 5, None)], "k int, a smallint, x double").coalesce(1)
+
+    def change(batch):
+        assert batch.schema.names == ["k", "a"] and batch.column("a").null_count == 0
+        return {"a": pc.if_else(pc.equal(batch.column("a"), -1), batch.column("a"), pc.cast(pc.add(batch.column("a"), 1), pa.int16())), "k2": pc.multiply(batch.column("k"), 2)}
+
+    got = work.run(df, change, "a smallint, k2 int", roles={"k": "in", "a": "inout", "k2": "out"}, sentinels={"a": -1, "k": 1 << 40})
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, 2), (6, 4)], key=str)
+    with pytest.raises(errors.NoSuchColumn):
+        work.run(df, change, "a smallint", roles={"none": "in"})
+    with pytest.raises(Exception, match="NoSuchColumn"):
+        work.run(df, lambda b: {}, "a smallint").collect()
+    assert work.sentinel_of(300, pa.int8()) is None and work.sentinel_of(1.5, pa.int32()) is None and work.sentinel_of(-1, pa.int16()) == -1
+
+
+def test_continue_without_an_ampersand(session):
+    from astrolith.functions import cards as card_ops
+    from astrolith.functions import checksum
+
+    rows = [(1, 0, True, "no amp"), (1, 1, False, "tail"), (1, 2, False, "more"), (1, 3, True, "one&"), (1, 4, False, "two&"), (1, 5, True, "end&")]
+    df = session.createDataFrame(rows, "hdu int, idx int, base boolean, text string")
+    got = card_ops.assemble(df, ["hdu"], "idx", "base", "text").orderBy("idx").collect()
+    assert [(r["idx"], r["text"]) for r in got] == [(0, "no amp"), (3, "onetwo&"), (5, "end&")]
+    one, two = (d.agg(checksum.fingerprint(df)).first()[0] for d in (df, df.orderBy(F.desc("idx"))))
+    assert one == two and one != df.filter("idx < 5").agg(checksum.fingerprint(df)).first()[0]

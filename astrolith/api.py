@@ -16,7 +16,7 @@ from .functions import arrays
 from .operators import validate
 from .session import prepare
 from .sources import filespec, fits, fits_sink, integrity
-from .sources.header import BLOCK, Card, Header, scan
+from .sources.header import BLOCK, Card, Header, make_hdu, scan
 
 
 def _read(path: str, mode: str, **options) -> DataFrame:
@@ -344,6 +344,20 @@ def edit_header(path: str, hdu: int, update: dict | None = None, delete: list[st
     _rewrite(path, change)
 
 
+def put_header(path: str, header: Header, hdu: int = 1) -> None:
+    """Put a changed header in place of an HDU's own; it must describe the same data unit."""
+
+    def change(h, head):
+        if h.number != hdu:
+            return head
+        new = make_hdu(h.number, header, h.at, h.data_at)
+        if new.data_bytes != h.data_bytes:
+            raise errors.BadDimensions("the header describes another data unit")
+        return header.to_bytes()
+
+    _rewrite(path, change)
+
+
 def reshape_image(path: str, hdu: int, bitpix: int, axes: list[int]) -> None:
     """Give an image another type or other axes: its bytes are kept as they are, cut off or filled up with zeros."""
 

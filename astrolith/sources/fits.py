@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import errors
 from ..functions.text import resolve, wildcard
-from . import codecs, filespec, integrity
+from . import codecs, filespec, integrity, remote
 from .fits_sink import FitsWriter
 from .header import LIMITS, Hdu, scan
 from .schema import NUMPY, WHOLE_DIGITS, Field, fields_of, parse_binary, whole_or_real, width_of
@@ -55,20 +55,28 @@ CARDS = struct(
 
 
 def open_file(path: str):
-    """A readable, seekable file; one that ends in .gz is inflated as a whole."""
+    """A readable, seekable file or URL; one that ends in .gz is inflated as a whole."""
+    if remote.scheme_of(path):
+        f = remote.open_url(path)
+        return io.BytesIO(inflated(f, path)) if path.lower().endswith(".gz") else f
     path = path.removeprefix("file://").removeprefix("file:")
     try:
         if path.lower().endswith(".gz"):
-            with gzip.open(path, "rb") as f:
-                data = f.read(LIMITS["allocation"] + 1)
-            if len(data) > LIMITS["allocation"]:
-                raise errors.LimitExceeded(path)
-            return io.BytesIO(data)
+            with open(path, "rb") as f:
+                return io.BytesIO(inflated(f, path))
         return open(path, "rb")  # noqa: SIM115
     except FileNotFoundError:
         raise errors.NotFound(path) from None
 
 
+def inflated(f, path: str) -> bytes:
+    """The whole of a gzip file, up to the allocation limit."""
+    data = gzip.GzipFile(fileobj=f).read(LIMITS["allocation"] + 1)
+    if len(data) > LIMITS["allocation"]:
+        raise errors.LimitExceeded(path)
+    return data
+
+
 def size_of(f) -> int:
     return f.seek(0, 2)
 
@@ -99,6 +107,8 @@ GAP = 1 << 16
 
 def expand(path: str) -> list[str]:
     """The files that a path stands for: itself, a folder's, or those that fit a pattern."""
+    if remote.scheme_of(path):
+        return [path]
     plain = path.removeprefix("file://").removeprefix("file:")
     if os.path.isdir(plain):
         return sorted(x for x in glob.glob(os.path.join(glob.escape(plain), "*")) if re.search(r"(?i)\.(fits?|fts)(\.gz)?$", x))
@@ -174,7 +184,7 @@ class _Reader(DataSourceReader):
         out, many = [], len(self.plan["paths"]) > SPLIT_FILES
         for path in self.plan["paths"]:
             # A file of its own task: one that must be inflated as a whole, or one of many that is small.
-            if path.lower().endswith(".gz") or (many and os.path.getsize(path) < SPLIT_BYTES):
+            if path.lower().endswith(".gz") or (many and not remote.scheme_of(path) and os.path.getsize(path) < SPLIT_BYTES):
                 out.append(Ranges(path, 0, None))
                 continue
             with open_file(path) as f:

@@ -125,6 +125,119 @@ class Header:
         found = [c for c in self.cards if form.fullmatch(c.name)]
         return found[:most], len(found) > most
 
+    def typed(self, name: str, kind: type):
+        """The value as bool, int, float, complex or str; ints read as floats, and whole floats as ints.
+
+        A keyword that is missing, one without a value and one of another type are three errors.
+        """
+        if name not in self.first:
+            raise errors.KeywordNotFound(name)
+        v = self.first[name].value
+        if v is None:
+            raise errors.ValueUndefined(name)
+        if kind in (int, float) and isinstance(v, (int, float)) and not isinstance(v, bool):
+            if kind is int and isinstance(v, float):
+                if v != round(v) or not -(1 << 63) <= v < 1 << 63:
+                    raise errors.WrongValueType(name)
+                return int(v)
+            return kind(v)
+        if kind is complex and isinstance(v, (int, float)) and not isinstance(v, bool):
+            return complex(v)
+        if type(v) is not kind:
+            raise errors.WrongValueType(name)
+        return v
+
+    def comment(self, name: str) -> str | None:
+        """The comment of a keyword."""
+        if name not in self.first:
+            raise errors.KeywordNotFound(name)
+        return self.first[name].comment
+
+    def unit(self, name: str) -> str | None:
+        """What stands in brackets at the beginning of a comment."""
+        found = re.match(r"\[([^\]]*)\]", self.comment(name) or "")
+        return found[1] if found else None
+
+    def _texts(self, name: str) -> list[str]:
+        return [c.raw[8:].rstrip() for c in self.cards if c.name == name and c.kind != "value"]
+
+    @property
+    def comments(self) -> list[str]:
+        """The texts of COMMENT cards."""
+        return self._texts("COMMENT")
+
+    @property
+    def history(self) -> list[str]:
+        """The texts of HISTORY cards."""
+        return self._texts("HISTORY")
+
+    # A header is an ordered mapping of keywords to values too.
+
+    def __getitem__(self, name: str):
+        if name not in self.first:
+            raise errors.KeywordNotFound(name)
+        return self.first[name].value
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.first
+
+    def __iter__(self):
+        return iter(self.first)
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def keys(self):
+        return self.first.keys()
+
+    def items(self):
+        return [(k, c.value) for k, c in self.first.items()]
+
+    def __setitem__(self, name: str, value) -> None:
+        """Replace or add a keyword; (value, comment) changes the comment too.  A new one fills the first blank card."""
+        from .fits_sink import card
+
+        new = value if isinstance(value, tuple) else (value, self.first[name].comment if name in self.first else None)
+        data = card(name, *new).decode("latin-1")
+        made = [Card.parse(data[a : a + CARD]) for a in range(0, len(data), CARD)]
+        at = next((i for i, c in enumerate(self.cards) if c.name == name and c.kind in ("value", "hierarch")), None)
+        if at is not None:
+            self._replace(at, self._end(at), made)
+        else:
+            at = next((i for i, c in enumerate(self.cards) if c.kind == "blank" and not c.raw.strip()), None)
+            self._replace(len(self.cards) if at is None else at, len(self.cards) if at is None else at + 1, made)
+
+    def __delitem__(self, name: str) -> None:
+        if name not in self.first:
+            raise errors.KeywordNotFound(name)
+        at = next(i for i, c in enumerate(self.cards) if c.name == name and c.kind in ("value", "hierarch"))
+        self._replace(at, self._end(at), [])
+
+    def add_comment(self, text: str, name: str = "COMMENT") -> None:
+        """One more COMMENT or, by name, HISTORY card, or several for a long text."""
+        from .fits_sink import card
+
+        data = card(name, text).decode("latin-1")
+        self._replace(len(self.cards), len(self.cards), [Card.parse(data[a : a + CARD]) for a in range(0, len(data), CARD)])
+
+    def add_history(self, text: str) -> None:
+        self.add_comment(text, "HISTORY")
+
+    def _end(self, at: int) -> int:
+        """Where the cards that go on with a card end."""
+        end = at + 1
+        while end < len(self.cards) and self.cards[end].kind == "continue":
+            end += 1
+        return end
+
+    def _replace(self, first: int, end: int, made: list[Card]) -> None:
+        self.__init__([*self.cards[:first], *made, *self.cards[end:]])
+
+    def to_bytes(self) -> bytes:
+        """The header as whole blocks."""
+        data = b"".join(c.raw.encode("latin-1") for c in self.cards) + b"END".ljust(CARD)
+        return data + b" " * (-len(data) % BLOCK)
+
     def value(self, name: str, default=None):
         c = self.first.get(name)
         return default if c is None or c.value is None else c.value

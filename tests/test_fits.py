@@ -698,3 +698,88 @@ def test_continue_without_an_ampersand(session):
     assert [(r["idx"], r["text"]) for r in got] == [(0, "no amp"), (3, "onetwo&"), (5, "end&")]
     one, two = (d.agg(checksum.fingerprint(df)).first()[0] for d in (df, df.orderBy(F.desc("idx"))))
     assert one == two and one != df.filter("idx < 5").agg(checksum.fingerprint(df)).first()[0]
+
+
+def test_headers_are_mappings(session, tmp_path):
+    path = str(tmp_path / "h.fits")
+    api.write_image(session.range(4).select(F.col("id").alias("pix"), F.col("id").cast("int").alias("value")), path, [4], checksum=True)
+    h = api.getheader(path)
+    h["EXPTIME"] = (2.0, "[s] time")
+    h["LONG"] = "y" * 200
+    h["NOTHING"] = None
+    h["Z"] = complex(1, 2)
+    h.add_history("first")
+    h.add_comment("c" * 100)
+    assert h.unit("EXPTIME") == "s" and h.typed("EXPTIME", int) == 2 and h.typed("NAXIS1", float) == 4.0 and h.typed("Z", complex) == 1 + 2j
+    h["LONG"], h["EXPTIME"] = "z", 3.5
+    assert h.comment("EXPTIME") == "[s] time" and "CONTINUE" not in [c.name for c in h.cards] and dict(h.items())["LONG"] == "z"
+    for name, kind, error in (("NOTHING", int, "ValueUndefined"), ("MISSING", int, "KeywordNotFound"), ("LONG", int, "WrongValueType"), ("EXPTIME", int, "WrongValueType"), ("SIMPLE", int, "WrongValueType")):
+        with pytest.raises(getattr(errors, error)):
+            h.typed(name, kind)
+    del h["Z"]
+    with pytest.raises(errors.KeywordNotFound):
+        del h["Z"]
+    api.put_header(path, h)
+    back = api.getheader(path)
+    assert "Z" not in back and back["EXPTIME"] == 3.5 and back.history == ["first"] and "".join(back.comments) == "c" * 100
+    assert states(path) == ("match", "match") and len(back) == len(list(back)) and list(back.keys())[0] == "SIMPLE"
+    h["NAXIS1"] = 5000
+    with pytest.raises(errors.BadDimensions):
+        api.put_header(path, h)
+
+
+@pytest.mark.parametrize("ranges", [True, False])
+def test_files_behind_urls(session, tmp_path, monster, ranges):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        asked = []
+
+        def answer(self, body):
+            name = tmp_path / self.path.lstrip("/")
+            if not name.exists():
+                self.send_error(404)
+                return
+            data, said = name.read_bytes(), self.headers["Range"]
+            total = len(data)
+            if said and ranges:
+                first, last = (int(x) for x in said.removeprefix("bytes=").split("-"))
+                if first >= total:
+                    self.send_error(416)
+                    return
+                data = data[first : last + 1]
+                self.send_response(206)
+                self.send_header("Content-Range", f"bytes {first}-{first + len(data) - 1}/{total}")
+            else:
+                self.send_response(200)
+            if body or ranges:
+                self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            if body:
+                Handler.asked.append(len(data))
+                self.wfile.write(data)
+
+        def do_GET(self):  # noqa: N802
+            self.answer(True)
+
+        def do_HEAD(self):  # noqa: N802
+            self.answer(False)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_address[1]}"
+        assert [r["INT32"] for r in api.table(f"{url}/m.fits").orderBy("rownum").collect()] == [-100000, 0, 100000]
+        api.save_gzip(monster, f"{monster}.gz")
+        assert api.info(f"{url}/m.fits.gz").count() == 2
+        with pytest.raises(Exception, match="NotFound"):
+            api.table(f"{url}/none.fits").count()
+        with pytest.raises(Exception, match="NotFound"):
+            api.table("other://host/m.fits").count()
+    finally:
+        server.shutdown()
+        server.server_close()

@@ -12,6 +12,8 @@ in a third of all documents.
 Defined cases: a null text stays null; texts with fewer than three such lines stay as they are; rows
 that repeat an id count as one document, so none of them is a later occurrence of the other; rows
 with a null id come last, in their texts' order; line ends other than a line feed are part of lines.
+Only blanks (U+0020) are trimmed: a line of tabs is a full line.  A column ``lines_removed`` of docs is
+replaced by the one that is added.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, ROW_BYTES, written
 
 WINDOW = 3
+#: Bytes of a span in a broadcast row: two numbers, their row and its place.
+SPAN_BYTES = 40
 
 
 def _lines(text: Column) -> Column:
@@ -74,7 +78,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(key).alias("id"), F.coalesce(tie, F.lit("")).alias("tie"), F.col(text).alias("text"))
     found = spans.select(F.col("id").alias("of"), F.col("tie").alias("of_tie"), "spans")
     # Spans are sent to the texts, not texts to the spans, as long as all of them are counted to be small.
-    size = spans.agg(F.sum(F.size("spans") * 16 + ROW_BYTES)).first()[0] or 0
+    size = spans.agg(F.sum(F.size("spans") * SPAN_BYTES + ROW_BYTES)).first()[0] or 0
     found = F.broadcast(found) if size <= BROADCAST_BYTES else found.hint("merge")
     rows = rows.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie")), "left")
     # Covered lines merged: a line is out if it lies in one of the spans.

@@ -15,7 +15,7 @@ then a function of the document and of a few numbers for its source.
 
 Defined cases: a null text has no words; documents of no words take none, whatever their copies; a
 null source is a source of its own, last in order; rows that are equal in id and size share their
-rank and go in together; an empty table gives no rows.
+rank and go in together; an empty table gives no rows; more than ``SOURCES`` sources are an error.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ LEVELS = 5
 ROUNDS = 3
 #: Half the word count at which a document is favoured by a half.
 HALF = 250
+#: The most sources: a few numbers of each, and 2^DIGIT sums, are held by the driver at a time.
+SOURCES = 1 << 12
 
 
 def targets(sizes: dict[str | None, int], weights: list[float], cap: float) -> dict[str | None, float]:
@@ -69,14 +71,16 @@ def _uniform(key: Column, size: Column, seed: int) -> Column:
 def plan(sizes: DataFrame, weights: list[float], cap: float = 3.0, spread: float = 0.25, seed: int = 7) -> DataFrame:
     """A row per source with all that decides about its documents.
 
-    sizes has key, source, size.  What comes to the driver is a few numbers for each source; a mix
-    names its sources' weights, so they are few.
+    sizes has key, source, size.  What comes to the driver is a few numbers for each source, of which
+    there are ``SOURCES`` at most; so the joins with what is known of sources are broadcast ones.
     """
     spark = sizes.sparkSession
     g = _favour(F.col("size"))
     stats = sizes.groupBy("source").agg(
         F.sum("size").alias("own"), F.sum(g * F.col("size")).alias("favour"), F.min(g).alias("low"), F.max(g).alias("high")
     ).collect()
+    if len(stats) > SOURCES:
+        raise ValueError(f"{len(stats)} sources; a mix has {SOURCES} at most")
     target = targets({r["source"]: r["own"] for r in stats}, weights, cap)
     rows = []
     for r in stats:

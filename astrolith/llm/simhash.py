@@ -38,6 +38,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 5, seed: i
 
     A-Z are lower-cased, words are runs of all but ASCII blanks, shingles are ``shingle`` words
     joined by a space, repeats included; a shorter text is one shingle.  No words (or null): 0.
+    Other columns of docs may have any names; the key itself may not be named fp or more.
     """
 
     def batches(frames):

@@ -11,7 +11,8 @@ Keys of one host are dealt over as many groups as the host's share of all keys a
 rules go to each group.  The sweep holds nothing but its stack.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, which rules with an
-empty host would fit; equal rules count once (the smaller verdict, ``allow``, stays); null parts of
+empty host would fit; of rules as long as each other that fit, which are of different hosts and paths
+only if one has more host and the other more path, the greater as text wins; equal rules count once (the smaller verdict, ``allow``, stays); null parts of
 a rule are empty; rows that repeat are judged each if their key differs, and share a row if equal in
 all respects they are judged alike.
 """
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import task_count, written
 
 DEFAULT = "allow"
+#: Rows that a task of the sweep has at most.
+PART_ROWS = 1 << 21
 
 
 def host_of(url: Column) -> Column:
@@ -64,7 +67,7 @@ def judge(urls: DataFrame, rules: DataFrame, key: str, url: str, default: str =
     # How many groups each host's keys are dealt over, by its share of all keys.
     counts = written(keys.groupBy("domain").agg(F.count("*").alias("n")), "domains")
     total = counts.agg(F.sum("n")).first()[0] or 1
-    parts = task_count(spark)
+    parts = task_count(spark, total, PART_ROWS)
     counts = counts.select("domain", F.ceil(F.col("n") * (4 * parts) / total).cast("int").alias("groups"))
     keys = keys.join(counts, "domain").select("domain", F.pmod(F.xxhash64("key", "path"), F.col("groups")).cast("int").alias("g"), "path", F.lit(1).alias("kind"), "key", "host", F.lit(None).cast("string").alias("verdict"))
     opened = rules.join(counts, "domain").select("domain", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), "path", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("key"), F.lit(None).cast("string").alias("host"), "verdict")

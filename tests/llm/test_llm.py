@@ -405,6 +405,32 @@ def test_line_dedup(spark, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_large_sides_are_not_broadcast(spark, awkward, monkeypatch):
+    rng = random.Random(6)
+    pool = [f"line {i}" for i in range(25)]
+    rows = [(i, "\n".join(rng.choice(["", *pool]) for _ in range(rng.randrange(0, 30)))) for i in range(120)] + [(None, "a\nb\nc\na\nb\nc")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    near = Counter(r["doc_id"] for r in simhash.near_dedup(awkward).collect())
+    shards = Counter(map(tuple, sharding.assign(awkward, 700).drop("page").collect()))
+    for module in (common, linededup, simhash, sharding, warc):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
+    got = linededup.dedup_lines(df)
+    assert Counter((r["doc_id"], r["text"], r["lines_removed"]) for r in got.collect()) == Counter(brute_lines(rows))
+    assert Counter(r["doc_id"] for r in simhash.near_dedup(awkward).collect()) == near
+    assert Counter(map(tuple, sharding.assign(awkward, 700).drop("page").collect())) == shards
+    pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").repartition(3)
+    path = common.scratch_path(spark, "archive")
+    warc.archive(pages, path)
+    assert sorted(bytes(r["payload"]) for r in warc.records(spark, path).collect()) == sorted((h or "").encode() for _, _, h in PAGES)
+
+
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 2)
+    rows = [(i, "a b", "en", f"s{i}", 1) for i in range(3)]
+    with pytest.raises(ValueError, match="3 sources"):
+        mixing.mix(spark.createDataFrame(rows, DOCS), [1])
+
+
 # --- op8 ---------------------------------------------------------------------------------------
 
 

@@ -100,11 +100,9 @@ def lean(batches):
     """
 
     def run(frames):
-        import ctypes
         import gc
         import sys
 
-        import pyarrow as pa
         from pyspark import TaskContext
 
         kept, stage = sys.modules.get("_astrolith_kept"), TaskContext.get().stageId()
@@ -114,14 +112,23 @@ def lean(batches):
         try:
             yield from batches(frames)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Give memory that is free in this process back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def kept(name: str, make):
     """What make() gives, kept in the worker from task to task of a stage."""
     import sys

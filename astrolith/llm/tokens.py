@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pfor
-from .common import kept, lean, scratch_path, size_of, task_count, written
+from .common import give_back, kept, lean, scratch_path, size_of, task_count, written
 
 #: A segment is closed once it holds so many tokens, and a file once it holds so many segments.
 SEGMENT_TOKENS, FILE_SEGMENTS = 1 << 20, 4
@@ -233,7 +233,12 @@ def encoder(tokenizer_json: str) -> Encoder:
     """The worker's encoder, kept from task to task of a stage."""
     import zlib
 
-    return kept(f"encoder_{zlib.crc32(tokenizer_json.encode())}", lambda: Encoder(tokenizer_json))
+    def make():
+        made = Encoder(tokenizer_json)
+        give_back()  # reading the vocabulary takes more than holding it
+        return made
+
+    return kept(f"encoder_{zlib.crc32(tokenizer_json.encode())}", make)
 
 
 def read_tokenizer(path: str) -> str:

@@ -7,8 +7,9 @@ if asked for, and renames the file into place.  A failed job leaves the target a
 Options: ``path``, ``mode`` (table, ascii, image, groups, or update: pixels of an existing image),
 ``extname``, ``axes`` (of an image, between commas), ``checksum``, ``widths`` (of texts: name:width
 between commas; else metadata, else 32), ``header`` (a JSON list of [keyword, value, comment]),
-``append`` (true: one more HDU to an existing file), ``hdu`` (of update).  A path that ends in .gz is
-written as a whole-file gzip.
+``append`` (true: one more HDU to an existing file), ``hdu`` (of update), ``files`` (true: the path is a
+folder, and each task writes a table file of its own there, so that the driver copies nothing).  A path
+that ends in .gz is written as a whole-file gzip.
 
 Scaled columns are stored as integers: ``scaled`` has name:code:scale:zero between commas, or is
 ``keep`` for columns that still have the metadata with which they were read.  Images and groups have
@@ -310,7 +311,10 @@ class FitsWriter(DataSourceArrowWriter):
         self.options, self.schema, self.overwrite = dict(options), schema, overwrite
         self.path = self.options["path"].removeprefix("file://").removeprefix("file:")
         self.mode = self.options.get("mode", "table")
-        self.parts = f"{self.path}.parts-{uuid.uuid4().hex}"
+        self.parts = f"{self.path.rstrip('/')}.parts-{uuid.uuid4().hex}"
+        self.files = self.options.get("files", "false").lower() == "true"
+        if self.files and (self.mode not in ("table", "ascii") or self.options.get("append", "false").lower() == "true"):
+            raise errors.WrongHduType("files are of tables, and not appended to")
         pairs = lambda name: dict(x.split(":") for x in self.options[name].split(",")) if name in self.options else {}
         widths, nulls = pairs("widths"), {k: int(v) for k, v in pairs("nulls").items()}
         get = lambda name, default: float(self.options.get(name, default))
@@ -383,7 +387,14 @@ class FitsWriter(DataSourceArrowWriter):
                     both["p"], both["v"] = pix, values
                     out.write(both.tobytes())
             size = heap.tell()
-        return Part(context.partitionId(), name, rows, size, dict(seen))
+        part = Part(context.partitionId(), name, rows, size, dict(seen))
+        if self.files and (rows or part.number == 0):
+            with open(f"{name}.fits", "w+b") as f:
+                self.publish(f, [part], 0)
+        if self.files:
+            os.remove(f"{name}.rows")
+            os.remove(f"{name}.heap")
+        return part
 
     def group_rows(self, batch: pa.RecordBatch, seen: Seen) -> bytes:
         """Random groups: parameters, then data, both by their scaling."""
@@ -410,6 +421,9 @@ class FitsWriter(DataSourceArrowWriter):
             if self.mode == "update":
                 self.update(tail, parts)
                 return
+            if self.files:
+                self.folder(tail, parts)
+                return
             with open(tail, "w+b") as f:
                 if self.options.get("append", "false").lower() == "true":
                     with open(self.path, "rb") as old:
@@ -420,30 +434,46 @@ class FitsWriter(DataSourceArrowWriter):
                         old.seek(0)
                         shutil.copyfileobj(old, f)
                     f.write(b"\0" * (-f.tell() % BLOCK))
-                begin = f.tell()
-                if self.mode == "groups":
-                    if begin:
-                        raise errors.WrongHduType("random groups are the first HDU")
-                    self.groups(f, parts)
-                elif self.mode in ("table", "ascii"):
-                    if begin == 0:
-                        f.write(block([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True)]))
-                        begin = f.tell()
-                    (self.table if self.mode == "table" else self.texts)(f, parts)
-                else:
-                    self.image(f, parts, begin == 0)
-                if self.options.get("checksum", "false").lower() == "true":
-                    seal(f, begin, 1 if begin == 0 else 2)
+                self.publish(f, parts, f.tell())
             if self.path.lower().endswith(".gz"):
                 with open(tail, "rb") as plain, gzip.GzipFile(f"{tail}.gz", "wb", mtime=0) as packed:
                     shutil.copyfileobj(plain, packed)
                 os.replace(f"{tail}.gz", tail)
             os.replace(tail, self.path)
         finally:
-            if os.path.exists(tail):
+            if os.path.isfile(tail):
                 os.remove(tail)
+            shutil.rmtree(tail, ignore_errors=True)
             shutil.rmtree(self.parts, ignore_errors=True)
 
+    def publish(self, f, parts: list[Part], begin: int) -> None:
+        """The HDU of the parts at the end of a file, which is at begin."""
+        if self.mode == "groups":
+            if begin:
+                raise errors.WrongHduType("random groups are the first HDU")
+            self.groups(f, parts)
+        elif self.mode in ("table", "ascii"):
+            if begin == 0:
+                f.write(block([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True)]))
+                begin = f.tell()
+            (self.table if self.mode == "table" else self.texts)(f, parts)
+        else:
+            self.image(f, parts, begin == 0)
+        if self.options.get("checksum", "false").lower() == "true":
+            seal(f, begin, 1 if begin == 0 else 2)
+
+    def folder(self, tail: str, parts: list[Part]) -> None:
+        """A folder of the tasks' files takes the place of what was there; an empty table is one file."""
+        os.makedirs(tail)
+        own = [p for p in parts if p.rows] or parts[:1]
+        for p in own:
+            os.replace(f"{p.name}.fits", f"{tail}/part-{p.number:05d}.fits")
+        target, old = self.path.rstrip("/"), f"{tail}.old"
+        if os.path.lexists(target):
+            os.replace(target, old)
+        os.replace(tail, target)
+        shutil.rmtree(old, ignore_errors=True) if os.path.isdir(old) else os.path.lexists(old) and os.remove(old)
+
     def abort(self, messages):
         shutil.rmtree(self.parts, ignore_errors=True)
 

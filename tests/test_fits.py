@@ -783,3 +783,19 @@ def test_files_behind_urls(session, tmp_path, monster, ranges):
     finally:
         server.shutdown()
         server.server_close()
+
+
+def test_a_folder_of_files(session, tmp_path):
+    path = str(tmp_path / "many")
+    rows = session.range(100).select(F.col("id").alias("rownum"), F.col("id").cast("int").alias("v"), F.array(F.col("id")).alias("a")).repartition(4)
+    for checksum in (False, True):
+        api.write_table(rows.filter("v % 7 > 0") if checksum else rows, path, files=True, checksum=checksum)
+        back = api.table(path, withPath="true")
+        want = {(i, i) for i in range(100) if i % 7 or not checksum}
+        assert {(r["v"], r["a"][0]) for r in back.collect()} == want and back.select("path").distinct().count() == 4
+    assert {states(r["path"], 2) for r in back.select("path").distinct().collect()} == {("match", "match")}
+    assert [x.name for x in tmp_path.iterdir()] == ["many"]
+    api.write_table(rows.limit(0), path, files=True)
+    assert api.table(path).count() == 0
+    with pytest.raises(Exception, match="files are of tables"):
+        api.write_image(rows.select(F.col("v").cast("bigint").alias("pix"), F.col("v").alias("value")), path, [100], files=True)

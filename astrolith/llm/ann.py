@@ -220,8 +220,8 @@ def _projected(df: DataFrame, size: int, dims: int, seed: int) -> DataFrame:
     return df.mapInArrow(lean(batches), kinds + ", p array<double>")
 
 
-def _dealt(df: DataFrame, top: Top, dims: int) -> DataFrame:
-    """df with b, the block of p."""
+def _dealt(df: DataFrame, top: Top, dims: int, shares=None) -> DataFrame:
+    """df with b, the block of p, and s: rows of a block are dealt in turn over its shares (by block), or all are 0."""
     names = df.columns
 
     def batches(frames):
@@ -229,11 +229,12 @@ def _dealt(df: DataFrame, top: Top, dims: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in frames:
-            p = batch.column(names.index("p")).flatten().to_numpy().reshape(-1, dims)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top.block_of(p).astype(np.int32))], [*names, "b"])
+            b = top.block_of(batch.column(names.index("p")).flatten().to_numpy().reshape(-1, dims))
+            s = np.zeros(len(b), np.int64) if shares is None else np.arange(len(b)) % shares.value[b]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(b.astype(np.int32)), pa.array(s.astype(np.int32))], [*names, "b", "s"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(lean(batches), kinds + ", b int")
+    return df.mapInArrow(lean(batches), kinds + ", b int, s int")
 
 
 def _search(base: DataFrame, asked: DataFrame, size: int, k: int, dims: int, confidence: float, seed: int) -> DataFrame:
@@ -304,12 +305,10 @@ def _search(base: DataFrame, asked: DataFrame, size: int, k: int, dims: int, con
 
         return lean(batches)
 
-    held = _dealt(base, top, dims)
-    split = {int(b): int(t) for b, t in zip(blocks, tasks, strict=True) if t > 1}
-    share = F.lit(0)
-    if split:
-        share = F.pmod(F.xxhash64("name", "id"), F.coalesce(F.create_map(*[F.lit(x) for y in split.items() for x in y])[F.col("b")], F.lit(1))).cast("int")
-    held = held.select("b", share.alias("s"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("q"), "id", "name", "v", "p", F.lit(0.0).alias("worst"))
+    shares = np.ones(1 << top.depth, np.int64)
+    shares[blocks] = tasks
+    held = _dealt(base, top, dims, spark.sparkContext.broadcast(shares))
+    held = held.select("b", "s", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("q"), "id", "name", "v", "p", F.lit(0.0).alias("worst"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields) + ", worst double, b int, s int"
 
     def met(queries, first):

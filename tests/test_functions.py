@@ -136,3 +136,18 @@ def test_ramp_section(spark):
     got = arrays.section(rows, "pix", [6, 6], [0, 1], [4, 3], [2, 2]).orderBy("pix")
     assert [r["value"] for r in got.collect()] == [6, 8, 10, 18, 20, 22]
     assert math.prod(arrays.section_counts([0, 1], [4, 3], [2, 2])) == 6
+
+
+def test_reference_frames(spark):
+    rows = spark.createDataFrame([(" barycent",), ("LSRK",), ("MOON",), (None,), ("",)], "s string").select(sky.frame(F.col("s")).alias("f"))
+    assert [r["f"] for r in rows.collect()] == ["BARYCENT", "LSRK", "unknown", "unknown", "unknown"]
+
+
+def test_members_that_are_there(spark):
+    from astrolith.operators import grouping
+
+    kinds = "rownum int, location string, position int, name string, version int"
+    rows = spark.createDataFrame([(0, "", 2, None, None), (1, None, 9, "sci", None), (2, "http://x", 2, "SCI", 1), (3, "", None, "SCI", 2), (4, " ", 0, "gone", 1)], kinds)
+    catalog = spark.createDataFrame([(1, None, 1), (2, "ERR", 1), (3, "SCI ", None), (4, "SCI", 2)], "hdu int, extname string, extver int")
+    assert {r["rownum"]: r["hdu"] for r in grouping.members(rows, catalog).collect()} == {0: 2, 1: 3, 3: 4}
+    assert grouping.resolve(rows, catalog).count() == 5

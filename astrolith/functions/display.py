@@ -48,7 +48,7 @@ def _scientific(x: Column, decimals: int, digits: int, letter: str, engineering:
 
 
 def render_real(x: Column, form: str) -> Column:
-    """A real number by F, E, D, ES, EN or G; an error if it is too wide."""
+    """A real number by F, E, D, ES, EN or G; null for null, an error if it is too wide."""
     f = parse(form)
     code, d, digits = f["code"], f["decimals"], f["exponent"]
     if code == "F":
@@ -62,7 +62,8 @@ def render_real(x: Column, form: str) -> Column:
         body = F.when(x == 0, _fixed(x, max(d - 1, 0))).otherwise(body)
     else:
         body = _scientific(x, d, digits, "D" if code == "D" else "E", code == "EN")
-    return _right(body, f["width"])
+    # format_string would write a null as "null".
+    return F.when(x.isNotNull(), _right(body, f["width"]))
 
 
 def render_integer(x: Column, form: str) -> Column:
